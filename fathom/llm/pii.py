@@ -111,12 +111,10 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, min_contexts: int = MIN_
     joint = save(joint.filter(F.col("n_ctx") >= min_contexts).drop("n_ctx"), "pii-joint")
     n = F.lit(float(max(2, texts.count())))
     disclosure = lambda n_t: 1 + F.log(F.col("n_te") / F.col(n_t)) / F.log(n / F.least(F.col("n_e"), n - 1))
-    # a term stands in at least the texts with entities that have it: what falls short by that count falls short by n_t
-    least = save(near.groupBy("term").agg(F.count("*").alias("n_least")), "pii-least")
-    joint = joint.join(least, "term").join(entities.select("e", "n_e"), "e")
-    joint = save(joint.filter(disclosure("n_least") >= threshold), "pii-likely")
     wanted = save(joint.select("term").distinct(), "pii-terms")
-    counts = save(by_ids(texts.select(term.alias("term")), wanted, "term").groupBy("term").agg(F.count("*").alias("n_t")), "pii-counts")
+    # counted before the join: how many rows are wanted grows with the entities and the texts, what is counted doesn't
+    counts = save(by_ids(texts.select(term.alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), wanted, "term"), "pii-counts")
+    joint = joint.join(entities.select("e", "n_e"), "e")
     flagged = save(joint.join(counts, "term").filter(disclosure("n_t") >= threshold).select("e", "term"), "pii-flagged")
     return near.join(held.select("th", "e"), "th").join(flagged, ["e", "term"]).groupBy("th").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
