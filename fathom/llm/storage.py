@@ -30,9 +30,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Semi- or anti-join df with the written table `ids` on `key`; broadcasts only up to BROADCAST_ROWS rows, else both sides are shuffled."""
-    ids = ids.select(key)
+    ids = ids.select(*([key] if isinstance(key, str) else key))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     return df.join(ids, key, how)
+
+
+def small_join(df: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join df with the written table `other`, broadcast only up to BROADCAST_ROWS rows; beyond, Spark splits hot keys of the shuffled join."""
+    return df.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, on, how)
