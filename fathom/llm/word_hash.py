@@ -49,3 +49,9 @@ class Grams:
         self._grow(n)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(hashes) * self.up[:n], dtype=np.uint64)])
         return mixed((sums[width:] - sums[:-width]) * self.down[: n - width + 1])
+
+
+def signed_hash(data: bytes) -> int:
+    """A 64-bit hash as Spark's long."""
+    h = xxhash.xxh3_64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
