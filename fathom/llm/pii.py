@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm import text_stats
-from fathom.llm.storage import by_ids, save
+from fathom.llm.storage import by_ids, save, small_join
 
 MIN_CONTEXTS, AROUND, MIN_LENGTH, THRESHOLD = 3, 20, 4, 0.8
 #: Private characters: for separators that can't belong to a match; and for that character where the text itself has it.
@@ -112,8 +112,9 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, min_contexts: int = MIN_
     n = F.lit(float(max(2, texts.count())))
     disclosure = lambda n_t: 1 + F.log(F.col("n_te") / F.col(n_t)) / F.log(n / F.least(F.col("n_e"), n - 1))
     wanted = save(joint.select("term").distinct(), "pii-terms")
-    # counted before the join: how many rows are wanted grows with the entities and the texts, what is counted doesn't
-    counts = save(by_ids(texts.select(term.alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), wanted, "term"), "pii-counts")
+    # counted before the join: how many rows are wanted grows with the entities and the texts, what is counted doesn't; an
+    # inner join, since Spark would move a semi-join below the aggregation
+    counts = save(small_join(texts.select(term.alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), wanted, "term"), "pii-counts")
     joint = joint.join(entities.select("e", "n_e"), "e")
     flagged = save(joint.join(counts, "term").filter(disclosure("n_t") >= threshold).select("e", "term"), "pii-flagged")
     return near.join(held.select("th", "e"), "th").join(flagged, ["e", "term"]).groupBy("th").agg(F.sort_array(F.collect_set("term")).alias("terms"))
