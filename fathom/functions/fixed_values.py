@@ -68,6 +68,13 @@ SYNONYMS = {
     "学习": ["study", "掌握"],
     "理解": ["明白", "懂"],
     "知道": ["了解", "认识"],
+    "使用": ["应用", "运用"],
+    "实现": ["完成", "达成"],
+    "创建": ["新建", "建立"],
+    "删除": ["移除", "remove"],
+    "修改": ["更新", "更改", "编辑"],
+    "查看": ["浏览", "看"],
+    "获取": ["取得", "得到"],
 }
 
 # Folder names that are no keywords.
