@@ -71,7 +71,8 @@ def search_many(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int =
     asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     hits = index.join(asked, "term").join(df, "term").join(F.broadcast(stats))
     part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    # rounded, so that copies tie whatever the order of the sum
+    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
