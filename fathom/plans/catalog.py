@@ -1,8 +1,8 @@
 """All queries of the engine outside the training-data operators, by name, with their SQL."""
 
-from fathom.plans import search_queries, text_queries
+from fathom.plans import search_queries, table_queries, text_queries
 
-MODULES = (search_queries, text_queries)
+MODULES = (search_queries, text_queries, table_queries)
 
 
 def queries() -> dict:
