@@ -46,11 +46,11 @@ WITH p AS (
   SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
   FROM (SELECT DISTINCT host FROM r)
 ), known AS (
-  SELECT host, coalesce(m3, m2, m1, m0) AS block_rate, coalesce(s3, s2, s1, s0) AS strength
+  SELECT host, coalesce(m3, m2, m1, m0) AS block_rate, coalesce(s3, s2, s1, s0) AS strength, coalesce(m3, m2, m1) IS NOT NULL AS has_outcomes
   FROM every LEFT JOIN h1 USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), a
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IS NULL THEN CASE WHEN block_rate - 1.645 * sqrt(block_rate * (1 - block_rate) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END
+  CASE WHEN rule IS NULL THEN CASE WHEN has_outcomes AND block_rate - 1.645 * sqrt(block_rate * (1 - block_rate) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END
     WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM r JOIN known USING (host)
 """

@@ -3,7 +3,8 @@
 Outcomes (blocked or allowed) of labelled pages are counted by host. A beta-binomial prior is fitted at each level by
 moments and handed down: all pages -> suffix (last label) -> registered domain (last two labels, or three under a
 suffix of `two_label_suffixes`) -> host. A page without a fitting rule is blocked if the lower posterior bound of its
-host's block rate, mean - z * deviation, is over `limit`; hosts without outcomes have their domain's prior.
+host's block rate, mean - z * deviation, is over `limit`; hosts without outcomes have their domain's prior. Where nothing is
+known of a host's suffix, the page is allowed: what all pages have in common is no reputation.
 
 A null url, or one without "://", has an empty host and path, fits no rule and is allowed unless the outcomes of the empty
 host say otherwise. Repeated rows are judged each. Without pages there is no result.
@@ -90,7 +91,8 @@ def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, limi
     hosts = judged.select("host").distinct().select("host", domain_of(F.col("host"), two_label_suffixes).alias("domain"), suffix_of(F.col("host"), two_label_suffixes).alias("suffix"))
     hosts = hosts.join(known["host"], "host", "left").join(known["domain"], "domain", "left").join(known["suffix"], "suffix", "left").join(F.broadcast(known["all"]))
     rate, strength = F.coalesce("m3", "m2", "m1", "m0"), F.coalesce("s3", "s2", "s1", "s0")
-    hosts = hosts.select("host", rate.alias("block_rate"), (rate - z * F.sqrt(rate * (1 - rate) / (strength + 1))).alias("bound"))
+    bound = F.when(F.coalesce("m3", "m2", "m1").isNotNull(), rate - z * F.sqrt(rate * (1 - rate) / (strength + 1)))
+    hosts = hosts.select("host", rate.alias("block_rate"), bound.alias("bound"))
     return judged.join(hosts, "host", "left").select(
         "page_id",
         "host",
