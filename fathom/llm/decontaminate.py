@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.llm.batches import map_rows
-from fathom.llm.storage import BROADCAST_ARRAYS, save, small_join
+from fathom.llm.storage import save, with_marks
 
 WINDOW, SHARD_CHARS = 10, 8_000_000
 #: In the pipeline: hit spans of at least this many words are cut; a document with this share of hit words goes whole.
@@ -209,7 +209,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, cut_words: in
     found = hits(docs, items, window)
     marked = found.filter("size(items) > 0").dropDuplicates(["th"])
     marked = save(marked.select(F.col("th").alias("_th"), F.col("n_words").alias("_n"), F.col("spans").alias("_spans")), "contaminated")
-    rows = small_join(docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))), marked, "_th", "left", BROADCAST_ARRAYS)
+    rows = with_marks(docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))), marked, ["_th"], "_th")
     share = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]) / F.col("_n")
     rows = rows.filter(F.col("_n").isNull() | (share < drop_share))
 

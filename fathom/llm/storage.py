@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Most rows of an id table that a join may broadcast: about 32 MB in each executor.
 BROADCAST_ROWS = 1_000_000
-#: The same for rows with short arrays.
-BROADCAST_ARRAYS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +38,12 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left
     return df.join(ids, key, how)
 
 
-def small_join(df: DataFrame, other: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join df with the written table `other`, broadcast only up to `rows` rows; beyond, Spark splits hot keys of the shuffled join."""
-    return df.join(F.broadcast(other) if other.count() <= rows else other, on, how)
+def small_join(df: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join df with the written table `other`, broadcast only up to BROADCAST_ROWS rows; beyond, Spark splits hot keys of the shuffled join."""
+    return df.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, on, how)
+
+
+def with_marks(df: DataFrame, marks: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Left join of df, which holds texts, with the written table `marks`: only rows whose `key` some mark has are shuffled."""
+    marked = save(marks.select(key).distinct(), "marked")
+    return by_ids(df, marked, key).join(marks, on, "left").unionByName(by_ids(df, marked, key, "left_anti"), allowMissingColumns=True)
