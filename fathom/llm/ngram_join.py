@@ -22,6 +22,8 @@ its text too; where they don't, each row joins by its own set under that doc_id,
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,20 +53,17 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 class Bands:
     """Bands of set sizes, and the segments that each needs."""
 
-    def __init__(self, num: int = NUM, den: int = DEN):
+    def __init__(self, num: int = NUM, den: int = DEN, most: int = 1 << 40):
         self.num, self.den, self.edges = num, den, [1]
+        while self.edges[-1] <= most:
+            last = self.edges[-1]
+            self.edges.append(max(last + 1, -(-last * den // num)))
 
     def of(self, n: int) -> int:
-        while self.edges[-1] <= n:
-            last = self.edges[-1]
-            self.edges.append(max(last + 1, -(-last * self.den // self.num)))
-        return int(np.searchsorted(self.edges, n, side="right")) - 1
+        return bisect_right(self.edges, n) - 1
 
     def differences(self, band: int) -> int:
         """H: the most shingles in which linked sets differ, the larger being of this band."""
-        self.of(self.edges[-1])
-        while len(self.edges) <= band + 1:
-            self.of(self.edges[-1])
         most = self.edges[band + 1] - 1
         # common >= num / (num + den) of |a| + |b|, so |a| + |b| - 2 common <= (den - num) / (den + num) * 2 * most
         return (self.den - self.num) * 2 * most // (self.den + self.num)
