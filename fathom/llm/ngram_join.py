@@ -4,17 +4,19 @@ A document's set are the 64-bit hashes of its distinct WIDTH-word shingles (of a
 is empty without words, and then links with nothing). Two documents link when NUM/DEN of their union is common.
 
 1. Documents with equal sets are one class, which the least doc_id stands for.
-2. Sizes are cut into bands such that sets that link lie in the same band or in neighbouring ones. Where the larger set is of
-   band b, linked sets differ in at most H(b) shingles. The hash space is cut into H(b) + 1 segments; a set's part in a
-   segment is a signature. By the pigeonhole principle linked sets agree in one segment at least, so each set brings its
-   signatures for its own band and for the next.
-3. Allocation by cost: where H(b) is at least SPREAD_FROM, all sets also bring the one-deletion neighbourhood of segment 0.
-   This segment then answers for two differences, so that each set need not ask in its dearest segment, the smallest
-   one (small parts, above all empty ones, are what very many unrelated sets have in common).
+2. Sizes are cut into bands such that sets that link lie in the same band or in neighbouring ones (which half of the sets
+   may). Where the larger set is of
+   band b, linked sets differ in at most H(b) shingles. The hash space is cut into H(b) + 1 + spare(b) segments; a set's
+   part in a segment is a signature. By the pigeonhole principle linked sets agree in more than spare(b) segments, so each
+   set brings its signatures for its own band, and for the next where it may link there.
+3. Allocation by cost: each set asks with all signatures but spare(b), its dearest ones, and only answers with these. Dear
+   are the smallest parts, above all empty ones: they are what very many unrelated sets have in common. Where H(b) is at
+   least SPREAD_FROM, segment 0 is a wide one, for which all sets also bring their one-deletion neighbourhood: it then
+   answers for two differences, and one signature more may be spared.
 4. In each bucket of a signature all members are compared with the least one, not with each other. Comparing is exact, on
-   the sets. Links make components. Only where a bucket then holds more than one component, members of different
-   components are compared too, unless their sizes or a parity sketch (whose distance is at most the sets') rule it out:
-   pairs within a component could change nothing.
+   the sets, after their sizes and parity sketches (whose distance is at most the sets') have not ruled the pair out. Links
+   make components. Only where a bucket then holds more than one component, members of different
+   components are compared too: pairs within a component could change nothing.
 
 A null text has no words. A null doc_id has component null and links with nothing. Rows that repeat a doc_id should repeat
 its text too; where they don't, each row joins by its own set under that doc_id, verified with one of the texts.
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathom.llm.batches import map_rows
 from fathom.llm.components import components
-from fathom.llm.storage import by_ids, save, small_join
+from fathom.llm.storage import by_ids, forget, save, small_join
 from fathom.llm.word_hash import WordHashes, mixed
 
 NUM, DEN = 90, 100
-SPREAD_FROM = 4
+#: Where one-deletion neighbourhoods pay, and about how many shingles their segment has.
+SPREAD_FROM, WIDE = 256, 16
 #: Words of the parity sketch: 64 bits each.
-SKETCH = 4
+SKETCH = 16
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -57,11 +60,16 @@ class Bands:
         self.num, self.den, self.edges = num, den, [1]
         while self.edges[-1] <= most:
             last = self.edges[-1]
-            self.edges.append(max(last + 1, -(-last * den // num)))
+            self.edges.append(max(last + 1, -(-last * den * den // (num * num))))
 
     def of(self, n: int) -> int:
         return bisect_right(self.edges, n) - 1
 
+    def joins(self, n: int) -> list[int]:
+        """The bands in which a set of this size may be linked: its own, and the next if that has sizes near enough."""
+        own = self.of(n)
+        return [own, own + 1] if n * self.den >= self.num * self.edges[own + 1] else [own]
+
     def differences(self, band: int) -> int:
         """H: the most shingles in which linked sets differ, the larger being of this band."""
         most = self.edges[band + 1] - 1
@@ -69,31 +77,42 @@ class Bands:
         return (self.den - self.num) * 2 * most // (self.den + self.num)
 
 
+def spare(h: int) -> int:
+    """Segments beyond H + 1: enough for the empty ones of nearly every set, however many segments there are."""
+    return -(-(h + 1) // 10) + 3
+
+
 def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a sorted set, and for each whether the set asks with it (else it only answers)."""
     if not len(s):
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
-    own, out, asks = bands.of(len(s)), [], []
+    out, asks = [], []
     scrambled = mixed(s + np.uint64(0x5851F42D4C957F2D))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(scrambled, dtype=np.uint64)])
-    for band in (own, own + 1):
+    for band in bands.joins(len(s)):
         h = bands.differences(band)
         if not h:
             continue  # these link only when equal
-        m = h + 1
-        at = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-        at = np.concatenate([[0], at, [len(s)]])
+        m, spared = h + 1 + spare(h), spare(h)
+        wide = h >= SPREAD_FROM
+        cuts = np.arange(1, m, dtype=np.float64) / m
+        if wide:
+            part = WIDE * bands.den / (bands.num * bands.edges[band])
+            cuts = part + (1 - part) * np.arange(m - 1, dtype=np.float64) / (m - 1)
+        at = np.concatenate([[0], np.searchsorted(s, (cuts * 2.0**64).astype(np.uint64)), [len(s)]])
         size = np.diff(at)
         total = sums[at[1:]] - sums[at[:-1]]
         salt = (np.arange(m, dtype=np.uint64) << np.uint64(20)) + np.uint64(band)
         whole = mixed(mixed(total + salt) + size.astype(np.uint64))
         ask = np.ones(m, dtype=bool)
-        if h >= SPREAD_FROM:
-            ask[1 + int(size[1:].argmin())] = False
+        if wide:
+            ask[1 + np.argsort(size[1:], kind="stable")[: spared + 1]] = False
             part = scrambled[: at[1]]
             less = mixed(mixed(total[0] - part + salt[0]) + np.uint64(max(0, len(part) - 1)))
             out.append(less)
             asks.append(np.ones(len(less), dtype=bool))
+        else:
+            ask[np.argsort(size, kind="stable")[:spared]] = False
         out.append(whole)
         asks.append(ask)
     if not out:
@@ -146,32 +165,46 @@ def hashed(rows: DataFrame, width: int) -> DataFrame:
     return map_rows(rows, make, "doc_id long, n long, shingles array<long>, sketch array<long>")
 
 
+def possible(na, nb, ka, kb, num: int, den: int):
+    """Whether sizes and sketches allow a link."""
+    distance = sum((F.bit_count(F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * distance <= (den - num) * (na + nb))
+
+
 def verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    one = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"), F.col("sketch").alias("kb")), "b")
-    two = one.join(held.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+    """The pairs (a, b) whose sets link; sets are shuffled only for pairs that their sketches allow."""
+    facts = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}"))
+    whole = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}"))
+    met = pairs.join(facts("a"), "a").join(facts("b"), "b")
+    left = save(met.filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den)).select("a", "b"), "possible")
     common = F.size(F.array_intersect("sa", "sb"))
-    return two.filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return left.join(whole("a"), "a").join(whole("b"), "b").filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> DataFrame:
     """For rows (doc_id, text): doc_id, n_shingles and component_id, a row per row."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     table = save(sets(rows, width, num, den), "sets")
-    some = table.filter("doc_id is not null and n > 0")
+    facts = save(table.select("doc_id", "n", "f1", "f2"), "set-facts")
+    some = facts.filter("doc_id is not null and n > 0")
     classes = save(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "classes")
     firsts = save(classes.select(F.col("first").alias("doc_id")).distinct(), "firsts")
-    mine = by_ids(some, firsts, "doc_id")
+    mine = by_ids(table.filter("n > 0"), firsts, "doc_id")
     asked = F.concat(F.transform("asking", lambda s: F.struct(s.alias("sig"), F.lit(1).alias("ask"))), F.transform("answering", lambda s: F.struct(s.alias("sig"), F.lit(0).alias("ask"))))
     members = mine.select("doc_id", F.explode(asked).alias("s")).select("doc_id", "s.sig", "s.ask")
     buckets = members.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.max("ask").alias("ask"))
     buckets = save(buckets.filter("a < b and ask = 1").drop("ask"), "buckets")
     large = save(buckets.filter("n > 2").select("sig", "a"), "large-buckets")
     in_large = save(small_join(members.select("doc_id", "sig"), large, "sig"), "large-members")
+    forget(table)
     pairs = buckets.filter("n = 2").select("a", "b").union(in_large.filter("doc_id > a").select("a", F.col("doc_id").alias("b"))).distinct()
     pairs = save(pairs, "pairs")
     wanted = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(in_large.select("doc_id")).distinct(), "wanted")
-    held = save(hashed(by_ids(rows, wanted, "doc_id").select("doc_id", "text"), width).dropDuplicates(["doc_id"]), "shingles")
+    some_rows = by_ids(rows, wanted, "doc_id").select("doc_id", "text")
+    # of a document whose rows repeat, one is enough; without such the texts stay where they are
+    if some.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        some_rows = some_rows.dropDuplicates(["doc_id"])
+    held = save(hashed(some_rows, width), "shingles")
     links = save(verified(pairs, held, num, den), "links")
     found = save(components(links), "components")
     # what may still link: members of different components in one bucket
@@ -181,9 +214,8 @@ def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> Dat
     open_members = small_join(labelled, mixed_buckets, "sig").join(held.select("doc_id", "n", "sketch"), "doc_id")
     open_members = save(open_members, "open-members")
     left, right = (open_members.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "sketch"))) for k in ("a", "b"))
-    distance = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
-    may &= (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ((den + num) * distance <= (den - num) * (F.col("n_a") + F.col("n_b")))
+    may &= possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den)
     more = left.join(right, "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     late = save(verified(more, held, num, den), "more-links")
@@ -192,4 +224,5 @@ def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> Dat
     # back from classes to documents: labels are those of the classes' first documents, which are their least
     label = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     label = save(label.select("n", "f1", "f2", F.coalesce("component", "first").alias("component_id")), "class-labels")
-    return table.join(label, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    forget(held, in_large, buckets, open_members)
+    return facts.join(label, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -27,7 +28,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.saved_at = path
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads, and lets Spark drop the shuffle files of plans that are done with."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        sc._jvm.System.gc()
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
