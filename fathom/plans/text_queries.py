@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.functions import hashing as H, text as X, vectors as V
-from fathom.operators import chunking, graph
+from fathom.operators import chunking, context, graph, models
+from fathom.plans import search
 from fathom.sources.tables import table
 
 
@@ -177,7 +178,35 @@ def order_midpoints(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", chunking.midpoint(F.lag("o").over(w), F.lead("o").over(w)).alias("middle"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, order_midpoints)}
+def build_context(spark, sf_dir):
+    rows = docs(spark, sf_dir).filter("doc_id < 60").select(F.col("doc_id").alias("rank"), F.lit(None).cast("string").alias("title"), "lang", F.col("lang").alias("heading"), F.concat(F.lit("a/"), "source", F.lit(".md")).alias("path"), F.substring("text", 1, 500).alias("content"))
+    return context.build_context(rows, 3000)
+
+
+def references(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("rank"), F.col("source").alias("path"), F.col("text").alias("content"))
+    return context.references(rows)
+
+
+def expand_context(spark, sf_dir):
+    chunks = line_chunks(spark, sf_dir).withColumn("heading", F.concat(F.lit("part "), F.floor(F.col("chunk_index") / 3).cast("string")))
+    return context.expand_context(chunks.filter("chunk_index % 7 = 3").select(F.col("chunk_id").alias("hit_id")), chunks, 1)
+
+
+def embed(spark, sf_dir):
+    made = models.embed(docs(spark, sf_dir), "text", model=models.HashingEmbedder(16))
+    return made.select("doc_id", *(F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"e{i}") for i in range(4)))
+
+
+def search_request(spark, sf_dir):
+    """A whole request over an index built from documents."""
+    files = docs(spark, sf_dir).filter("doc_id < 200").select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "source", "text")
+    made = search.build_index(files, model=models.HashingEmbedder(64))
+    request = search.Request("erenth ndor thing", vector=models.HashingEmbedder(64)(["erenth ndor thing"])[0], rerank=True, top_k=5)
+    return search.search(made, request)["results"].select("id", "path", F.round("score", 6).alias("score"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, order_midpoints, build_context, references, expand_context, embed, search_request)}
 
 LINES = "ln AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM notes), fen AS (SELECT *, sum(CASE WHEN starts_with(ltrim(t), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS f, starts_with(ltrim(t), '```') AS mark FROM ln), free AS (SELECT path, t, line FROM fen WHERE NOT mark AND f % 2 = 0)"
 FOUND = """raw AS (
@@ -195,7 +224,11 @@ LINE_CHUNKS = "lc AS (SELECT doc_id AS file_id, unnest(range(len(string_split(te
 N = lambda pattern: f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
 PREVIEW = lambda n: f"CASE WHEN length(text) > {n} THEN left(text, {n}) || '...' ELSE text END AS p{n}"
 
+BLOCK = "concat_ws(chr(10) || chr(10), '### ' || source, '**' || lang || '**', c, '[[a/' || source || '.md]]')"
 ORACLES = {
+    "build_context": f"WITH r AS (SELECT doc_id AS rank, lang, source, left(text, 500) AS c FROM documents WHERE doc_id < 60), t AS (SELECT *, floor((length(c) - length(regexp_replace(c, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g'))) / 1.5 + floor(length(regexp_replace(c, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g')) / 4))::BIGINT AS tk FROM r), u AS (SELECT *, sum(tk) OVER (ORDER BY rank) AS used FROM t) SELECT string_agg({BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*)::BIGINT AS n, sum(tk)::BIGINT AS tokens FROM u WHERE used <= 3000",
+    "references": "SELECT source AS path, count(*)::BIGINT AS n, min(doc_id) AS best, CASE WHEN length(arg_min(text, doc_id)) > 50 THEN left(arg_min(text, doc_id), 50) || '...' ELSE arg_min(text, doc_id) END AS preview FROM documents GROUP BY source",
+    "expand_context": f"WITH {LINE_CHUNKS}, n AS (SELECT h.file_id || '#' || h.i AS hit_id, c.i - h.i AS o, c.content AS content, 'part ' || (c.i // 3) AS heading FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN h.i - 1 AND h.i + 1 WHERE h.i % 7 = 3), p AS (SELECT *, CASE WHEN heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY hit_id ORDER BY o) THEN '### ' || heading || chr(10) ELSE '' END || CASE WHEN o = 0 THEN '**[HIT]** ' ELSE '' END || content AS piece FROM n) SELECT hit_id, string_agg(piece, chr(10) || chr(10) ORDER BY o) AS context, count(*) FILTER (o < 0)::BIGINT AS n_before, count(*) FILTER (o > 0)::BIGINT AS n_after FROM p GROUP BY hit_id",
     "token_counts": f"WITH c AS (SELECT doc_id, length(text) AS n, {N('[\\x{4e00}-\\x{9fff}]')} AS cjk, {N('[A-Za-z]')} AS l, {N('[0-9]')} AS d, {N('[\\x{4e01}-\\x{9ffe}]')} AS c2 FROM documents) SELECT doc_id, (floor(cjk / 1.5) + floor(l / 4) + floor(d / 3) + floor((n - cjk - l - d) / 2))::BIGINT AS n_tokens, floor(c2 / 1.5 + floor((n - c2) / 4))::BIGINT AS n_estimated, ceil(n / 2)::BIGINT AS n_client FROM c",
     "fingerprints": "SELECT doc_id, upper(sha256(text)) AS full, CASE WHEN text = '' THEN '' ELSE left(sha256(text), 16) END AS short, upper(left(sha256(text), 16)) AS query FROM documents",
     "sentence_stats": "WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?][\"」]?|[^。！？.!?]+$'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(s[1], '') AS first FROM s",
