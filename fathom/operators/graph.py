@@ -146,7 +146,7 @@ def title_search(nodes: DataFrame, chunks: DataFrame, query: str, k: int = 10) -
     hits = nodes.filter(F.contains(F.lower("title"), F.lit(query.lower()))).orderBy("id").limit(max(3 * k, 10))
     hits = hits.select(F.substring_index("id", "#", 1).alias("path"), "title", "type")
     scored = hits.withColumn("score", title_score(F.col("title"), F.col("type"), X.file_stem(F.col("path")), query))
-    met = scored.join(chunks, "path")
+    met = scored.join(chunks.select("path", "chunk_id", "chunk_index", "heading", "content"), "path")
     rank = F.when((F.col("type") == "heading") & F.contains(F.lower("heading"), F.lower("title")), 0).when(F.contains(F.lower("content"), F.lit(query.lower())), 1).otherwise(2)
     best = Window.partitionBy("path").orderBy(F.desc("score"), rank, "chunk_index", "title")
     return met.withColumn("r", F.row_number().over(best)).filter("r = 1").select("path", "chunk_id", "score").orderBy(F.desc("score"), F.lower("path")).limit(k)
@@ -168,7 +168,7 @@ def expand_results(results: DataFrame, edges: DataFrame, chunks: DataFrame, vect
         seen = seen.unionByName(frontier)
     others = seen.join(results.select(F.col("path").alias("node")), "node", "left_anti").orderBy("node").limit(min(max(most, 1), 10))
     least = F.broadcast(results.agg(F.min("score").alias("least")))
-    met = chunks.join(others.withColumnRenamed("node", "path"), "path").filter("chunk_index < 10").join(vectors, "chunk_id")
+    met = chunks.select("path", "chunk_id", "chunk_index").join(others.withColumnRenamed("node", "path"), "path").filter("chunk_index < 10").join(vectors, "chunk_id")
     scored = met.withColumn("sim", V.cosine(F.col("embedding"), query))
     best = scored.groupBy("path").agg(F.max_by("chunk_id", F.struct("sim", -F.col("chunk_index"))).alias("chunk_id"), F.max("sim").alias("sim"))
     return best.join(least).select("chunk_id", "path", F.when(F.col("sim") > 0, F.col("sim")).otherwise(0.6 * F.col("least")).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fathom.functions import text as X, vectors as V
 from fathom.functions.fixed_values import CLASSIC_STOP_WORDS, FTS_STOP_WORDS
 from fathom.operators import bm25, fusion, knn
-from fathom.sources.tables import table
+from fathom.sources.tables import spread, table
 
 QUERY = "the nation of ender thing"
 #: The vector that vector queries search with, by its vec_id.
@@ -55,7 +55,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def bm25_topk(spark, sf_dir):

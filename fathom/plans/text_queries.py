@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fathom.functions import hashing as H, text as X, vectors as V
 from fathom.operators import chunking, context, graph, models
 from fathom.plans import search
-from fathom.sources.tables import table
+from fathom.sources.tables import spread, table
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
