@@ -24,7 +24,7 @@ from fathom.llm.storage import save
 
 PRIOR_WORDS, PRIOR_LENGTH = 50.0, 5.0
 DIMENSIONS = ("x0", "x1", "x2", "x3")
-FLOORS = (0.10, 0.07, 0.15, 0.15)
+FLOORS = (0.10, 0.07, 0.20, 0.20)
 STEPS = 3
 #: The 0.999 quantile of chi-square with four degrees of freedom; and the consistency factor of the half.
 CUTOFF, CONSISTENCY = 18.47, 1.0 / 0.42
