@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.functions import text as X
@@ -37,16 +39,18 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | Non
     classic: k1 and b as given. fts: the constants 1.2 and 0.75 are fixed, and b weights the term frequency.
     One scan: only postings of the query's terms leave it, so nothing of the corpus is shuffled but matches.
     """
-    spark = docs.sparkSession
-    wanted = query_terms(spark, query, mode)
+    wanted = query_terms(docs.sparkSession, query, mode)
     terms = X.tokens(F.col(text_col)) if mode == "classic" else X.fts_tokens(F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("id"), terms.alias("terms")).select("id", "terms", F.size("terms").alias("len"))
     count = lambda t: F.size(F.filter("terms", lambda x: x == t)).cast("double")
     distinct = list(dict.fromkeys(wanted))
     tf = F.array(*(count(F.lit(t)) for t in distinct)) if distinct else F.array().cast("array<double>")
-    rows = sized.select("id", F.col("len").cast("double").alias("len"), tf.alias("tf"))
-    stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.get("tf", F.lit(i)) > 0).cast("double")).alias(f"df{i}") for i in range(len(distinct))))
-    scored = rows.filter(F.exists("tf", lambda x: x > 0)).join(F.broadcast(stats))
+    sized = lambda df: df.select(F.col(id_col).alias("id"), terms.alias("terms")).select("id", F.size("terms").cast("double").alias("len"), tf.alias("tf"))
+    stats = sized(docs).agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.get("tf", F.lit(i)) > 0).cast("double")).alias(f"df{i}") for i in range(len(distinct))))
+    # a term of classic mode stands in the lower-case text as it is: other texts need no tokens here
+    holders = docs
+    if mode == "classic" and distinct:
+        holders = docs.filter(reduce(lambda a, b: a | b, (F.contains(F.lower(text_col), F.lit(t)) for t in distinct)))
+    scored = sized(holders).filter(F.exists("tf", lambda x: x > 0)).join(F.broadcast(stats))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         times = 1 if mode == "classic" else wanted.count(t)
