@@ -121,48 +121,49 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, th, n, f1, f2, asking, answering): sizes, fingerprints and signatures, from rows (doc_id, th, text)."""
+    """(doc_id, th, n, f1, f2, sketch, asking, answering): sizes, fingerprints, sketches and signatures, from rows (doc_id, th, text)."""
 
     def make():
         words, bands = WordHashes(), Bands(num, den)
 
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "th": cols["th"], "n": [], "f1": [], "f2": [], "asking": [], "answering": []}
+            out = {"doc_id": cols["doc_id"], "th": cols["th"], "n": [], "f1": [], "f2": [], "sketch": [], "asking": [], "answering": []}
             for text in cols["text"]:
                 s = shingles(words.of((text or "").encode().lower().split()), width)
                 sig, ask = signatures(s, bands)
                 out["n"].append(len(s))
                 out["f1"].append(int(np.sum(mixed(s), dtype=np.uint64).view(np.int64)))
                 out["f2"].append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(7))).view(np.int64)) if len(s) else 0)
+                out["sketch"].append(sketch(s))
                 out["asking"].append(sig[ask].view(np.int64))
                 out["answering"].append(sig[~ask].view(np.int64))
             return out
 
         return step
 
-    return map_rows(rows, make, "doc_id long, th long, n long, f1 long, f2 long, asking array<long>, answering array<long>")
+    return map_rows(rows, make, "doc_id long, th long, n long, f1 long, f2 long, sketch array<long>, asking array<long>, answering array<long>")
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the counts of a set's hashes by bit; two sketches differ in no more bits than the sets in shingles."""
+    bit = (s >> np.uint64(40)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def hashed(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, shingles, sketch) of rows (doc_id, text)."""
+    """(doc_id, n, shingles) of rows (doc_id, text)."""
 
     def make():
         words = WordHashes()
 
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "n": [], "shingles": [], "sketch": []}
-            for text in cols["text"]:
-                s = shingles(words.of((text or "").encode().lower().split()), width)
-                bit = (s >> np.uint64(40)) % np.uint64(64 * SKETCH)
-                odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) % 2
-                out["n"].append(len(s))
-                out["shingles"].append(s.view(np.int64))
-                out["sketch"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            return out
+            found = [shingles(words.of((text or "").encode().lower().split()), width) for text in cols["text"]]
+            return {"doc_id": cols["doc_id"], "n": [len(s) for s in found], "shingles": [s.view(np.int64) for s in found]}
 
         return step
 
-    return map_rows(rows, make, "doc_id long, n long, shingles array<long>, sketch array<long>")
+    return map_rows(rows, make, "doc_id long, n long, shingles array<long>")
 
 
 def possible(na, nb, ka, kb, num: int, den: int):
@@ -171,21 +172,20 @@ def possible(na, nb, ka, kb, num: int, den: int):
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * distance <= (den - num) * (na + nb))
 
 
-def verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; sets are shuffled only for pairs that their sketches allow."""
-    facts = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}"))
+def verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; only documents of these pairs are read again, from rows (doc_id, text)."""
+    wanted = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    held = save(hashed(by_ids(rows, wanted, "doc_id"), width), "shingles")
     whole = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}"))
-    met = pairs.join(facts("a"), "a").join(facts("b"), "b")
-    left = save(met.filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den)).select("a", "b"), "possible")
     common = F.size(F.array_intersect("sa", "sb"))
-    return left.join(whole("a"), "a").join(whole("b"), "b").filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> DataFrame:
     """For rows (doc_id, text): doc_id, n_shingles and component_id, a row per row."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     table = save(sets(rows, width, num, den), "sets")
-    facts = save(table.select("doc_id", "n", "f1", "f2"), "set-facts")
+    facts = save(table.select("doc_id", "n", "f1", "f2", "sketch"), "set-facts")
     some = facts.filter("doc_id is not null and n > 0")
     classes = save(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "classes")
     firsts = save(classes.select(F.col("first").alias("doc_id")).distinct(), "firsts")
@@ -199,30 +199,29 @@ def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> Dat
     forget(table)
     pairs = buckets.filter("n = 2").select("a", "b").union(in_large.filter("doc_id > a").select("a", F.col("doc_id").alias("b"))).distinct()
     pairs = save(pairs, "pairs")
-    wanted = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(in_large.select("doc_id")).distinct(), "wanted")
-    some_rows = by_ids(rows, wanted, "doc_id").select("doc_id", "text")
-    # of a document whose rows repeat, one is enough; without such the texts stay where they are
-    if some.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        some_rows = some_rows.dropDuplicates(["doc_id"])
-    held = save(hashed(some_rows, width), "shingles")
-    links = save(verified(pairs, held, num, den), "links")
+    about = facts.filter("doc_id is not null and n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    about = save(about, "about")
+    side = lambda k: about.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den))
+    likely = save(likely.select("a", "b"), "likely")
+    texts = rows.select("doc_id", "text")
+    links = save(verified(likely, texts, width, num, den), "links")
     found = save(components(links), "components")
     # what may still link: members of different components in one bucket
     labelled = in_large.select("doc_id", "sig").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
     labelled = save(labelled, "labelled")
     mixed_buckets = save(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig"), "mixed")
-    open_members = small_join(labelled, mixed_buckets, "sig").join(held.select("doc_id", "n", "sketch"), "doc_id")
+    open_members = small_join(labelled, mixed_buckets, "sig").join(about, "doc_id")
     open_members = save(open_members, "open-members")
     left, right = (open_members.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "sketch"))) for k in ("a", "b"))
     may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
     may &= possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den)
     more = left.join(right, "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    late = save(verified(more, held, num, den), "more-links")
-    if late.limit(1).count():
+    if more.limit(1).count():
+        late = save(verified(more, texts, width, num, den), "more-links")
         found = save(components(links.union(late)), "components")
     # back from classes to documents: labels are those of the classes' first documents, which are their least
     label = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     label = save(label.select("n", "f1", "f2", F.coalesce("component", "first").alias("component_id")), "class-labels")
-    forget(held, in_large, buckets, open_members)
     return facts.join(label, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

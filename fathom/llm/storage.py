@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,15 +31,35 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.saved_at = path
+    if _scopes:
+        _scopes[-1].append(made)
     return made
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end the tables that were written inside, but for those given to what it yields."""
+    _scopes.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept.append
+    finally:
+        paths = {df.saved_at for df in kept}
+        forget(*(df for df in _scopes.pop() if df.saved_at not in paths))
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes written tables that no later plan reads, and lets Spark drop the shuffle files of plans that are done with."""
     for df in tables:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
         gc.collect()
         sc._jvm.System.gc()
 

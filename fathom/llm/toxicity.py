@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm.batches import map_rows
-from fathom.llm.storage import save
+from fathom.llm.storage import save, scratch
 
 SAMPLE, TOXIC_WORDS, ORDINARY_WORDS = 20_000, 4_000, 8_000
 LOG_ODDS, RULES = 4.0, ((2, 4), (3, 4), (3, 6), (4, 8))
@@ -194,7 +194,8 @@ def score_of(n: Column, count: Column, weights: list[float]) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, th, held_out, score, predicted); th: hash of the text."""
-    model = fit(docs, labels, sample)
+    with scratch():
+        model = fit(docs, labels, sample)
     rows = measure(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text"), model)
     scored = rows.withColumn("score", score_of(F.col("n"), F.get("counts", F.lit(model["rule"])), model["weights"]))
     return scored.select("doc_id", "th", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
