@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from fathom.llm.storage import by_ids, save
+from fathom.llm.storage import by_ids, save, scratch
 from fathom.sources.tables import table
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -30,7 +30,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays; of rows that repeat a doc_id, one does."""
-    joined = save(ngram_join.join(docs, WIDTH, NUM, DEN), "joined")
+    with scratch() as keep:
+        joined = save(ngram_join.join(docs, WIDTH, NUM, DEN), "joined")
+        keep(joined)
     later = save(joined.filter("component_id <> doc_id").select("doc_id").distinct(), "later")
     repeated = save(joined.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     kept = by_ids(docs, later, "doc_id", "left_anti")
