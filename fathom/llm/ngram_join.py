@@ -178,7 +178,10 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int)
     held = save(hashed(by_ids(rows, wanted, "doc_id"), width), "shingles")
     whole = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(whole("a"), "a").join(whole("b"), "b").filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
+    links = pairs.join(whole("a"), "a").join(whole("b"), "b").filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
+    links = save(links, "links")
+    forget(held, wanted)
+    return links
 
 
 def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -199,13 +202,15 @@ def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> Dat
     forget(table)
     pairs = buckets.filter("n = 2").select("a", "b").union(in_large.filter("doc_id > a").select("a", F.col("doc_id").alias("b"))).distinct()
     pairs = save(pairs, "pairs")
+    forget(buckets, large)
     about = facts.filter("doc_id is not null and n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     about = save(about, "about")
     side = lambda k: about.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den))
     likely = save(likely.select("a", "b"), "likely")
+    forget(firsts)
     texts = rows.select("doc_id", "text")
-    links = save(verified(likely, texts, width, num, den), "links")
+    links = verified(likely, texts, width, num, den)
     found = save(components(links), "components")
     # what may still link: members of different components in one bucket
     labelled = in_large.select("doc_id", "sig").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
@@ -218,8 +223,9 @@ def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> Dat
     may &= possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den)
     more = left.join(right, "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    forget(open_members, in_large, labelled, mixed_buckets)
     if more.limit(1).count():
-        late = save(verified(more, texts, width, num, den), "more-links")
+        late = verified(more, texts, width, num, den)
         found = save(components(links.union(late)), "components")
     # back from classes to documents: labels are those of the classes' first documents, which are their least
     label = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
