@@ -189,6 +189,24 @@ def test_patience_matches_in_order():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [0, 2, 3]
 
 
+@pytest.mark.parametrize("room", [1 << 28, 40])
+def test_lines_that_stand_twice_are_matched(room, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ROOM", room)
+    assert line_dedup.patience([1, 2, 8, 1, 2], [9, 1, 2, 7]) == [1, 2]
+    assert line_dedup.blocks([9, 1, 2, 7], [6, 1, 2, 8, 1, 2, 5], [5] * 7, 10) in ([1, 2], [4, 5])
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                length[i + 1][j + 1] = length[i][j] + 1 if x == y else max(length[i][j + 1], length[i + 1][j])
+        found, at = line_dedup.lcs(a, b), 0
+        assert len(set(found)) == length[-1][-1]
+        for j in found:
+            at = a.index(b[j], at) + 1
+
+
 def test_packing(spark, docs):
     encode = packing.Encoder(packing.tokenizer_path())
     got = packing.pack_documents(docs, capacity=64).collect()
