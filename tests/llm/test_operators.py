@@ -207,6 +207,36 @@ def test_lines_that_stand_twice_are_matched(room, monkeypatch):
             at = a.index(b[j], at) + 1
 
 
+def places_gone(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    return {r["d"]: set(r["gone"] or []) for r in line_dedup.removals(df).collect()}
+
+
+def test_blocks_whose_lines_have_other_owners(spark):
+    line = lambda k: " ".join(f"l{k}w{j}" for j in range(6))
+    own = iter(range(1000, 2000))
+    text = lambda *ks: "\n".join(line(k if k else next(own)) for k in ks)
+    texts = [(1, text(0, 1, 0)), (2, text(0, 2, 0)), (5, text(0, 1, 2, 0)), (9, text(1, 2, 0, 0))]
+    texts += [(20, text(31, 32, 0, 41, 42, 51, 52)), (21, text(41, 42, 0, 51, 52, 0, 31, 32, 0, 41, 42))]
+    assert places_gone(spark, texts) == {1: set(), 2: set(), 5: set(), 9: {0, 1}, 20: set(), 21: {0, 1, 3, 4, 6, 7, 9, 10}}
+
+
+def test_no_common_block_stays(spark):
+    # every block of ten words that stands in any earlier document, by trying all
+    rng = random.Random(11)
+    vocabulary = [" ".join(f"v{k}w{j}" for j in range(k % 7)) for k in range(18)]
+    texts = [(i, "\n".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 14)))) for i in range(40)]
+    got, seen = places_gone(spark, texts), set()
+    for i, text in texts:
+        full = [(p, x.split()) for p, x in enumerate(text.split("\n")) if x]
+        runs = [full[s:e] for s in range(len(full)) for e in range(s + 1, len(full) + 1) if sum(len(w) for _, w in full[s:e]) >= 10]
+        names = {tuple(" ".join(w) for _, w in run): [p for p, _ in run] for run in runs}
+        for run in runs:
+            if tuple(" ".join(w) for _, w in run) in seen:
+                assert got[i] >= {p for p, _ in run}
+        seen |= set(names)
+
+
 def test_packing(spark, docs):
     encode = packing.Encoder(packing.tokenizer_path())
     got = packing.pack_documents(docs, capacity=64).collect()
