@@ -221,6 +221,14 @@ def test_blocks_whose_lines_have_other_owners(spark):
     assert places_gone(spark, texts) == {1: set(), 2: set(), 5: set(), 9: {0, 1}, 20: set(), 21: {0, 1, 3, 4, 6, 7, 9, 10}}
 
 
+def test_blocks_of_short_lines(spark):
+    verse = [f"verse{k}" for k in range(60)]
+    pairs = [f"one{k} two{k}" for k in range(5)]
+    texts = [(1, "\n".join(["own", *verse])), (2, "\n".join([*verse, "mine"])), (3, "\n".join([*pairs[:2], "other", *pairs[2:]])), (4, "\n".join(["first", *pairs]))]
+    # the last one's block has a line in between where it stood before
+    assert places_gone(spark, texts) == {1: set(), 2: set(range(60)), 3: set(), 4: {1, 2, 3, 4, 5}}
+
+
 def test_no_common_block_stays(spark):
     # every block of ten words that stands in any earlier document, by trying all
     rng = random.Random(11)
