@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.functions import hashing as H, text as X, vectors as V
-from fathom.operators import chunking, context, graph, models
+from fathom.operators import bm25, chunking, context, graph, models
 from fathom.plans import search
 from fathom.sources.tables import spread, table
 
@@ -170,6 +170,40 @@ def drill_down(spark, sf_dir):
     return chunking.drill_down(chunks, hits, 2)
 
 
+def context_window_all(spark, sf_dir):
+    """Like context_window, around every chunk."""
+    chunks = line_chunks(spark, sf_dir)
+    return chunking.adjacent(chunks, chunks.select(F.col("chunk_id").alias("hit_id")), 1)
+
+
+def context_by_position_all(spark, sf_dir):
+    """Like context_by_position, over and around every chunk."""
+    chunks = line_chunks(spark, sf_dir)
+    return chunking.adjacent_by_position(chunks, chunks.select(F.col("chunk_id").alias("hit_id")), 1)
+
+
+def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hit_id, rank) of a search over the lines of all documents."""
+    found = bm25.search(line_chunks(spark, sf_dir), "chunk_id", "content", "erenth ndor thing", 20)
+    return found.select(F.col("id").alias("hit_id"), "rank")
+
+
+def drill_down_searched(spark, sf_dir):
+    return chunking.drill_down(line_chunks(spark, sf_dir), line_hits(spark, sf_dir).select("hit_id"), 2)
+
+
+def expand_context_searched(spark, sf_dir):
+    chunks = line_chunks(spark, sf_dir).withColumn("heading", F.concat(F.lit("part "), F.floor(F.col("chunk_index") / 3).cast("string")))
+    return context.expand_context(line_hits(spark, sf_dir).select("hit_id"), chunks, 1)
+
+
+def build_context_searched(spark, sf_dir):
+    """The context of a search over the lines of all documents: the budget's window sees its top-k only."""
+    whole = line_chunks(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "lang", "source"), "file_id")
+    rows = whole.join(F.broadcast(line_hits(spark, sf_dir)), F.col("chunk_id") == F.col("hit_id"))
+    return context.build_context(rows.select("rank", F.lit(None).cast("string").alias("title"), F.col("lang").alias("heading"), F.concat(F.lit("a/"), "source", F.lit(".md")).alias("path"), "content"), 3000)
+
+
 def order_midpoints(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -199,14 +233,14 @@ def embed(spark, sf_dir):
 
 
 def search_request(spark, sf_dir):
-    """A whole request over an index built from documents."""
-    files = docs(spark, sf_dir).filter("doc_id < 200").select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "source", "text")
+    """A whole request over an index built from all documents."""
+    files = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "source", "text")
     made = search.build_index(files, model=models.HashingEmbedder(64))
     request = search.Request("erenth ndor thing", vector=models.HashingEmbedder(64)(["erenth ndor thing"])[0], rerank=True, top_k=5)
     return search.search(made, request)["results"].select("id", "path", F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, order_midpoints, build_context, references, expand_context, embed, search_request)}
+QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, context_window_all, context_by_position_all, drill_down_searched, expand_context_searched, build_context_searched, order_midpoints, build_context, references, expand_context, embed, search_request)}
 
 LINES = "ln AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM notes), fen AS (SELECT *, sum(CASE WHEN starts_with(ltrim(t), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS f, starts_with(ltrim(t), '```') AS mark FROM ln), free AS (SELECT path, t, line FROM fen WHERE NOT mark AND f % 2 = 0)"
 FOUND = """raw AS (

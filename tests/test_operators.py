@@ -251,3 +251,21 @@ def test_bounded_histogram_stream(spark, tmp_path):
     query.awaitTermination(120)
     r = spark.table("histogram").collect()[-1]
     assert (r["n"], r["p50"], r["p95"], r["p99"]) == (50, 75.0, 98.0, 100.0)
+
+
+def test_search_and_context_reach_all_documents(spark, tmp_path):
+    from fathom.plans import catalog
+
+    texts = {i: f"plain line {i}\nother {i} words\nthird {i}" for i in range(230)}
+    texts[227] = "start of it\nerenth ndor thing here\nafter it\nmore\nlast " + "far " * 200
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert run("search_request")[0]["path"] == "notes/227.md"
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    around = {(f"{i}#{k}", f"{i}#{j}", j - k) for i, x in lines.items() for k in range(len(x)) for j in range(max(0, k - 1), min(len(x), k + 2))}
+    for name in ("context_window_all", "context_by_position_all"):
+        assert sorted(map(tuple, run(name))) == sorted(around)
+    assert [tuple(r) for r in run("drill_down_searched")] == [("227#1", "\n\n---\n\n".join(lines[227][:4]))]
+    assert [r["context"] for r in run("expand_context_searched")] == ["### part 0\nstart of it\n\n**[HIT]** erenth ndor thing here\n\nafter it"]
+    got = run("build_context_searched")
+    assert [(r["context"], r["n"]) for r in got] == [("### s\n\n**en**\n\nerenth ndor thing here\n\n[[a/s.md]]", 1)]
