@@ -32,13 +32,13 @@ class HashingEmbedder:
         return (out / np.where(norms < 1e-10, 1, norms)).tolist()
 
 
-def embed(df: DataFrame, text_col: str, mode: str = "document", model=None, out: str = "embedding", most_chars: int = 32_000) -> DataFrame:
-    """df with an embedding of each text; a model is any callable (texts, mode) -> vectors, loaded once a task. Longer texts than most_chars are an error of the caller and get null."""
+def embed(df: DataFrame, text_col: str, mode: str = "document", model=None, out: str = "embedding", most_chars: int | None = None) -> DataFrame:
+    """df with an embedding of each text; a model is any callable (texts, mode) -> vectors, loaded once a task. With most_chars, the bound of a request check, longer texts are an error of the caller and get null."""
     model = model or HashingEmbedder()
 
     @F.pandas_udf("array<float>")
     def run(batches: pd.Series) -> pd.Series:
-        return pd.Series([None if t is not None and len(t) > most_chars else v for t, v in zip(batches, model(batches.fillna("").tolist(), mode), strict=True)])
+        return pd.Series([None if most_chars and t is not None and len(t) > most_chars else v for t, v in zip(batches, model(batches.fillna("").tolist(), mode), strict=True)])
 
     return df.withColumn(out, run(F.col(text_col)))
 

@@ -169,7 +169,7 @@ def rerank(spark, sf_dir):
 
 def mmr(spark, sf_dir):
     found = bm25.search(docs(spark, sf_dir), "doc_id", "text", QUERY, 40)
-    rows = found.join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("content")), "id")
+    rows = found.join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
     return rounded(fusion.mmr(rows.select(F.lit(1).cast("long").alias("query_id"), "id", "score", "content"), K), "score")
 
 

@@ -58,7 +58,7 @@ def query_functions(spark, sf_dir):
 
 def enhanced(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return d.select("doc_id", X.enhance(F.substring("text", 1, 300), F.col("source"), F.col("lang"), F.array("lang", "source"), F.concat(F.lit("docs/my-notes/"), "source")).alias("text"))
+    return d.select("doc_id", X.enhance(F.col("text"), F.col("source"), F.col("lang"), F.array("lang", "source"), F.concat(F.lit("docs/my-notes/"), "source")).alias("text"))
 
 
 def path_functions(spark, sf_dir):
@@ -81,6 +81,27 @@ def bigram_similarity(spark, sf_dir):
     return d.join(e, "doc_id").select("doc_id", F.round(X.multiset_jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
+def bigram_similarity_whole(spark, sf_dir):
+    """Like bigram_similarity, over whole texts: pairs are counted once each, in time linear in the text."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def jaccard(a, b):
+        from collections import Counter
+
+        def one(x, y):
+            if len(x) < 2 or len(y) < 2:
+                return 0.0
+            common = sum((Counter(zip(x, x[1:], strict=False)) & Counter(zip(y, y[1:], strict=False))).values())
+            return common / (len(x) + len(y) - 2 - common)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    d = docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "").alias("t"))
+    e = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return d.join(e, "doc_id").select("doc_id", F.round(jaccard("t", "u"), 6).alias("similarity"))
+
+
 def vector_functions(spark, sf_dir):
     a = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
@@ -240,7 +261,7 @@ def search_request(spark, sf_dir):
     return search.search(made, request)["results"].select("id", "path", F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, context_window_all, context_by_position_all, drill_down_searched, expand_context_searched, build_context_searched, order_midpoints, build_context, references, expand_context, embed, search_request)}
+QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, bigram_similarity_whole, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, context_window_all, context_by_position_all, drill_down_searched, expand_context_searched, build_context_searched, order_midpoints, build_context, references, expand_context, embed, search_request)}
 
 LINES = "ln AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM notes), fen AS (SELECT *, sum(CASE WHEN starts_with(ltrim(t), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS f, starts_with(ltrim(t), '```') AS mark FROM ln), free AS (SELECT path, t, line FROM fen WHERE NOT mark AND f % 2 = 0)"
 FOUND = """raw AS (

@@ -269,3 +269,26 @@ def test_search_and_context_reach_all_documents(spark, tmp_path):
     assert [r["context"] for r in run("expand_context_searched")] == ["### part 0\nstart of it\n\n**[HIT]** erenth ndor thing here\n\nafter it"]
     got = run("build_context_searched")
     assert [(r["context"], r["n"]) for r in got] == [("### s\n\n**en**\n\nerenth ndor thing here\n\n[[a/s.md]]", 1)]
+
+
+def test_whole_texts_count(spark, tmp_path):
+    from fathom.operators import models
+    from fathom.plans import catalog
+
+    same = "abcd efg " * 20
+    long = "First of it is important. " * 40 + "The last words."
+    texts = {1: same + "xyzzy", 2: same + "plugh " * 30, 3: long, 4: "word " * 8000, 5: ""}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r[0]: r for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+
+    def jaccard(a, b):
+        left, right = ([x[i : i + 2] for i in range(len(x) - 1)] for x in ("".join(a.split()), "".join(b.split())))
+        common = sum(min(left.count(g), right.count(g)) for g in set(left))
+        return round(common / (len(left) + len(right) - common), 6) if left and right else 0.0
+
+    assert {i: r["similarity"] for i, r in run("bigram_similarity_whole").items()} == {i: pytest.approx(jaccard(texts[i], texts[i + 1]), abs=1e-6) for i in range(1, 5)}
+    made = run("enhanced")[3]["text"]
+    assert made.endswith(long) and "[要点]" in made
+    assert all(r["e0"] is not None for r in run("embed").values())
+    bound = models.embed(text_rows(spark, "a b", "c" * 50), "content", most_chars=40).orderBy("id").collect()
+    assert bound[0]["embedding"] is not None and bound[1]["embedding"] is None
