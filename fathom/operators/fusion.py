@@ -57,6 +57,23 @@ def sources_filter(df: DataFrame, enabled: list[str], requested: list[str] | Non
     return df.filter((blank & F.lit(keep_blank)) | (~blank & F.col("source").isin(*allowed)))
 
 
+def tags_filter(tags: Column, wanted: list[str]) -> Column:
+    """Whether any wanted tag is among the tags, ignoring case; all rows pass if none is wanted."""
+    if not wanted:
+        return F.lit(True)
+    return F.coalesce(F.arrays_overlap(F.filter(F.transform(tags, F.lower), lambda t: t.isNotNull()), F.array(*(F.lower(F.lit(t)) for t in wanted))), F.lit(False))
+
+
+def date_filter(modified: Column, start=None, end=None) -> Column:
+    """Whether a time is within inclusive bounds, of which None is open; null times are not."""
+    inside = modified.isNotNull()
+    if start is not None:
+        inside = inside & (modified >= F.lit(start))
+    if end is not None:
+        inside = inside & (modified <= F.lit(end))
+    return inside
+
+
 def folder_filter(path: Column, folder: str, standard: bool = True) -> Column:
     """standard: the folder itself or what is in it, ignoring case; else separators are normalised too and it must be inside."""
     f = folder.rstrip("/").lower() if standard else folder.replace("\\", "/").strip("/").lower()

@@ -43,6 +43,13 @@ def embed(df: DataFrame, text_col: str, mode: str = "document", model=None, out:
     return df.withColumn(out, run(F.col(text_col)))
 
 
+def recommended(registry: DataFrame, language: str | None = None, prefer_gpu: bool = True, k: int = 5) -> DataFrame:
+    """The best k of models (name, languages, is_gpu_supported, benchmark_score) for a language."""
+    rows = registry if language is None else registry.filter(F.coalesce(F.array_contains("languages", language), F.lit(False)))
+    rows = rows.filter("is_gpu_supported") if prefer_gpu else rows
+    return rows.orderBy(F.desc(F.coalesce("benchmark_score", F.lit(0.0))), "name").limit(k)
+
+
 def overlap_score(query: str, text: Column) -> Column:
     """The share of the query's distinct terms that the text has: the default reranking score, in [0, 1]."""
     wanted = F.array_distinct(X.tokens(F.lit(query)))

@@ -292,3 +292,17 @@ def test_whole_texts_count(spark, tmp_path):
     assert all(r["e0"] is not None for r in run("embed").values())
     bound = models.embed(text_rows(spark, "a b", "c" * 50), "content", most_chars=40).orderBy("id").collect()
     assert bound[0]["embedding"] is not None and bound[1]["embedding"] is None
+
+
+def test_filters_by_tags_and_dates_and_recommended_models(spark):
+    from fathom.operators import models
+
+    rows = spark.createDataFrame([(1, ["Red", None], dt.datetime(2024, 1, 1)), (2, ["blue"], dt.datetime(2024, 1, 5)), (3, None, None), (4, [], dt.datetime(2024, 1, 9))], "id int, tags array<string>, at timestamp")
+    ids = lambda c: [r["id"] for r in rows.filter(c).orderBy("id").collect()]
+    assert ids(fusion.tags_filter(F.col("tags"), ["RED", "x"])) == [1] and ids(fusion.tags_filter(F.col("tags"), [])) == [1, 2, 3, 4]
+    assert ids(~fusion.tags_filter(F.col("tags"), ["red"])) == [2, 3, 4]
+    assert ids(fusion.date_filter(F.col("at"), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5))) == [1, 2] and ids(fusion.date_filter(F.col("at"), dt.datetime(2024, 1, 5))) == [2, 4]
+    assert ids(fusion.date_filter(F.col("at"))) == [1, 2, 4]
+    registry = spark.createDataFrame([("a", ["en"], True, 1.0), ("b", None, True, 3.0), ("c", ["en", "zh"], False, 2.0), ("d", ["en"], True, None)], "name string, languages array<string>, is_gpu_supported boolean, benchmark_score double")
+    names = lambda *a: [r["name"] for r in models.recommended(registry, *a).collect()]
+    assert names() == ["b", "a", "d"] and names("en", False) == ["c", "a", "d"]
