@@ -5,21 +5,22 @@ is empty without words, and then links with nothing). Two documents link when NU
 
 1. Documents with equal sets are one class, which the least doc_id stands for.
 2. Sizes are cut into bands such that sets that link lie in the same band or in neighbouring ones (which half of the sets
-   may). Where the larger set is of
-   band b, linked sets differ in at most H(b) shingles. The hash space is cut into H(b) + 1 + spare(b) segments; a set's
-   part in a segment is a signature. By the pigeonhole principle linked sets agree in more than spare(b) segments, so each
-   set brings its signatures for its own band, and for the next where it may link there.
-3. Allocation by cost: each set asks with all signatures but spare(b), its dearest ones, and only answers with these. Dear
-   are the smallest parts, above all empty ones: they are what very many unrelated sets have in common. Where H(b) is at
-   least SPREAD_FROM, segment 0 is a wide one, for which all sets also bring their one-deletion neighbourhood: it then
-   answers for two differences, and one signature more may be spared.
-4. In each bucket of a signature all members are compared with the least one, not with each other. Comparing is exact, on
-   the sets, after their sizes and parity sketches (whose distance is at most the sets') have not ruled the pair out. Links
-   make components. Only where a bucket then holds more than one component, members of different
-   components are compared too: pairs within a component could change nothing.
+   may). Where the larger set is of band b, linked sets differ in at most H(b) shingles. The hash space is cut into
+   H(b) + 1 + spare(b) segments; the subset of a set that falls in a segment gives a signature, and each set brings its
+   signatures for its own band, and for the next where it may link there. From H = WIDE_FROM on segment 0 is a wide one:
+   for it all sets also bring its one-deletion neighbourhood, so that it answers for two differences.
+3. Allocation by cost: the cost of a signature is the number of sets that have it, counted over all. A set spares its
+   spare(b) dearest segments (one more where the wide segment answers for two) and asks in all others: linked sets agree
+   in one of these by the pigeonhole principle. Segments that very many unrelated sets have in common, empty ones or those of
+   a template, are spared this way.
+4. Who asks is compared with the least member of the bucket first. Comparing is exact, on the sets, after their sizes and
+   parity sketches (whose distance is at most the sets') have not ruled the pair out. Links make components. Only where a
+   bucket then holds more than one component, who asks is compared with the members of other components too: pairs within
+   a component could change nothing. So the links of each single document are not counted.
 
 A null text has no words. A null doc_id has component null and links with nothing. Rows that repeat a doc_id should repeat
-its text too; where they don't, each row joins by its own set under that doc_id, verified with one of the texts.
+its text too; where they don't, each row joins by its own set under that doc_id, verified with one of the texts. Columns
+other than doc_id and text are not looked at. Without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathom.llm.batches import map_rows
 from fathom.llm.components import components
@@ -35,10 +36,10 @@ from fathom.llm.storage import by_ids, forget, save, small_join
 from fathom.llm.word_hash import WordHashes, mixed
 
 NUM, DEN = 90, 100
-#: Where one-deletion neighbourhoods pay, and about how many shingles their segment has.
-SPREAD_FROM, WIDE = 256, 16
-#: Words of the parity sketch: 64 bits each.
-SKETCH = 16
+#: Differences from which on sets have a wide segment, and about how many shingles it has.
+WIDE_FROM, WIDE = 48, 8
+#: Families of signatures: of the own band, of the next band, of wide segments (which are never spared).
+OWN, NEXT, SOUGHT = 0, 1, 2
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -82,19 +83,21 @@ def spare(h: int) -> int:
     return -(-(h + 1) // 10) + 3
 
 
-def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted set, and for each whether the set asks with it (else it only answers)."""
+def signatures(s: np.ndarray, bands: Bands) -> dict[int, tuple[np.ndarray, int]]:
+    """Signatures of a sorted set by family, and how many of them it may spare."""
+    none = np.empty(0, dtype=np.uint64)
+    out = {OWN: (none, 0), NEXT: (none, 0), SOUGHT: (none, 0)}
     if not len(s):
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
-    out, asks = [], []
+        return out
+    sought = []
     scrambled = mixed(s + np.uint64(0x5851F42D4C957F2D))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(scrambled, dtype=np.uint64)])
-    for band in bands.joins(len(s)):
+    for family, band in zip((OWN, NEXT), bands.joins(len(s)), strict=False):
         h = bands.differences(band)
         if not h:
             continue  # these link only when equal
         m, spared = h + 1 + spare(h), spare(h)
-        wide = h >= SPREAD_FROM
+        wide = h >= WIDE_FROM
         cuts = np.arange(1, m, dtype=np.float64) / m
         if wide:
             part = WIDE * bands.den / (bands.num * bands.edges[band])
@@ -104,51 +107,46 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         total = sums[at[1:]] - sums[at[:-1]]
         salt = (np.arange(m, dtype=np.uint64) << np.uint64(20)) + np.uint64(band)
         whole = mixed(mixed(total + salt) + size.astype(np.uint64))
-        ask = np.ones(m, dtype=bool)
         if wide:
-            ask[1 + np.argsort(size[1:], kind="stable")[: spared + 1]] = False
             part = scrambled[: at[1]]
             less = mixed(mixed(total[0] - part + salt[0]) + np.uint64(max(0, len(part) - 1)))
-            out.append(less)
-            asks.append(np.ones(len(less), dtype=bool))
+            sought += [less, whole[:1]]
+            out[family] = whole[1:], spared + 1
         else:
-            ask[np.argsort(size, kind="stable")[:spared]] = False
-        out.append(whole)
-        asks.append(ask)
-    if not out:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
-    return np.concatenate(out), np.concatenate(asks)
+            out[family] = whole, spared
+    if sought:
+        out[SOUGHT] = np.unique(np.concatenate(sought)), 0
+    return out
 
 
 def sets(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, th, n, f1, f2, sketch, asking, answering): sizes, fingerprints, sketches and signatures, from rows (doc_id, th, text)."""
+    """(doc_id, th, n, f1, f2, sketch, own, next, sought, spare_own, spare_next): sizes, fingerprints, sketches and signatures, from rows (doc_id, th, text)."""
 
     def make():
         words, bands = WordHashes(), Bands(num, den)
 
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "th": cols["th"], "n": [], "f1": [], "f2": [], "sketch": [], "asking": [], "answering": []}
+            made = ("n", "f1", "f2", "sketch", "own", "next", "sought", "spare_own", "spare_next")
+            out = {"doc_id": cols["doc_id"], "th": cols["th"]} | {name: [] for name in made}
             for text in cols["text"]:
                 s = shingles(words.of((text or "").encode().lower().split()), width)
-                sig, ask = signatures(s, bands)
-                out["n"].append(len(s))
-                out["f1"].append(int(np.sum(mixed(s), dtype=np.uint64).view(np.int64)))
-                out["f2"].append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(7))).view(np.int64)) if len(s) else 0)
-                out["sketch"].append(sketch(s))
-                out["asking"].append(sig[ask].view(np.int64))
-                out["answering"].append(sig[~ask].view(np.int64))
+                found = signatures(s, bands)
+                f1, f2 = (int(f.view(np.int64)) for f in (np.sum(mixed(s), dtype=np.uint64), np.bitwise_xor.reduce(mixed(s + np.uint64(7))) if len(s) else np.uint64(0)))
+                own, following, sought = (found[k][0].view(np.int64) for k in (OWN, NEXT, SOUGHT))
+                for name, v in zip(made, (len(s), f1, f2, sketch(s), own, following, sought, found[OWN][1], found[NEXT][1]), strict=True):
+                    out[name].append(v)
             return out
 
         return step
 
-    return map_rows(rows, make, "doc_id long, th long, n long, f1 long, f2 long, sketch array<long>, asking array<long>, answering array<long>")
+    return map_rows(rows, make, "doc_id long, th long, n long, f1 long, f2 long, sketch array<long>, own array<long>, next array<long>, sought array<long>, spare_own int, spare_next int")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the counts of a set's hashes by bit; two sketches differ in no more bits than the sets in shingles."""
-    bit = (s >> np.uint64(40)) % np.uint64(64 * SKETCH)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) % 2
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parities of the counts of a set's hashes by bit, about a bit for each; two sketches differ in no more bits than the sets in shingles."""
+    bits = 64 << max(3, (max(1, len(s)) - 1).bit_length() - 6)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def hashed(rows: DataFrame, width: int) -> DataFrame:
@@ -166,10 +164,16 @@ def hashed(rows: DataFrame, width: int) -> DataFrame:
     return map_rows(rows, make, "doc_id long, n long, shingles array<long>")
 
 
-def possible(na, nb, ka, kb, num: int, den: int):
-    """Whether sizes and sketches allow a link."""
-    distance = sum((F.bit_count(F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * distance <= (den - num) * (na + nb))
+def halved(k: Column, size: Column) -> Column:
+    """A sketch as one of `size` words, where it has twice as many."""
+    return F.when(F.size(k) > size, F.zip_with(F.slice(k, F.lit(1), size), F.slice(k, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(k)
+
+
+def possible(na: Column, nb: Column, ka: Column, kb: Column, num: int, den: int) -> Column:
+    """Whether sizes and sketches allow a link; sets of half or less of the other's size don't link."""
+    least = F.least(F.size(ka), F.size(kb))
+    distance = F.aggregate(F.zip_with(halved(ka, least), halved(kb, least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return F.when(den * F.least(na, nb) >= num * F.greatest(na, nb), (den + num) * distance <= (den - num) * (na + nb)).otherwise(False)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -184,46 +188,51 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int)
     return links
 
 
+def asked(members: DataFrame) -> DataFrame:
+    """Rows (sig, doc_id) of the signatures with which a document asks, from (sig, n, doc_id, family, spare): all but its `spare` dearest of a family."""
+    dearest = Window.partitionBy("doc_id", "family").orderBy(F.desc("n"), "sig")
+    return members.withColumn("place", F.row_number().over(dearest)).filter("place > spare").select("sig", "doc_id")
+
+
 def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> DataFrame:
-    """For rows (doc_id, text): doc_id, n_shingles and component_id, a row per row."""
+    """For rows (doc_id, text): doc_id, n_shingles and component_id, a row per row. num / den has to be over a half."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     table = save(sets(rows, width, num, den), "sets")
-    facts = save(table.select("doc_id", "n", "f1", "f2", "sketch"), "set-facts")
+    facts = save(table.select("doc_id", "n", "f1", "f2"), "set-facts")
     some = facts.filter("doc_id is not null and n > 0")
-    classes = save(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "classes")
+    classes = save(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first")), "classes")
     firsts = save(classes.select(F.col("first").alias("doc_id")).distinct(), "firsts")
     mine = by_ids(table.filter("n > 0"), firsts, "doc_id")
-    asked = F.concat(F.transform("asking", lambda s: F.struct(s.alias("sig"), F.lit(1).alias("ask"))), F.transform("answering", lambda s: F.struct(s.alias("sig"), F.lit(0).alias("ask"))))
-    members = mine.select("doc_id", F.explode(asked).alias("s")).select("doc_id", "s.sig", "s.ask")
-    buckets = members.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.max("ask").alias("ask"))
-    buckets = save(buckets.filter("a < b and ask = 1").drop("ask"), "buckets")
-    large = save(buckets.filter("n > 2").select("sig", "a"), "large-buckets")
-    in_large = save(small_join(members.select("doc_id", "sig"), large, "sig"), "large-members")
+    every = mine.select("doc_id", F.explode(F.concat("own", "next", "sought")).alias("sig"))
+    buckets = every.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    buckets = save(buckets.filter("a < b").select("sig", "a", "n"), "buckets")
+    family = lambda name, k, spare: F.transform(name, lambda s: F.struct(s.alias("sig"), F.lit(k).alias("family"), spare.alias("spare")))
+    tagged = F.concat(family("own", OWN, F.col("spare_own")), family("next", NEXT, F.col("spare_next")), family("sought", SOUGHT, F.lit(0)))
+    members = save(small_join(mine.select("doc_id", F.explode(tagged).alias("s")).select("doc_id", "s.*"), buckets, "sig"), "members")
+    asking = save(asked(members), "asking")
+    about = save(mine.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "about")
     forget(table)
-    pairs = buckets.filter("n = 2").select("a", "b").union(in_large.filter("doc_id > a").select("a", F.col("doc_id").alias("b"))).distinct()
-    pairs = save(pairs, "pairs")
-    forget(buckets, large)
-    about = facts.filter("doc_id is not null and n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    about = save(about, "about")
+    leaders = small_join(asking, buckets, "sig").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     side = lambda k: about.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den))
+    likely = leaders.join(side("a"), "a").join(side("b"), "b").filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den))
     likely = save(likely.select("a", "b"), "likely")
-    forget(firsts)
     texts = rows.select("doc_id", "text")
     links = verified(likely, texts, width, num, den)
     found = save(components(links), "components")
-    # what may still link: members of different components in one bucket
-    labelled = in_large.select("doc_id", "sig").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
-    labelled = save(labelled, "labelled")
-    mixed_buckets = save(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig"), "mixed")
-    open_members = small_join(labelled, mixed_buckets, "sig").join(about, "doc_id")
-    open_members = save(open_members, "open-members")
-    left, right = (open_members.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "sketch"))) for k in ("a", "b"))
+    # what may still link: who asks, and members of other components in the bucket
+    label = lambda df: df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
+    labelled = save(label(members.filter("n > 2").select("doc_id", "sig")), "labelled")
+    open_buckets = save(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig"), "open")
+    mine_asks = small_join(asking, open_buckets, "sig").withColumn("asks", F.lit(True))
+    left = small_join(labelled, open_buckets, "sig").join(mine_asks, ["sig", "doc_id"], "left")
+    left = save(left.join(about, "doc_id"), "open-members")
+    right = left.filter("asks")
+    named = lambda df, k: df.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "sketch")))
     may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
     may &= possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den)
-    more = left.join(right, "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    more = save(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    forget(open_members, in_large, labelled, mixed_buckets)
+    more = named(left, "a").join(named(right, "b"), "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    more = save(more.join(likely, ["a", "b"], "left_anti"), "more-pairs")
+    forget(left, members, labelled, asking)
     if more.limit(1).count():
         late = verified(more, texts, width, num, den)
         found = save(components(links.union(late)), "components")
