@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Most rows of an id table that a join may broadcast: about 32 MB in each executor.
 BROADCAST_ROWS = 1_000_000
+#: Spark's own setting that drops the shuffle files of a query when it ends; what `save` wrote is read from the table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; in a local session that doesn't set it, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = _own_folder()
+    return f"{base}/tables-{spark.sparkContext.applicationId}"
 
 
 @cache
@@ -28,40 +35,53 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later plans start there, and lost executors cost only their tasks."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     made.saved_at = path
-    if _scopes:
-        _scopes[-1].append(made)
+    if (scope := _scope.get()) is not None:
+        scope.append(made)
     return made
 
 
-_scopes: list[list[DataFrame]] = []
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scratch():
     """Deletes at its end the tables that were written inside, but for those given to what it yields."""
-    _scopes.append([])
+    outer, inner = _scope.get(), []
     kept: list[DataFrame] = []
+    token = _scope.set(inner)
     try:
         yield kept.append
     finally:
+        _scope.reset(token)
         paths = {df.saved_at for df in kept}
-        forget(*(df for df in _scopes.pop() if df.saved_at not in paths))
-        if _scopes:
-            _scopes[-1].extend(kept)
+        forget(*(df for df in inner if df.saved_at not in paths))
+        if outer is not None:
+            outer.extend(kept)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes written tables that no later plan reads, and lets Spark drop the shuffle files of plans that are done with."""
+    """Deletes written tables that no later plan reads."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        gc.collect()
-        sc._jvm.System.gc()
+        _delete(df.sparkSession, df.saved_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application still has; results that were not read or written before are lost."""
+    _delete(spark, shared_folder(spark))
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
