@@ -4,23 +4,25 @@ Tokens are those of the tokenizer file for the whole text, then the id END. Long
 CAPACITY tokens, of which the first takes what is left over. Full pieces are sequences of their own. The others are
 dealt evenly to blocks of about BLOCK pieces; each block is packed by ISLANDS islands: every island starts from a
 best-fit-decreasing packing and shuffled best-fit packings, and breeds children by injecting whole well-filled sequences
-of one parent into the other, dropping the sequences that hold injected pieces twice, and re-fitting displaced pieces
-best-fit, largest first. After each epoch the best packing of an island migrates to the next island; in the end the best
-one of the block stays. What its sequences leave open is little: sequences filled to less than LOOSE are taken apart and
-packed once more in blocks of their own, as long as that frees sequences. All choices are seeded by the block, so a
-task that runs again gives the same result.
-
-A null or empty text is the END id alone. Repeated rows are packed each. Without documents there are no sequences.
+of one parent into the other and dropping the sequences that hold injected pieces twice. Displaced pieces, and those of
+the emptiest sequences, first take the place of one or two pieces of a sequence that they then fill to the last token, and
+are then fitted best-fit, largest first. After each epoch the best packing of an island migrates to the next island; in the
+end the best one of the block stays. An island stops at the least number of sequences that the tokens allow. What all
+sequences leave open is little: those filled to less than LOOSE are taken apart, mixed with those of other blocks and
+packed once more, until all that are left are in one block or as few as their tokens allow. All choices are seeded by the
+block, so a task that runs again gives the same result; among equally good packings the one of the first island stays.
+
+A null or empty text is the END id alone. Repeated rows are packed each; a null doc_id is as any other. Columns other than
+doc_id and text are not looked at. Without documents there are no sequences.
 """
 
 from __future__ import annotations
 
 import random
 import re
-import sys
 import zlib
 from array import array
-from pathlib import Path
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -29,16 +31,23 @@ from fathom.llm.batches import map_rows
 from fathom.llm.storage import save
 
 CAPACITY, END = 2048, 0
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 3, 2, 4, 3
-LOOSE, REPACKS = 0.98, 2
-_BEYOND_LATIN = re.compile("[^\x00-\\u024f]")
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 3, 2, 4, 3
+#: Share of the better half of the sequences that a crossover injects.
+INJECTED = 0.1
+LOOSE, REPACKS = 0.98, 8
+#: Pieces of text whose ids a Python worker remembers, at most so many.
+MEMORY = 500_000
+#: Texts for which Python's own classes of letters, digits and white space are the tokenizer's.
+_OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
+#: The tokenizer's split of a text into pieces that are encoded each by itself, in Python's syntax.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer file.
 
-    Beside the file may lie the same vocabulary as ranks (name.tiktoken), whose library takes a quarter of the time; it then
-    encodes the texts of Latin letters and signs, for which both libraries' character classes are the same.
+    Byte-level BPE encodes each piece of a text by itself, so the ids of pieces are remembered. Texts with characters whose
+    class may differ between Python and the tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -46,25 +55,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ranked = ranked(path.removesuffix(".json") + ".tiktoken")
+        self.known = _Known(self.whole)
 
-    def __call__(self, text: str) -> bytes:
-        if self.ranked and not _BEYOND_LATIN.search(text):
-            return array("I", self.ranked(text)).tobytes()
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def __call__(self, text: str) -> bytes:
+        if _OTHER.search(text):
+            return self.whole(text)
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
-def ranked(path: str):
-    """The encoding function of a file of ranks, or None without it."""
-    import base64
 
-    import public_tokenizers
-    import tiktoken
+class _Known(dict):
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[piece] = made = self.encode(piece)
+        return made
 
-    if not Path(path).exists() or sys.byteorder != "little":
-        return None
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding(Path(path).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which remembers pieces from one task to the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenizer_path() -> str:
@@ -81,7 +101,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = Encoder(path), np.array([END], dtype="<u4").tobytes()
+        encode, end = encoder(path), np.array([END], dtype="<u4").tobytes()
 
         def step(cols):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
@@ -130,10 +150,41 @@ def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[i
     return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def fill_up(lengths: list[int], bins: list[list[int]], pool: list[int], capacity: int) -> list[int]:
+    """Swaps one or two pieces of bins with room for one or two of the pool that fill them to the last token; the pool after that."""
+    alive: set[int] = set()
+    by_sum: dict[int, list[tuple[int, ...]]] = {}
+
+    def add(i: int) -> None:
+        by_sum.setdefault(lengths[i], []).append((i,))
+        for j in list(alive)[:64]:
+            by_sum.setdefault(lengths[i] + lengths[j], []).append((i, j))
+        alive.add(i)
+
+    for i in pool:
+        add(i)
+    for held in bins:
+        room = capacity - sum(lengths[i] for i in held)
+        few = held[:5] if room else []
+        for out in (*combinations(few, 2), *((i,) for i in few)):
+            fits = by_sum.get(sum(lengths[i] for i in out) + room, [])
+            while fits and not alive.issuperset(fits[-1]):
+                fits.pop()
+            if fits:
+                came = fits.pop()
+                alive.difference_update(came)
+                for i in out:
+                    held.remove(i)
+                    add(i)
+                held += came
+                break
+    return sorted(alive)
+
+
 def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Whole well-filled bins of b go into a; bins of a that hold their pieces too are dropped, and what these displace is fitted anew."""
+    """Some whole well-filled bins of b go into a; bins of a that hold their pieces too are dropped, and what these displace is fitted anew."""
     filled = sorted(range(len(b)), key=lambda k: -sum(lengths[i] for i in b[k]))
-    chosen = [k for k in filled[: max(1, len(filled) // 2)] if rng.random() < 0.5] or filled[:1]
+    chosen = [k for k in filled[: max(1, len(filled) // 2)] if rng.random() < INJECTED] or [filled[rng.randrange(max(1, len(filled) // 2))]]
     injected = [list(b[k]) for k in chosen]
     taken = {i for held in injected for i in held}
     kept, displaced = [], []
@@ -144,9 +195,11 @@ def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capaci
             displaced += [i for i in held if i not in taken]
     # the emptiest bins are opened too, for the displaced to mix with theirs
     kept.sort(key=lambda held: sum(lengths[i] for i in held))
-    for held in kept[: max(1, len(kept) // 20)]:
+    opened = max(1, len(kept) // 50)
+    for held in kept[:opened]:
         displaced += held
-    bins = injected + kept[max(1, len(kept) // 20) :]
+    bins = injected + kept[opened:]
+    displaced = fill_up(lengths, bins, displaced, capacity)
     displaced.sort(key=lambda i: (-lengths[i], i))
     return best_fit(lengths, displaced, bins, capacity)
 
@@ -165,7 +218,7 @@ def evolve(lengths: list[int], elites: list[list[list[int]]], capacity: int, see
     for _ in range(generations):
         if len(people[0]) == least:
             break
-        a, b = people[0], people[rng.randrange(1, len(people))] if len(people) > 1 else people[0]
+        a, b = people[0], people[rng.randrange(1, len(people))]
         children = [crossover(lengths, a, b, capacity, rng), crossover(lengths, b, a, capacity, rng)]
         people = sorted(people + children, key=rate, reverse=True)[:population]
     return people[0]
