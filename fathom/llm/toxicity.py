@@ -2,25 +2,29 @@
 
 A window is one word (letters, digits, _; lower case) between spaces, with a fixed head and tail that both dictionaries
 end with; without these the frame's overhead, and the last bytes that zstandard doesn't search, would hide what a short
-word saves. A window counts as toxic by a rule (saved, cost) when the toxic dictionary saves at least `saved` bytes against
-the ordinary one, and its window is at most `cost` bytes longer than an empty one. The number of distinct toxic windows of a whole text, and of its distinct words, give the
-score by a logistic calibration.
+word saves. What counts are the bytes that a window takes less under the toxic dictionary than under the ordinary one: all
+windows of a whole text are compressed under both, each distinct word once. The numbers of windows that save at least 1, 2, ... SAVED bytes,
+and of all, give the score by a logistic calibration of these thresholds.
 
 Fit: from the labelled rows of the training folds, at most about SAMPLE of them (by a hash of doc_id, the rest of the
-rows has no part in it), copies and near copies of a text once. Words are counted by class in Spark; the toxic dictionary holds the at most
-TOXIC_WORDS words that toxic texts have far oftener, the ordinary one the ORDINARY_WORDS most frequent words of ordinary
-texts, most frequent last; the toxic one has these too, so that ordinary words compress alike. Zstandard's own trainer is
-not used: its entropy tables make short words as cheap without a match. For the calibration each half of the sample is
-measured with the words of the other half; the rule is chosen among RULES with it, by the likelihood of the labels.
-
-Null or empty texts have no windows and the score of that; without labels of both classes every score is the prior.
-Repeated rows get a score each; of repeated labels of a document any toxic one counts.
+rows has no part in it), of copies and near copies of a text the one with the least doc_id. Zstandard trains both
+dictionaries on windows of texts: the ordinary one on those of ordinary texts, the toxic one on those windows of toxic
+texts which toxic texts have at least RATIO times as often as ordinary ones, for other windows say nothing about the
+class. The toxic dictionary goes on with the ordinary one's content, so that ordinary words compress alike under both. Both are
+used as content, without the trainer's entropy tables, which make short words cheap without a match. Matches are of
+parts of words too: words that no training text had count where they are made like toxic ones. For the calibration each
+half of the sample is measured with the dictionaries of the other half.
+
+Null or empty texts have no windows and the score of that; without labels of both classes every score is the prior; where
+the trainer has too few windows, they are the dictionary as they are. Repeated rows get a score each; of repeated labels of a
+document any toxic one counts. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,9 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fathom.llm.batches import map_rows
 from fathom.llm.storage import save, scratch
 
-SAMPLE, TOXIC_WORDS, ORDINARY_WORDS = 20_000, 4_000, 8_000
-LOG_ODDS, RULES = 4.0, ((2, 4), (3, 4), (3, 6), (4, 8))
-CUTOFF, LEVEL, CACHE = 0.7, 19, 400_000
+SAMPLE, TOXIC_BYTES, ORDINARY_BYTES = 20_000, 4_096, 131_072
+#: Words, and windows with their repeats, that a dictionary is trained on, at most so many.
+TRAINED_WORDS, TRAINED_WINDOWS = 100_000, 400_000
+RATIO, SAVED = 50, 5
+CUTOFF, LEVEL, CACHE = 0.7, 12, 400_000
 HEAD, TAIL = bytes(range(1, 25)), bytes(range(128, 152))
 _WORD = re.compile(r"\w+")
 
@@ -43,56 +49,61 @@ def distinct_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-class Windows:
-    """Bytes that the toxic dictionary saves on each word."""
+def window(word: str) -> bytes:
+    return HEAD + b" " + word.encode() + b" " + TAIL
 
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        import zstandard as z
 
-        content = lambda words: (" " + " ".join(words) + " ").encode()
-        base = content(ordinary) + HEAD + TAIL
-        params = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+def trained(windows: list[tuple[str, int]], size: int) -> bytes:
+    """Content of a dictionary that zstandard trains on windows with their numbers."""
+    import zstandard as z
 
-        def compressor(data: bytes):
-            held = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=params)
-            return z.ZstdCompressor(dict_data=held, compression_params=params)
+    share = min(1.0, TRAINED_WINDOWS / max(1, sum(n for _, n in windows)))
+    repeated = [f" {w} ".encode() for w, n in sorted(windows) for _ in range(max(1, round(n * share)))]
+    np.random.default_rng(0).shuffle(repeated)
+    try:
+        return z.train_dictionary(size, repeated).as_bytes()
+    except z.ZstdError:  # too few windows to train on
+        return b"".join(dict.fromkeys(repeated))[-size:]
 
-        self.toxic, self.ordinary = compressor(content(toxic) + base), compressor(base)
-        self.empty = len(self.toxic.compress(HEAD + b"  " + TAIL))
-        # a word saves bytes only by a match of four characters in the toxic words
-        text = content(toxic).decode()
-        self.grams = {text[i : i + 4] for i in range(len(text) - 3)}
-        self.known: dict[str, tuple[int, int]] = {}
 
-    def measure(self, word: str) -> tuple[int, int]:
-        """Bytes saved on the window of a word, and its cost; (0, 0) where the toxic dictionary has nothing to match."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            padded, found = f" {word} ", (0, 0)
-            if any(padded[i : i + 4] in self.grams for i in range(len(padded) - 3)):
-                window = HEAD + padded.encode() + TAIL
-                size = len(self.toxic.compress(window))
-                found = len(self.ordinary.compress(window)) - size, size - self.empty
-            self.known[word] = found
-        return found
+def compressor(content: bytes):
+    """Length of a window compressed under a dictionary of this content."""
+    import zstandard as z
 
-    def counts(self, words: set[str], rules=RULES) -> list[int]:
-        """Toxic windows by each rule."""
-        some = [x for w in words if (x := self.measure(w))[0] > 1]
-        return [sum(saved >= least and cost <= most for saved, cost in some) for least, most in rules]
+    params = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    held = z.ZstdCompressionDict(content + HEAD + TAIL, dict_type=z.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=params)
+    compress = z.ZstdCompressor(dict_data=held, compression_params=params).compress
+    return lambda data: len(compress(data))
 
 
-def features(count, n):
-    """Of toxic windows and distinct words: arrays to a matrix with a column of ones."""
-    count, n = np.asarray(count, dtype=float), np.asarray(n, dtype=float)
-    return np.stack([np.ones_like(n), np.minimum(count, 12), np.minimum(count, 2), np.log1p(1000 * count / np.maximum(n, 1)), np.log1p(n)], axis=1)
+class Windows(dict):
+    """Bytes that the toxic dictionary saves on each word against the ordinary one."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = compressor(toxic + ordinary), compressor(ordinary)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        data = window(word)
+        self[word] = made = self.ordinary(data) - self.toxic(data)
+        return made
+
+    def counts(self, words: set[str]) -> list[int]:
+        """Windows that save at least 1, 2, ... SAVED bytes."""
+        saved = [x for w in words if (x := self[w]) > 0]
+        return [sum(x >= least for x in saved) for least in range(1, SAVED + 1)]
+
+
+def features(counts, n):
+    """A matrix with a column of ones, from rows of counts and numbers of windows."""
+    counts, n = np.asarray(counts, dtype=float).reshape(-1, SAVED), np.asarray(n, dtype=float)[:, None]
+    return np.hstack([np.ones_like(n), np.log1p(1000 * counts / np.maximum(n, 1)), np.minimum(counts, 3), np.log1p(n)])
 
 
 def logistic(x, y, ridge: float = 1.0, steps: int = 40):
-    """Weights of a ridge logistic regression by Newton steps, and the log-likelihood."""
+    """Weights of a ridge logistic regression by Newton steps."""
     w, keep = np.zeros(x.shape[1]), ridge * np.diag([1e-6] + [1.0] * (x.shape[1] - 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -101,12 +112,11 @@ def logistic(x, y, ridge: float = 1.0, steps: int = 40):
         w = w + move
         if np.abs(move).max() < 1e-8:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
-    return w, float(np.sum(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """A model as plain data: words of both dictionaries, rule and weights. docs: (doc_id, text), labels: (doc_id, toxic)."""
+    """A model as plain data: both dictionaries and the weights. docs: (doc_id, text), labels: (doc_id, toxic)."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id")) != 1)
     share = min(1.0, sample / max(1, known.count()))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
@@ -115,22 +125,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # near copies nearly always agree in the least hashes of their long words
     long = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")), lambda w: F.length(w) >= 8)
     least = F.when(F.size(long) >= 12, F.slice(F.sort_array(F.transform(long, lambda w: F.xxhash64(w))), 1, 3)).otherwise(F.array(F.xxhash64("text")))
-    rows = save(rows.withColumn("least", least).dropDuplicates(["least"]).drop("least").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")), "toxic-sample")
+    first = rows.groupBy(least.alias("least")).agg(F.min(F.struct("doc_id", "text", "toxic")).alias("row")).select("row.*")
+    rows = save(first.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")), "toxic-sample")
     sizes = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", (F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = (sum(n for (_, toxic), n in sizes.items() if toxic == kind) for kind in (True, False))
-    model = {"toxic": [], "ordinary": [], "rule": 0, "weights": [math.log((n_toxic + 0.5) / (n_ordinary + 0.5)), 0.0, 0.0, 0.0, 0.0]}
+    model = {"toxic": b"", "ordinary": b"", "weights": [math.log((n_toxic + 0.5) / (n_ordinary + 0.5))] + [0.0] * (2 * SAVED + 1)}
     if not n_toxic or not n_ordinary:
         return model
     counts = save(word_counts(rows), "toxic-words")
-    model |= chosen(counts, sizes, (0, 1))
-    if not model["toxic"]:
-        return model
-    # each half is measured with the words of the other, so that the calibration sees words as new texts have them
-    measured = [r for h in (0, 1) for r in measure(rows.filter(F.col("half") == h).drop("half"), chosen(counts, sizes, (1 - h,))).collect()]
-    y, n = np.array([float(r["toxic"] == 1) for r in measured]), [r["n"] for r in measured]
-    fits = [logistic(features([r["counts"][k] for r in measured], n), y) for k in range(len(RULES))]
-    best = max(range(len(RULES)), key=lambda k: fits[k][1])
-    return model | {"rule": best, "weights": [float(x) for x in fits[best][0]]}
+    model |= dictionaries(counts, sizes, (0, 1))
+    # each half is measured with the dictionaries of the other, so that the calibration sees windows as new texts have them
+    measured = [r for h in (0, 1) for r in measure(rows.filter(F.col("half") == h).drop("half"), dictionaries(counts, sizes, (1 - h,))).collect()]
+    y = np.array([float(r["toxic"] == 1) for r in measured])
+    weights = logistic(features([r["counts"] for r in measured], [r["n"] for r in measured]), y)
+    return model | {"weights": [float(x) for x in weights]}
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -153,42 +161,46 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(*(F.sum(name).alias(name) for name in names))
 
 
-def chosen(counts: DataFrame, sizes: dict, halves: tuple[int, ...]) -> dict:
-    """Words of both dictionaries, the most frequent last, from the counts of these halves."""
+def dictionaries(counts: DataFrame, sizes: dict, halves: tuple[int, ...]) -> dict:
+    """Both dictionaries, trained on the windows of the texts of these halves."""
     total = lambda kind: sum((F.col(f"{kind}{h}") for h in halves), F.lit(0))
     n_toxic, n_ordinary = (sum(sizes.get((h, kind), 0) for h in halves) for kind in (True, False))
-    counts = counts.select("word", total("t").alias("toxic"), total("o").alias("ordinary")).filter("toxic + ordinary > 0")
-    # so many toxic texts that less than half a word of the whole vocabulary would get there by chance
-    share = (n_toxic + 0.5) / (n_toxic + n_ordinary + 1)
-    least = max(2, min(10, math.ceil(math.log(2 * max(1, counts.count())) / math.log(1 / share))))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("ordinary") + 0.5) / (n_ordinary + 1))
-    top = lambda kind, n, holds: [r["word"] for r in counts.filter(holds).orderBy(F.desc(kind), "word").select("word").limit(n).collect()][::-1]
-    return {
-        "toxic": top("toxic", TOXIC_WORDS, (F.col("toxic") >= least) & (odds >= LOG_ODDS)),
-        "ordinary": top("ordinary", ORDINARY_WORDS, (F.col("ordinary") >= 3) & (odds < LOG_ODDS)),
-    }
+    counts = counts.select("word", total("t").alias("toxic"), total("o").alias("ordinary"))
+    # the sample is bounded, and so are these
+    top = lambda kind, holds: [(r["word"], r[kind]) for r in counts.filter(holds & (F.col(kind) > 0)).orderBy(F.desc(kind), "word").select("word", kind).limit(TRAINED_WORDS).collect()]
+    often = (F.col("toxic") + 0.5) / (n_toxic + 1) >= RATIO * (F.col("ordinary") + 0.5) / (n_ordinary + 1)
+    return {"toxic": trained(top("toxic", often), TOXIC_BYTES), "ordinary": trained(top("ordinary", F.lit(True)), ORDINARY_BYTES)}
+
+
+_windows: dict[str, Windows] = {}
 
 
 def measure(docs: DataFrame, model: dict) -> DataFrame:
-    """docs' columns but text, with n (distinct words) and counts (toxic windows by each rule)."""
-    held = docs.sparkSession.sparkContext.broadcast((model["toxic"], model["ordinary"]))
+    """docs' columns but text, with n (distinct words) and counts (windows by bytes saved)."""
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model["toxic"], model["ordinary"]))
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def make():
-        windows = Windows(*held.value) if held.value[0] else None
+        # a Python worker remembers windows of this model from one task to the next
+        name, toxic, ordinary = held.value
+        if name not in _windows:
+            _windows.clear()
+            _windows[name] = Windows(toxic, ordinary)
+        windows = _windows[name]
 
         def step(cols):
             sets = [distinct_words(t) for t in cols["text"]]
-            return {f.name: cols[f.name] for f in kept} | {"n": [len(s) for s in sets], "counts": [windows.counts(s) if windows else [0] * len(RULES) for s in sets]}
+            return {f.name: cols[f.name] for f in kept} | {"n": [len(s) for s in sets], "counts": [windows.counts(s) for s in sets]}
 
         return step
 
     return map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n long, counts array<long>")
 
 
-def score_of(n: Column, count: Column, weights: list[float]) -> Column:
-    x = [F.lit(1.0), F.least(count, F.lit(12)), F.least(count, F.lit(2)), F.log1p(1000 * count / F.greatest(n, F.lit(1))), F.log1p(n)]
-    z = sum((w * v for w, v in zip(weights[1:], x[1:], strict=True)), F.lit(weights[0]))
+def score_of(n: Column, counts: Column, weights: list[float]) -> Column:
+    at = [F.get(counts, F.lit(k)) for k in range(SAVED)]
+    x = [*(F.log1p(1000 * c / F.greatest(n, F.lit(1))) for c in at), *(F.least(c, F.lit(3)) for c in at), F.log1p(n)]
+    z = sum((w * v for w, v in zip(weights[1:], x, strict=True)), F.lit(weights[0]))
     return 1 / (1 + F.exp(-z))
 
 
@@ -197,5 +209,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     with scratch():
         model = fit(docs, labels, sample)
     rows = measure(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text"), model)
-    scored = rows.withColumn("score", score_of(F.col("n"), F.get("counts", F.lit(model["rule"])), model["weights"]))
+    scored = rows.withColumn("score", score_of(F.col("n"), F.col("counts"), model["weights"]))
     return scored.select("doc_id", "th", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
