@@ -2,7 +2,7 @@
 
 from fathom.llm import query_chat, query_decontaminate, query_line_dedup, query_ngram_join, query_packing, query_pii, query_quality, query_substring, query_toxicity, query_url
 
-MODULES = (query_ngram_join, query_line_dedup, query_pii, query_substring, query_quality, query_chat, query_decontaminate, query_line_dedup, query_ngram_join, query_packing, query_url, query_toxicity)
+MODULES = (query_ngram_join, query_line_dedup, query_pii, query_substring, query_quality, query_chat, query_decontaminate, query_packing, query_url, query_toxicity)
 
 
 def queries() -> dict:

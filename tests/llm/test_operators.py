@@ -287,11 +287,35 @@ def test_crossover_keeps_every_piece():
     assert sorted(i for held in child for i in held) == list(range(200)) and all(sum(lengths[i] for i in held) <= 100 for held in child)
 
 
-def test_encoder_agrees_with_the_tokenizer():
+def test_the_genetic_part_beats_best_fit():
+    # sequences of exactly three pieces, which best-fit-decreasing misses
+    for seed in range(3):
+        rng, lengths = random.Random(seed), []
+        for _ in range(40):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1000 - a) // 2)
+            lengths += [a, b, 1000 - a - b]
+        falling = sorted(range(120), key=lambda i: (-lengths[i], i))
+        evolved = packing.evolve(lengths, [], 1000, seed, generations=60, population=6)
+        assert len(packing.best_fit(lengths, falling, [], 1000)) - len(evolved) >= 3
+        assert sorted(i for held in evolved for i in held) == list(range(120)) and all(sum(lengths[i] for i in held) <= 1000 for held in evolved)
+
+
+def test_swaps_fill_bins_to_the_last_token():
+    lengths = [60, 39, 40, 20, 21]
+    bins = [[0, 1]]
+    assert packing.fill_up(lengths, bins, [2, 3, 4], 100) == [0, 3] and sorted(bins[0]) == [1, 2, 4]
+
+
+ENCODED = " \t\n\r\x0b\x85\xa0ab'séªºß,.!?'tllvered0123<|endoftext|>_Àɏ×÷"
+
+
+@pytest.mark.parametrize("letters", [ENCODED, ENCODED + "\x1c1²½\u2003\u3000中Ω\U0001f600"])
+def test_encoder_agrees_with_the_tokenizer(letters):
     rng = random.Random(2)
     encode = packing.Encoder(packing.tokenizer_path())
     for _ in range(3000):
-        t = "".join(rng.choice(" \t\n\r\x0b\x1c\x85\xa0ab'sé1²½ªß,.!?\u2003\u3000中Ω'tll\U0001f600<|endoftext|>") for _ in range(rng.randint(0, 60)))
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
         assert encode(t) == np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
@@ -311,17 +335,20 @@ def test_url_reputation(spark):
     assert [got[i][0] for i in range(1, 6)] == ["block", "allow", "allow", "block", "allow"]
 
 
-def test_toxicity_held_out(spark):
+def toxic_corpus(n=600):
     rng = random.Random(7)
-    texts, labels = [], []
-    for i in range(600):
+    texts = []
+    for i in range(n):
         w = [rng.choice(VOCABULARY) + str(rng.randint(0, 50)) for _ in range(rng.randint(20, 80))]
-        toxic = i % 6 == 0
-        if toxic:
+        if i % 6 == 0:
             for _ in range(3):
                 w[rng.randrange(len(w))] = rng.choice(["stinker", "blockhead", "nitwit", "dunce"])
         texts.append((i, " ".join(w)))
-        labels.append((i, int(toxic)))
+    return texts, [(i, int(i % 6 == 0)) for i, _ in texts]
+
+
+def test_toxicity_held_out(spark):
+    texts, labels = toxic_corpus()
     df, lb = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = rows(toxicity.score(df, lb), "doc_id", "held_out", "score", "predicted")
     held = [i for i in got if got[i][0]]
@@ -329,6 +356,29 @@ def test_toxicity_held_out(spark):
     assert sum(got[i][2] == labels[i][1] for i in held) >= 0.95 * len(held)
 
 
+def test_toxicity_counts_compressed_lengths(spark):
+    import zstandard as z
+
+    texts, labels = toxic_corpus(240)
+    df, lb = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, lb)
+    assert toxicity.fit(df.repartition(3), lb) == model
+    params = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(word, content):
+        held = z.ZstdCompressionDict(content + toxicity.HEAD + toxicity.TAIL, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return len(z.ZstdCompressor(dict_data=held, compression_params=params).compress(toxicity.HEAD + f" {word} ".encode() + toxicity.TAIL))
+
+    more = [(1000, "blockheads and a stinkerly one"), (1001, None), (1002, ""), (1003, "word1 word1 WORD1")]
+    got = rows(toxicity.measure(spark.createDataFrame(texts[:12] + more, "doc_id long, text string"), model), "doc_id", "n", "counts")
+    for i, text in texts[:12] + more:
+        words = set((text or "").lower().split())
+        saved = [length(w, model["ordinary"]) - length(w, model["toxic"] + model["ordinary"]) for w in words]
+        assert got[i] == (len(words), [sum(x >= k for x in saved) for k in range(1, toxicity.SAVED + 1)])
+    # words that no text had move the score where they are made like toxic ones
+    assert got[1000][1][0] >= 1 and not any("blockheads" in t or "stinkerly" in t for _, t in texts)
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(docs, none).collect()
