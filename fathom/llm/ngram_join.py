@@ -10,13 +10,14 @@ is empty without words, and then links with nothing). Two documents link when NU
    signatures for its own band, and for the next where it may link there. From H = WIDE_FROM on segment 0 is a wide one:
    for it all sets also bring its one-deletion neighbourhood, so that it answers for two differences.
 3. Allocation by cost: the cost of a signature is the number of sets that have it, counted over all. A set spares its
-   spare(b) dearest segments (one more where the wide segment answers for two) and asks in all others: linked sets agree
-   in one of these by the pigeonhole principle. Segments that very many unrelated sets have in common, empty ones or those of
-   a template, are spared this way.
-4. Who asks is compared with the least member of the bucket first. Comparing is exact, on the sets, after their sizes and
-   parity sketches (whose distance is at most the sets') have not ruled the pair out. Links make components. Only where a
-   bucket then holds more than one component, who asks is compared with the members of other components too: pairs within
-   a component could change nothing. So the links of each single document are not counted.
+   spare(b) dearest segments (one more where the wide segment answers for two) and is looked for in all others. By the
+   pigeonhole principle linked sets agree in more segments than either spares; the cheapest of these neither does, since
+   for both the others are dearer. Segments that very many unrelated sets have in common, empty ones or those of a
+   template, are spared this way.
+4. In each bucket of a signature all are compared with the least one first. Comparing is exact, on the sets, after their
+   sizes and parity sketches (whose distance is at most the sets') have not ruled the pair out. Links make components. Only
+   where a bucket then holds more than one component, members of different components are compared too: pairs within a
+   component could change nothing. So the links of each single document are not counted.
 
 A null text has no words. A null doc_id has component null and links with nothing. Rows that repeat a doc_id should repeat
 its text too; where they don't, each row joins by its own set under that doc_id, verified with one of the texts. Columns
@@ -38,8 +39,12 @@ from fathom.llm.word_hash import WordHashes, mixed
 NUM, DEN = 90, 100
 #: Differences from which on sets have a wide segment, and about how many shingles it has.
 WIDE_FROM, WIDE = 48, 8
+#: Words of the sketch that all sets have in one size, 64 bits each; a larger one can be folded to it.
+COARSE = 8
 #: Families of signatures: of the own band, of the next band, of wide segments (which are never spared).
 OWN, NEXT, SOUGHT = 0, 1, 2
+#: What is known of a set before it is read again.
+ABOUT = ("n", "coarse", "sketch")
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -120,31 +125,32 @@ def signatures(s: np.ndarray, bands: Bands) -> dict[int, tuple[np.ndarray, int]]
 
 
 def sets(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, th, n, f1, f2, sketch, own, next, sought, spare_own, spare_next): sizes, fingerprints, sketches and signatures, from rows (doc_id, th, text)."""
+    """(doc_id, th, n, f1, f2, coarse, sketch, own, next, sought, spare_own, spare_next): sizes, fingerprints, sketches and signatures, from rows (doc_id, th, text)."""
 
     def make():
         words, bands = WordHashes(), Bands(num, den)
 
         def step(cols):
-            made = ("n", "f1", "f2", "sketch", "own", "next", "sought", "spare_own", "spare_next")
+            made = ("n", "f1", "f2", "coarse", "sketch", "own", "next", "sought", "spare_own", "spare_next")
             out = {"doc_id": cols["doc_id"], "th": cols["th"]} | {name: [] for name in made}
             for text in cols["text"]:
                 s = shingles(words.of((text or "").encode().lower().split()), width)
                 found = signatures(s, bands)
                 f1, f2 = (int(f.view(np.int64)) for f in (np.sum(mixed(s), dtype=np.uint64), np.bitwise_xor.reduce(mixed(s + np.uint64(7))) if len(s) else np.uint64(0)))
                 own, following, sought = (found[k][0].view(np.int64) for k in (OWN, NEXT, SOUGHT))
-                for name, v in zip(made, (len(s), f1, f2, sketch(s), own, following, sought, found[OWN][1], found[NEXT][1]), strict=True):
+                k = sketch(s)
+                for name, v in zip(made, (len(s), f1, f2, np.bitwise_xor.reduce(k.reshape(-1, COARSE)), k, own, following, sought, found[OWN][1], found[NEXT][1]), strict=True):
                     out[name].append(v)
             return out
 
         return step
 
-    return map_rows(rows, make, "doc_id long, th long, n long, f1 long, f2 long, sketch array<long>, own array<long>, next array<long>, sought array<long>, spare_own int, spare_next int")
+    return map_rows(rows, make, "doc_id long, th long, n long, f1 long, f2 long, coarse array<long>, sketch array<long>, own array<long>, next array<long>, sought array<long>, spare_own int, spare_next int")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """Parities of the counts of a set's hashes by bit, about a bit for each; two sketches differ in no more bits than the sets in shingles."""
-    bits = 64 << max(3, (max(1, len(s)) - 1).bit_length() - 6)
+    bits = 64 * COARSE << max(0, (max(1, len(s)) - 1).bit_length() - 9)
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) % 2
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -169,11 +175,15 @@ def halved(k: Column, size: Column) -> Column:
     return F.when(F.size(k) > size, F.zip_with(F.slice(k, F.lit(1), size), F.slice(k, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(k)
 
 
-def possible(na: Column, nb: Column, ka: Column, kb: Column, num: int, den: int) -> Column:
-    """Whether sizes and sketches allow a link; sets of half or less of the other's size don't link."""
+def possible(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Column:
+    """Whether sizes n and sketches allow a link of two sets; sets of half or less of the other's size don't link."""
+    na, nb, ka, kb = a["n"], b["n"], a["sketch"], b["sketch"]
+    most = (den - num) * (na + nb)
+    # the coarse sketches first, which are compiled
+    coarse = sum((F.bit_count(F.get(a["coarse"], F.lit(i)).bitwiseXOR(F.get(b["coarse"], F.lit(i)))) for i in range(COARSE)), F.lit(0))
     least = F.least(F.size(ka), F.size(kb))
     distance = F.aggregate(F.zip_with(halved(ka, least), halved(kb, least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return F.when(den * F.least(na, nb) >= num * F.greatest(na, nb), (den + num) * distance <= (den - num) * (na + nb)).otherwise(False)
+    return F.when((den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * coarse <= most), (den + num) * distance <= most).otherwise(False)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -189,7 +199,7 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int)
 
 
 def asked(members: DataFrame) -> DataFrame:
-    """Rows (sig, doc_id) of the signatures with which a document asks, from (sig, n, doc_id, family, spare): all but its `spare` dearest of a family."""
+    """Rows (sig, doc_id): a document's signatures but for the `spare` dearest of each family, from rows (sig, n, doc_id, family, spare)."""
     dearest = Window.partitionBy("doc_id", "family").orderBy(F.desc("n"), "sig")
     return members.withColumn("place", F.row_number().over(dearest)).filter("place > spare").select("sig", "doc_id")
 
@@ -204,35 +214,35 @@ def join(docs: DataFrame, width: int = 3, num: int = NUM, den: int = DEN) -> Dat
     firsts = save(classes.select(F.col("first").alias("doc_id")).distinct(), "firsts")
     mine = by_ids(table.filter("n > 0"), firsts, "doc_id")
     every = mine.select("doc_id", F.explode(F.concat("own", "next", "sought")).alias("sig"))
-    buckets = every.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    buckets = save(buckets.filter("a < b").select("sig", "a", "n"), "buckets")
+    shared = every.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    shared = save(shared.filter("a < b").select("sig", "n"), "shared-signatures")
     family = lambda name, k, spare: F.transform(name, lambda s: F.struct(s.alias("sig"), F.lit(k).alias("family"), spare.alias("spare")))
     tagged = F.concat(family("own", OWN, F.col("spare_own")), family("next", NEXT, F.col("spare_next")), family("sought", SOUGHT, F.lit(0)))
-    members = save(small_join(mine.select("doc_id", F.explode(tagged).alias("s")).select("doc_id", "s.*"), buckets, "sig"), "members")
-    asking = save(asked(members), "asking")
-    about = save(mine.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "about")
-    forget(table)
-    leaders = small_join(asking, buckets, "sig").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    side = lambda k: about.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}"))
-    likely = leaders.join(side("a"), "a").join(side("b"), "b").filter(possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den))
+    costly = save(small_join(mine.select("doc_id", F.explode(tagged).alias("s")).select("doc_id", "s.*"), shared, "sig"), "costs")
+    members = save(asked(costly), "members")
+    about = save(mine.select("doc_id", *ABOUT).dropDuplicates(["doc_id"]), "about")
+    forget(table, shared, costly)
+    buckets = members.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    buckets = save(buckets.filter("a < b").select("sig", "a"), "buckets")
+    leaders = small_join(members, buckets, "sig").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    side = lambda k: about.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ABOUT))
+    of = lambda k: {c: F.col(f"{c}_{k}") for c in ABOUT}
+    likely = save(leaders, "leaders").join(side("a"), "a").join(side("b"), "b").filter(possible(of("a"), of("b"), num, den))
     likely = save(likely.select("a", "b"), "likely")
     texts = rows.select("doc_id", "text")
     links = verified(likely, texts, width, num, den)
     found = save(components(links), "components")
-    # what may still link: who asks, and members of other components in the bucket
-    label = lambda df: df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
-    labelled = save(label(members.filter("n > 2").select("doc_id", "sig")), "labelled")
+    # what may still link: members of different components in one bucket
+    labelled = small_join(members, buckets, "sig").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = save(labelled.select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component")), "labelled")
     open_buckets = save(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig"), "open")
-    mine_asks = small_join(asking, open_buckets, "sig").withColumn("asks", F.lit(True))
-    left = small_join(labelled, open_buckets, "sig").join(mine_asks, ["sig", "doc_id"], "left")
-    left = save(left.join(about, "doc_id"), "open-members")
-    right = left.filter("asks")
-    named = lambda df, k: df.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "sketch")))
+    left = save(small_join(labelled, open_buckets, "sig").join(about, "doc_id"), "open-members")
+    named = lambda k: left.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", *ABOUT)))
     may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
-    may &= possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den)
-    more = named(left, "a").join(named(right, "b"), "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    may &= possible(of("a"), of("b"), num, den)
+    more = named("a").join(named("b"), "sig").filter(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = save(more.join(likely, ["a", "b"], "left_anti"), "more-pairs")
-    forget(left, members, labelled, asking)
+    forget(left, members, labelled)
     if more.limit(1).count():
         late = verified(more, texts, width, num, den)
         found = save(components(links.union(late)), "components")
