@@ -13,7 +13,8 @@ stands with the entity in at least MIN_CONTEXTS contexts, becomes spans of kind
 except where it overlaps a base span. `sanitize` generalises base spans to their kind and removes terms.
 
 Offsets are code points, end exclusive. A null text is empty and has no spans. Copies of a text count once in the
-statistics, and all get its spans. Repeated rows get a result each.
+statistics, whatever their doc_ids, and all get its spans. Repeated rows get a result each; a null doc_id is as any other.
+Columns other than text come back from `sanitize` as they are, whatever their names. Without documents there is no result.
 """
 
 from __future__ import annotations
@@ -139,12 +140,12 @@ def detect(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.substring("t", F.greatest(F.lit(1), s["start"] + 1 - AROUND), F.least(s["start"], F.lit(AROUND))), F.substring("t", s["end"] + 1, F.lit(AROUND))).alias("ctx"),
     )
     base = save(base_spans(rows).select("doc_id", "th", *KINDS, F.transform(spans, value).alias("values")), "pii-base")
-    first = save(base.groupBy("th").agg(F.min("doc_id").alias("first")), "pii-first")
-    copies = save(base.select("doc_id", "th").join(first, "th").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id"), "pii-copies")
-    texts = by_ids(rows, copies, "doc_id", "left_anti").select("th", "t")
+    repeated = save(base.groupBy("th").count().filter("count > 1").select("th"), "pii-repeated")
+    once = save(by_ids(rows, repeated, "th").select("th", "t").dropDuplicates(["th"]), "pii-once")
+    texts = by_ids(rows, repeated, "th", "left_anti").select("th", "t").unionByName(once)
     entities = save(base.select("th", F.explode("values").alias("v")).select("th", "v.e", "v.ctx").distinct(), "pii-values")
     terms = save(disclosing_terms(entities, texts), "pii-disclosing")
-    spotted = by_ids(rows, save(terms.select("th"), "pii-spotted"), "th").select("th", "t").dropDuplicates(["th"]).join(terms, "th")
+    spotted = by_ids(texts, save(terms.select("th"), "pii-spotted"), "th").join(terms, "th")
     spotted = save(spotted.select("th", term_spans(F.col("terms"), F.col("t")).alias("term")), "pii-term-spans")
     every = ordered(*(F.col(k) for k in KINDS))
     outside = F.filter(F.coalesce("term", F.expr(f"cast(array() as {SPANS})")), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -163,8 +164,10 @@ def sanitize(docs: DataFrame, detected: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring("t", a["at"] + 1, F.length("t"))))
     by_text = detected.select("th", spans.alias("spans")).dropDuplicates(["th"]).filter("size(spans) > 0")
-    rows = docs.withColumns({"t": F.coalesce("text", F.lit("")), "th": F.xxhash64(F.coalesce("text", F.lit("")))}).join(by_text, "th", "left")
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    # the caller's columns are held in one, so that their names don't matter
+    t = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), t.alias("t"), F.xxhash64(t).alias("th")).join(by_text, "th", "left")
+    return rows.select(F.col("row").withField("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(text)).alias("row")).select("row.*")
 
 
 def digest(detected: DataFrame) -> DataFrame:
