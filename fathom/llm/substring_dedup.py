@@ -4,15 +4,18 @@ A word (run of characters other than space and \\t \\n \\v \\f \\r) goes when a
 starts in a document with a smaller doc_id. All is judged on the input.
 
 1. Documents with equal word sequences are one class: its later documents go whole, the first stands for it below.
-2. Of the PREFIX-grams inside a window the one with the least hash is the window's prefix: equal windows choose alike, so
-   only a few suffixes of a document start with a chosen prefix. Prefixes with one document are dropped.
-3. The suffixes left, with the words that their windows reach, are partitioned by prefix. A group of up to GROUP suffixes
-   is a subtree in one task: its suffixes sorted with their common prefixes, where nodes of depth WINDOW or more are the
-   maximal repeats; the node's least doc_id decides. The prefix of a larger group is lengthened to the whole window, and
-   so at the depth of the repeats themselves: these nodes are made by partial minima, and never gathered in a task.
+2. Of the grams of PREFIXES[0] words inside a window the one with the least hash is the window's prefix: equal windows choose
+   alike, so few suffixes of a document start with a chosen prefix. Prefixes of one document are dropped. Where more than GROUP
+   suffixes share a prefix, their windows take a longer one, of PREFIXES[1] words; so the length of prefixes varies, and groups
+   fit in a task's memory. A group that is still too large takes whole windows as prefixes.
+3. The suffixes left, with the words that their windows reach, are partitioned by prefix. A group is a subtree in one task: its
+   suffixes are sorted by prefix doubling, and the common prefixes of neighbours give its internal nodes. Nodes of depth WINDOW
+   are the repeats, and the least doc_id below a node decides. A group with whole windows as its prefix is such a node
+   itself: its least doc_id is a partial minimum, and it is never gathered in a task.
 
 Hashes of words are 64 bits wide. Null texts have no words. A null doc_id is smaller than none and has none smaller. Rows
-that repeat a doc_id do not remove words of each other. Documents of less than WINDOW words stay as they are.
+that repeat a doc_id do not remove words of each other. Documents of less than WINDOW words stay as they are. Columns other
+than doc_id and text are not looked at. Without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.llm.batches import map_rows
-from fathom.llm.storage import BROADCAST_ROWS, by_ids, save, small_join
+from fathom.llm.storage import by_ids, save, small_join
 from fathom.llm.word_hash import Grams, WordHashes
 
-WINDOW, PREFIX, GROUP = 50, 25, 200
+WINDOW, PREFIXES, GROUP = 50, (25, 40), 1000
+#: Suffix rows that are sorted at once, but for larger groups.
+SORTED = 1500
 SIGN = 1 << 63
 
 
@@ -68,43 +73,91 @@ def census(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return map_rows(docs, make, "doc_id long, th long, n_words long, sha string, prefixes array<long>")
 
 
-def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Suffixes at shared prefixes; docs: (doc_id, th, text, prefixes, hot). A row: prefix, hot, doc_id, th, first (start of its first window) and words (hashes, which its windows reach)."""
+def runs(at: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of windows that follow each other with the same chosen gram."""
+    firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    return list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=True)) if len(at) else []
+
+
+def suffixes(docs: DataFrame, window: int, prefixes: tuple[int, int]) -> DataFrame:
+    """Suffixes at shared prefixes; docs: (doc_id, th, text, prefixes, hot). A row: prefix, longer (whether it is of the second length), doc_id, th, first (start of its first window) and words (hashes, which its windows reach)."""
 
     def make():
         hashes, grams = WordHashes(), Grams()
 
         def step(cols):
-            out = {k: [] for k in ("prefix", "hot", "doc_id", "th", "first", "words")}
+            out = {k: [] for k in ("prefix", "longer", "doc_id", "th", "first", "words")}
+
+            def add(*row):
+                for name, v in zip(out, row, strict=True):
+                    out[name].append(v)
+
             for doc, th, text, wanted, hot in zip(*(cols[c] for c in ("doc_id", "th", "text", "prefixes", "hot")), strict=True):
                 h = hashes.of((text or "").encode().split())
-                g = grams.of(h, prefix)
-                at = anchors(g, window - prefix + 1)
+                g, g2 = grams.of(h, prefixes[0]), None
+                at = anchors(g, window - prefixes[0] + 1)
                 shared = dict(zip(wanted, hot, strict=True))
-                firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                for first, end in zip(firsts, [*firsts[1:], len(at)], strict=True):
+                for first, end in runs(at):
                     key = signed(int(g[at[first]]))
-                    if key in shared:
-                        for name, v in zip(out, (key, shared[key], doc, th, int(first), h[first : end - 1 + window].view(np.int64)), strict=True):
-                            out[name].append(v)
+                    if key not in shared:
+                        continue
+                    if not shared[key]:
+                        add(key, False, doc, th, first, h[first : end - 1 + window].view(np.int64))
+                        continue
+                    if g2 is None:
+                        g2 = grams.of(h, prefixes[1])
+                        at2 = anchors(g2, window - prefixes[1] + 1)
+                    for a, b in runs(at2[first:end]):
+                        add(signed(int(g2[at2[first + a]])), True, doc, th, first + a, h[first + a : first + b - 1 + window].view(np.int64))
             return out
 
         return step
 
-    return map_rows(docs, make, "prefix long, hot boolean, doc_id long, th long, first int, words array<long>")
-
-
-def subtree(doc: np.ndarray, row: np.ndarray, start: np.ndarray, suffix: np.ndarray, window: int) -> np.ndarray:
-    """Which suffixes share a node of depth `window` with a smaller document: sorted suffixes, common prefixes, least doc per node."""
-    order = np.lexsort(suffix.T[::-1])
-    ordered = suffix[order]
-    deep = (ordered[1:] == ordered[:-1]).all(axis=1)  # the common prefix of neighbours reaches the window
-    heads = np.flatnonzero(np.concatenate([[True], ~deep]))
-    least = np.minimum.reduceat(doc[order], heads)
-    node = np.cumsum(np.concatenate([[0], (~deep).astype(np.int64)]))
-    covered = np.zeros(len(doc), dtype=bool)
-    covered[order] = least[node] < doc[order]
-    return covered
+    return map_rows(docs, make, "prefix long, longer boolean, doc_id long, th long, first int, words array<long>")
+
+
+class SuffixTree:
+    """Suffixes of several word sequences as a sorted array with the common prefixes of neighbours, up to twice `depth` words or a little less."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, depth: int):
+        # a terminator of its own behind each sequence: no common prefix goes past an end
+        ends = np.cumsum(sizes)
+        ranks = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+        most = int(ranks.max()) + 1 if len(ranks) else 0
+        rank = np.insert(ranks, ends, most + np.arange(len(sizes)))
+        self.ranks = [rank]
+        step = 1
+        while step < depth:
+            after = np.zeros_like(rank)
+            after[: max(0, len(rank) - step)] = rank[step:] + 1
+            rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1].astype(np.int64)
+            self.ranks.append(rank)
+            step *= 2
+
+    def nodes(self, places: np.ndarray, depth: int) -> np.ndarray:
+        """For the suffixes at `places` (with terminators counted) the node of that depth above each."""
+        order = np.argsort(self.ranks[-1][places], kind="stable")
+        a, b = places[order][:-1], places[order][1:]
+        common = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            rank = self.ranks[k]
+            x, y = np.minimum(a + common, len(rank) - 1), np.minimum(b + common, len(rank) - 1)
+            common += np.where(rank[x] == rank[y], 1 << k, 0)
+        node = np.empty(len(places), dtype=np.int64)
+        node[order] = np.concatenate([[0], np.cumsum(common < depth)]) if len(places) else order
+        return node
+
+
+def subtree(doc: np.ndarray, sizes: np.ndarray, flat: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of sequences (their sizes, and words one after the other; the document of each) share a deep node with a smaller document."""
+    counts = sizes - window + 1
+    row = np.repeat(np.arange(len(sizes)), counts)
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    places = begin[row] + np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    node = SuffixTree(flat, sizes, window).nodes(places, window)
+    least = np.full(int(node.max()) + 1 if len(node) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, doc[row])
+    return least[node] < doc[row]
 
 
 def intervals(doc_ids, ths, firsts, counts, covered, window: int) -> dict:
@@ -137,25 +190,18 @@ def by_subtrees(rows: DataFrame, window: int) -> DataFrame:
             words = table.column("words").combine_chunks()
             sizes = np.diff(words.offsets.to_numpy())
             flat = words.flatten().to_numpy(zero_copy_only=False)
-            counts = sizes - window + 1
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            row = np.repeat(np.arange(len(sizes)), counts)
-            start = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-            place = begin[row] + start
+            begin = np.concatenate([[0], np.cumsum(sizes)])
             doc = table.column("doc_id").to_numpy()
             key = table.column("prefix").to_numpy()
-            covered = np.zeros(len(row), dtype=bool)
             bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            # as many whole groups at once as keep the sorted suffixes small; equal windows never differ in prefix
-            first = 0
+            covered, first = [], 0
+            # as many whole groups at once as keep the tree small; equal windows never differ in prefix
             while first < len(bounds) - 1:
-                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + 1500)))
-                last = min(last, len(bounds) - 1)
-                a, b = np.searchsorted(row, [bounds[first], bounds[last]])
-                some = slice(a, b)
-                covered[some] = subtree(doc[row[some]], row[some], start[some], np.lib.stride_tricks.sliding_window_view(flat, window)[place[some]], window)
+                last = min(max(first + 1, int(np.searchsorted(bounds, bounds[first] + SORTED))), len(bounds) - 1)
+                a, b = bounds[first], bounds[last]
+                covered.append(subtree(doc[a:b], sizes[a:b], flat[begin[a] : begin[b]], window))
                 first = last
-            made = intervals(doc.tolist(), table.column("th").to_pylist(), table.column("first").to_pylist(), counts.tolist(), covered, window)
+            made = intervals(doc.tolist(), table.column("th").to_pylist(), table.column("first").to_pylist(), (sizes - window + 1).tolist(), np.concatenate(covered), window)
             return pa.RecordBatch.from_pydict(made, schema=schema)
 
         for batch in batches:
@@ -196,24 +242,6 @@ def by_whole_windows(rows: DataFrame, window: int) -> DataFrame:
 
     nodes = map_rows(rows.select("doc_id", "words"), explode, "w long, least long, most long")
     nodes = save(nodes.groupBy("w").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("w", "least"), "deep-nodes")
-    if nodes.count() <= BROADCAST_ROWS:
-        held = rows.sparkSession.sparkContext.broadcast({r["w"]: r["least"] for r in nodes.toLocalIterator()})
-
-        def make():
-            grams, least = Grams(), held.value
-
-            def step(cols):
-                counts, covered = [], []
-                for doc, words in zip(cols["doc_id"], cols["words"], strict=True):
-                    found = [least.get(w, doc) < doc for w in window_hashes(words, window, grams).tolist()]
-                    counts.append(len(found))
-                    covered += found
-                return intervals(cols["doc_id"], cols["th"], cols["first"], counts, np.array(covered, dtype=bool), window)
-
-            return step
-
-        return map_rows(rows, make, SPAN)
-
     def places():
         grams = Grams()
 
@@ -233,22 +261,25 @@ def by_whole_windows(rows: DataFrame, window: int) -> DataFrame:
     return every.join(nodes, "w").filter("least < doc_id").select("doc_id", "th", "start", (F.col("start") + window).alias("end"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, int] = PREFIXES, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """For rows (doc_id, text): the table (doc_id, th, n_words, sha) of all, and (doc_id, th, spans) of those with words to remove."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    table = save(census(rows, window, prefix), "census")
+    table = save(census(rows, window, prefixes[0]), "census")
     able = table.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     first = save(able.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first"), "classes")
     copies = save(able.join(first, "sha").filter("doc_id > first").select("doc_id", "th", "n_words"), "copies")
     whole = copies.select("doc_id", "th", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
-    ones = by_ids(able, save(copies.select("doc_id", "th"), "copies"), ["doc_id", "th"], "left_anti").select("doc_id", "th", F.explode("prefixes").alias("prefix"))
-    counts = ones.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    counts = save(counts.select("prefix", (F.col("n") > group).alias("hot")), "prefixes")
-    shared = small_join(ones, counts, "prefix").groupBy("doc_id", "th").agg(F.collect_list(F.struct("prefix", "hot")).alias("p"))
+    ones = by_ids(able, copies, ["doc_id", "th"], "left_anti").select("doc_id", "th", F.explode("prefixes").alias("prefix"))
+    sized = lambda df: df.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("prefix", (F.col("n") > group).alias("hot"))
+    shared = small_join(ones, save(sized(ones), "prefixes"), "prefix").groupBy("doc_id", "th").agg(F.collect_list(F.struct("prefix", "hot")).alias("p"))
     shared = save(shared.select("doc_id", "th", F.col("p.prefix").alias("prefixes"), F.col("p.hot").alias("hot")), "holders")
     held = by_ids(rows, shared, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).join(shared, ["doc_id", "th"])
-    tails = save(suffixes(held.select("doc_id", "th", "text", "prefixes", "hot"), window, prefix), "suffixes")
-    found = by_subtrees(tails.filter("not hot"), window).unionByName(by_whole_windows(tails.filter("hot"), window)).unionByName(whole)
+    tails = save(suffixes(held.select("doc_id", "th", "text", "prefixes", "hot"), window, prefixes), "suffixes")
+    longer = tails.filter("longer")
+    longer = save(small_join(longer, save(sized(longer), "longer-prefixes"), "prefix"), "longer")
+    columns = ("prefix", "doc_id", "th", "first", "words")
+    fit = tails.filter("not longer").select(*columns).unionByName(longer.filter("not hot").select(*columns))
+    found = by_subtrees(fit, window).unionByName(by_whole_windows(longer.filter("hot"), window)).unionByName(whole)
     spans = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return table, save(spans, "spans")
 
@@ -264,9 +295,9 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, text) to (doc_id, n_words, n_removed, kept): kept is null where nothing goes, else the words left, joined by a space."""
-    table, spans = repeats(docs, window)
+def dedup(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """Rows (doc_id, text) to (doc_id, n_words, n_removed, kept, sha): kept is null where nothing goes, else the words left, joined by a space."""
+    table, spans = repeats(docs, window, **options)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
     def make():
