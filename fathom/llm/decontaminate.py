@@ -6,8 +6,9 @@ suffix that occurs in some item; where that reaches a window, its words are hit,
 from the state. Only item texts are held in memory: items are dealt by hash into shards of at most SHARD_CHARS
 characters (more only if a single item is), each shard is one broadcast automaton and one pass over the documents.
 
-Null texts have no words; items without words are never found. Repeated items count once by item_id. Repeated documents
-get a result each. Without items nothing is hit.
+Null texts have no words; items without words are never found, nor are items with a null item_id, which have no name to
+report. Repeated items count once by item_id. Repeated documents get a result each. Without items nothing is hit; without
+documents the result is empty. Columns other than those named come back from `clean` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from fathom.llm.batches import map_rows
 from fathom.llm.storage import save, with_marks
 
-WINDOW, SHARD_CHARS = 10, 8_000_000
+WINDOW, SHARD_CHARS = 10, 1_000_000
 #: In the pipeline: hit spans of at least this many words are cut; a document with this share of hit words goes whole.
 CUT_WORDS, DROP_SHARE = 10, 0.8
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -209,7 +210,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, cut_words: in
     found = hits(docs, items, window)
     marked = found.filter("size(items) > 0").dropDuplicates(["th"])
     marked = save(marked.select(F.col("th").alias("_th"), F.col("n_words").alias("_n"), F.col("spans").alias("_spans")), "contaminated")
-    rows = with_marks(docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))), marked, ["_th"], "_th")
+    # the caller's columns are held in one, so that their names don't matter
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    rows = with_marks(rows, marked, ["_th"], "_th")
     share = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]) / F.col("_n")
     rows = rows.filter(F.col("_n").isNull() | (share < drop_share))
 
@@ -221,8 +224,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, cut_words: in
 
     long = F.filter("_spans", lambda s: s["end"] - s["start"] >= cut_words)
     touched = F.col("_spans").isNotNull() & (F.size(long) > 0)
-    new = F.when(touched, without("text", F.when(touched, long))).otherwise(F.col("text"))
-    columns = [new.alias(c) if c == "text" else F.when(touched, F.length(new).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*columns)
-
-
+    new = rows.select("row", touched.alias("_cut"), F.when(touched, without(F.when(touched, F.col("row.text")), F.when(touched, long))).otherwise(F.col("row.text")).alias("_new"))
+    row = F.col("row").withField("text", F.col("_new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("_cut"), F.length("_new").cast("long")).otherwise(F.col("row.n_chars")))
+    return new.select(row.alias("row")).select("row.*")

@@ -57,19 +57,30 @@ def test_ngram_join_finds_links_that_no_leader_has(spark):
     assert rows(ngram_join.join(df), "doc_id", "n_shingles", "component_id") == brute.components(texts, 3, 90, 100)
 
 
-@pytest.mark.parametrize("group", [200, 1])
-def test_substring_dedup(spark, docs, group, monkeypatch):
-    monkeypatch.setattr(substring_dedup.repeats, "__defaults__", (50, 25, group))
+@pytest.mark.parametrize("group", [1000, 7, 1])
+def test_substring_dedup(spark, docs, group):
     rng = random.Random(9)
     passage = " ".join(rng.choice(VOCABULARY) for _ in range(70))
     more = [(1000 + i, f"own{i} words {i} " * 9 + passage + f" tail{i} " * 5) for i in range(12)]
     df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    got = rows(substring_dedup.digest(substring_dedup.dedup(df)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    got = rows(substring_dedup.digest(substring_dedup.dedup(df, group=group)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute.windows_removed(corpus() + more, 50)
 
 
+def test_suffix_tree():
+    rng = random.Random(4)
+    for _ in range(40):
+        texts = [[rng.randint(0, 1) for _ in range(rng.randint(7, 25))] for _ in range(5)]
+        tree = substring_dedup.SuffixTree(np.array(sum(texts, []), dtype=np.int64), np.array([len(t) for t in texts]), 7)
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        starts = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 6)]
+        nodes = tree.nodes(np.array([begin[k] + i for k, i in starts]), 7).tolist()
+        windows = [tuple(texts[k][i : i + 7]) for k, i in starts]
+        assert len(set(zip(nodes, windows))) == len(set(nodes)) == len(set(windows))
+
+
 def test_substring_dedup_small_windows(docs):
-    got = rows(substring_dedup.digest(substring_dedup.dedup(docs, 30)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    got = rows(substring_dedup.digest(substring_dedup.dedup(docs, 30, prefixes=(10, 20), group=3)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute.windows_removed(corpus(), 30)
 
 
