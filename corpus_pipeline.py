@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), where docs has the columns of `documents` and
-stands in a written table, and returns a DataFrame. All but the last return the columns of docs.
+stands in a written table, and returns a DataFrame. All but the last return the columns of docs, whatever further ones
+there are. Null texts are as empty ones, null doc_ids are kept as they come, rows that repeat are kept but for those of the
+n-gram join, and without documents every stage gives an empty table; the operators' modules say what holds in each.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go; the verdict depends on the text alone, so copies go together."""
     scored = toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     toxic = save(scored.filter("predicted = 1").select(F.col("th").alias("_th")).distinct(), "toxic")
-    return by_ids(docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))), toxic, "_th", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    return by_ids(rows, toxic, "_th", "left_anti").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that repeat an earlier document go; so do documents of which no word stays."""
-    kept = line_dedup.dedup(docs, "_removed")
-    return kept.filter((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    counted = "_removed" + "_" * max(map(len, docs.columns))  # no column has this name
+    kept = line_dedup.dedup(docs, counted)
+    return kept.filter((F.col(counted) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
