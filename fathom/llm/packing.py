@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
-from array import array
 from itertools import combinations
 
 import numpy as np
@@ -43,11 +43,18 @@ _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+def letters_of_bytes() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: itself where it is printable, else the next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer file.
 
-    Byte-level BPE encodes each piece of a text by itself, so the ids of pieces are remembered. Texts with characters whose
-    class may differ between Python and the tokenizer are encoded whole.
+    Byte-level BPE encodes each piece of a text by itself, so the ids of pieces, which the tokenizer's model gives, are
+    remembered. Texts with characters whose class may differ between Python and the tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -55,11 +62,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = _Known(self.whole)
+        self.model, self.letters = self.tokenizer.model, letters_of_bytes()
+        self.known = _Known(self.piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def piece(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __call__(self, text: str) -> bytes:
         if _OTHER.search(text):
             return self.whole(text)
