@@ -98,3 +98,54 @@ def contaminated(docs, items, window):
                     names |= wins[k]
         out[i] = (len(w), len(hit), sorted(names))
     return out
+
+
+def line_removals(docs, block_words, blocks):
+    """{doc_id: places of lines that go}, by aligning every document with every earlier one, and by runs of lines that an earlier one has."""
+    held = {i: [tuple(words(x)) for x in (text or "").split("\n")] for i, text in docs}
+    out = {}
+    for i, mine in held.items():
+        gone = set()
+        full = [k for k, x in enumerate(mine) if x]
+        for j in sorted(held):
+            if j >= i:
+                continue
+            theirs = [x for x in held[j] if x]
+            runs = {tuple(theirs[a:b]) for a in range(len(theirs)) for b in range(a + 1, len(theirs) + 1)}
+            for a in range(len(full)):
+                for b in range(a + 1, len(full) + 1):
+                    run = tuple(mine[k] for k in full[a:b])
+                    if sum(map(len, run)) >= block_words and run in runs:
+                        gone.update(range(full[a], full[b - 1] + 1))
+            names = {}
+            number = lambda x: [names.setdefault(y, len(names)) for y in x]
+            gone.update(blocks(number(held[j]), number(mine), [len(x) for x in mine], block_words))
+        out[i] = {k for k in gone if mine[k]}
+    return out
+
+
+def disclosing(texts, around=20, min_contexts=3, min_length=4, threshold=0.8):
+    """{text: terms that disclose an entity of it}, over the distinct texts."""
+    import math
+
+    texts = sorted(set(texts))
+    contexts, holders, found, counts = (collections.defaultdict(set) for _ in range(4))
+    for t in texts:
+        for kind, a, b in personal(t):
+            e = kind, t[a:b]
+            contexts[e].add((t[max(0, a - around) : a], t[b : b + around]))
+            holders[e].add(t)
+            found[t].add((e, t[max(0, a - around) : a], t[b : b + around]))
+        for w in words(t):
+            if len(w) >= min_length:
+                counts[w].add(t)
+    kept = {e for e in contexts if len(contexts[e]) >= min_contexts}
+    n = max(2, len(texts))
+    flagged = collections.defaultdict(set)
+    for e in kept:
+        for w in {w for t in holders[e] for w in words(t) if len(w) >= min_length}:
+            both = holders[e] & counts[w]
+            seen = {(x, y) for t in both for f, x, y in found[t] if f == e}
+            if len(seen) >= min_contexts and 1 + math.log(len(both) / len(counts[w])) / math.log(n / min(len(holders[e]), n - 1)) >= threshold:
+                flagged[e].add(w)
+    return {t: {w for e, _, _ in found[t] for w in flagged[e] if t in counts[w]} for t in texts}

@@ -109,6 +109,20 @@ def test_pii_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[0][0] and "zanzibar" not in clean[0][0] and clean[10][0] == texts[10]
 
 
+@pytest.mark.parametrize("case", ["once", "rows three times", "other ids", "no ids", "an id with two texts"])
+def test_pii_terms_equal_those_of_distinct_texts(spark, case):
+    texts = [f"number {i}: call zanzibar desk{i % 2} now at anna@corp.org because of case{i} today" for i in range(6)]
+    texts += [f"note {i} about today and the number of things, mail bob{i % 3}@x.org or +1 555 123 {1000 + i}" for i in range(40)] + ["", "  "]
+    rows_of = list(enumerate(texts))
+    rows_of = {"once": rows_of, "rows three times": rows_of * 3, "other ids": rows_of + [(i + 1000, t) for i, t in rows_of], "no ids": [(None, t) for _, t in rows_of * 2], "an id with two texts": rows_of + [(3, texts[1]), (3, "one more text of 3")]}[case]
+    found = pii.detect(spark.createDataFrame(rows_of, "doc_id long, text string")).join(spark.createDataFrame([(t,) for t in dict(enumerate({t for _, t in rows_of})).values()], "x string").selectExpr("x", "xxhash64(x) AS th"), "th")
+    expected = brute.disclosing([t for _, t in rows_of])
+    for r in found.collect():
+        outside = {w for w in expected[r["x"]] if not any(w in r["x"][s["start"] : s["end"]] for s in r["base"])}
+        assert {r["x"][s["start"] : s["end"]] for s in r["term"]} == outside
+    assert any(expected.values())
+
+
 def test_quality_base(spark, docs):
     df = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source")
     got = rows(quality_rules.judge(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -128,11 +142,49 @@ def test_quality_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4))
     df = spark.createDataFrame([(1, *map(float, r)) for r in x], "g long, x0 double, x1 double, x2 double, x3 double")
-    half = quality_rules._estimate(df, 1.0)
-    got = [r["d2"] for r in quality_rules.with_distance(df, quality_rules.factored(half)).collect()]
-    cov = np.cov(x.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
-    d = x - x.mean(axis=0)
-    assert np.allclose(sorted(got), sorted(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
+    cov = np.cov(x.T, bias=True)
+    m = x.mean(axis=0)
+    row = spark.createDataFrame([(1, *map(float, m), *(float(cov[i, j]) for i, j in quality_rules.PAIRS))], "g long, " + ", ".join([f"m{i} double" for i in range(4)] + [f"c{i}{j} double" for i, j in quality_rules.PAIRS]))
+    estimate = quality_rules.factored(row)
+    assert np.isclose(estimate.first()["det"], np.linalg.slogdet(cov)[1])
+    got = [r["d2"] for r in quality_rules.with_distance(df, estimate).collect()]
+    assert np.allclose(sorted(got), sorted(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)))
+
+
+def test_quality_estimate_has_a_small_determinant(spark):
+    # a third of the rows far off: the half that the estimate takes has to leave them out, and no random start does better
+    rng = np.random.default_rng(1)
+    good, far = rng.normal(size=(200, 4)) * 0.5 + 1, rng.normal(size=(100, 4)) * 0.1 + 6
+    x = np.vstack([good, far])
+    df = spark.createDataFrame([(1, *map(float, r)) for r in x], "g long, x0 double, x1 double, x2 double, x3 double").repartition(5)
+    found = quality_rules.estimates(df).first()
+    assert quality_rules.estimates(df.orderBy("x3")).first() == found or np.isclose(quality_rules.estimates(df.orderBy("x3")).first()["det"], found["det"])
+
+    def floored(rows):
+        c = np.cov(rows.T, bias=True) * quality_rules.CONSISTENCY
+        np.fill_diagonal(c, (np.sqrt(np.diag(c)) + quality_rules.FLOOR) ** 2)
+        return c
+
+    best = np.inf
+    for k in range(200):
+        rows_of = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(10):
+            m, c = rows_of.mean(axis=0), floored(rows_of)
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            rows_of = x[np.argsort(d2)[:150]]
+        best = min(best, np.linalg.slogdet(floored(rows_of))[1])
+    assert found["det"] < best + 0.15
+    d2 = np.array([r["d2"] for r in quality_rules.with_distance(df.filter("x0 > 4"), quality_rules.estimates(df)).collect()])
+    assert len(d2) == 100 and (d2 > quality_rules.CUTOFF).all()
+
+
+def test_quality_middles_are_exact(spark):
+    rng = random.Random(6)
+    rows_of = [(k, rng.randint(-3, 9)) for k in range(4) for _ in range(rng.randint(1, 40))]
+    got = rows(quality_rules.middles(spark.createDataFrame(rows_of, "g int, step int"), ["g"]), "g", "at")
+    for k in range(4):
+        s = sorted(b for a, b in rows_of if a == k)
+        assert got[k] == (s[(len(s) + 1) // 2 - 1],)
 
 
 def test_chat_round_trip(spark):
@@ -232,6 +284,34 @@ def test_blocks_whose_lines_have_other_owners(spark):
     assert places_gone(spark, texts) == {1: set(), 2: set(), 5: set(), 9: {0, 1}, 20: set(), 21: {0, 1, 3, 4, 6, 7, 9, 10}}
 
 
+def test_five_documents_whose_lines_have_other_owners(spark):
+    line = lambda k: " ".join(f"l{k}w{j}" for j in range(5))
+    texts = [(k, f"own{k} of it here now\n" + line(k)) for k in (1, 2, 3)] + [(k, "\n".join([f"own{k} of it here now", *map(line, (1, 2, 3))])) for k in (4, 5)]
+    gone = places_gone(spark, texts)
+    assert gone == {1: set(), 2: set(), 3: set(), 4: set(), 5: {1, 2, 3}}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_removals_equal_those_of_all_pairs(spark, seed):
+    # lines are rare, of four words or more; blocks stand with and without other lines between theirs
+    rng, serial = random.Random(seed), iter(range(10**6))
+    fresh = lambda: " ".join(f"u{next(serial)}" for _ in range(rng.randint(4, 7)))
+    pool = [[fresh() for _ in range(rng.randint(2, 5))] for _ in range(12)]
+    texts, used = [], [0] * len(pool)
+    for i in range(40):
+        lines = [fresh() for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(pool))
+            if used[k] <= line_dedup.PARTNERS:
+                used[k] += 1
+                for x in pool[k]:
+                    lines += [x, *([fresh()] if rng.random() < 0.25 else []), *([""] if rng.random() < 0.2 else [])]
+        texts.append((i, "\n".join(lines)))
+    sizes = {i: [len(x.split()) for x in t.split("\n")] for i, t in texts}
+    got = {i: {p for p in gone if sizes[i][p]} for i, gone in places_gone(spark, texts).items()}
+    assert got == brute.line_removals(texts, 10, line_dedup.blocks) and sum(map(len, got.values())) > 20
+
+
 def test_blocks_of_short_lines(spark):
     verse = [f"verse{k}" for k in range(60)]
     pairs = [f"one{k} two{k}" for k in range(5)]
@@ -416,6 +496,20 @@ def test_nulls_repeats_and_clashing_columns(spark, name):
     assert OPERATORS[name](df.limit(0)).count() == 0
 
 
+def test_changed_documents_keep_their_other_columns(spark):
+    """Whatever the caller's columns are called, they come back as they were."""
+    names = ["_d", "_th", "_gone", "_n", "_spans", "_new", "_cut", "row", "t", "th", "spans", "start", "end"]
+    passage = " ".join(f"p{i}" for i in range(20))
+    base = [(1, passage + "\nmail anna@corp.org"), (2, "own words\n" + passage), (None, None), (3, ""), (3, "")]
+    df = spark.createDataFrame(base, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars", *(f"concat('{c}', doc_id) AS {c}" for c in names))
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    for made in (line_dedup.dedup(df), decontaminate.clean(df, items), pii.sanitize(df, pii.detect(df))):
+        assert made.columns == df.columns
+        for r in made.collect():
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for c in names)
+            assert r["text"] is None or made.columns and (r["n_chars"] is None or "EMAIL" in r["text"] or r["n_chars"] == len(r["text"]))
+
+
 def test_native_operators_with_empty_tables(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digest(chat_format.format_chats(turns)).count() == 0
