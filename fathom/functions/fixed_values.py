@@ -79,3 +79,10 @@ SYNONYMS = {
 
 # Folder names that are no keywords.
 FOLDER_STOP_WORDS = "notes docs files attachments draft archive".split()
+
+# fixed values: what is said about an answer, word for word
+SUGGESTIONS = {
+    "more": "还有更多相关结果，可以尝试更精确的查询或使用 Deep 模式获取更多内容。",
+    "none": "未找到相关内容，请尝试不同的关键词或检查索引是否完整。",
+    "few": "结果较少，可以尝试扩展查询词或使用 Deep 模式。",
+}

@@ -6,6 +6,15 @@ from pyspark.sql import Column, functions as F
 
 from fathom.functions.fixed_values import CLASSIC_STOP_WORDS, FOLDER_STOP_WORDS, FTS_STOP_WORDS, QUERY_STOP_WORDS, SYNONYMS
 
+def _latin_marks() -> tuple[str, str]:
+    """Lower-case Latin letters with a mark, and the bare letters that they decompose to."""
+    import unicodedata
+
+    marked = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+LATIN_MARKS = _latin_marks()
 CJK = r"[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]"
 PUNCTUATION = r"[\p{Pc}\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Po}]"
 SENTENCE = r'[^。！？.!?]*[。！？.!?]["」]?|[^。！？.!?]+$'
@@ -26,9 +35,7 @@ def tokens(text: Column, stop_words=CLASSIC_STOP_WORDS) -> Column:
 def fts_tokens(text: Column) -> Column:
     """Terms as the full-text index keeps them: `tokens` with its stop words, split again at what is no letter or digit, without diacritics of Latin letters."""
     plain = F.array_join(tokens(text, FTS_STOP_WORDS), " ")
-    bare = "aaaaaaceeeeiiiinooooouuuuyyaeiouscznrtdlg"
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūščžňřťďľğ"
-    return F.filter(F.split(F.translate(plain, marked, bare), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.translate(plain, *LATIN_MARKS), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def count_tokens(text: Column) -> Column:
@@ -55,19 +62,57 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def truncate_by_sentences(text: Column, budget: int) -> Column:
-    """As many whole sentences from the start as the token budget allows, joined by a full stop."""
-    parts = F.filter(F.split(text, r"[。！？.!?]"), lambda s: F.trim(s) != "")
+def truncate_by_sentences(text: Column, budget: Column | int, counter=estimate_tokens) -> Column:
+    """As many whole sentences from the start as the token budget allows, each followed by a full stop."""
+    parts = F.filter(F.split(text, r"[。！？.!?]"), lambda s: s != "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("full"))
 
     def step(a: Column, s: Column) -> Column:
-        full = a["full"] | (a["used"] + estimate_tokens(s) > budget)
+        full = a["full"] | (a["used"] + counter(s) > budget)
         out = F.when(full, a["out"]).otherwise(F.concat(a["out"], s, F.lit("。")))
-        return F.struct(out.alias("out"), F.when(full, a["used"]).otherwise(a["used"] + estimate_tokens(s)).alias("used"), full.alias("full"))
+        return F.struct(out.alias("out"), F.when(full, a["used"]).otherwise(a["used"] + counter(s)).alias("used"), full.alias("full"))
 
     return F.aggregate(parts, start, step, lambda a: a["out"])
 
 
+def fts_query(text: Column) -> Column:
+    """The full-text query of a text: its terms quoted, any of which may match; the text itself without terms."""
+    terms = tokens(text, FTS_STOP_WORDS)
+    quoted = F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.when(F.size(terms) == 0, text).otherwise(F.array_join(quoted, " OR "))
+
+
+def wordpieces(text: Column, vocabulary: list[str], most: int = 512, per_word: int = 64) -> Column:
+    """WordPiece ids of a text between [CLS] and [SEP], at most `most`: lower case, each CJK character and mark alone, then the
+    longest piece of the vocabulary again and again (the later ones begin with ##); [UNK] for a word without such a split, or longer than per_word."""
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        import re
+
+        at = {w: i for i, w in enumerate(vocabulary)}
+        word = re.compile(r"[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]|\w+|[^\w\s]")
+
+        def split(w):
+            out, i = [], 0
+            while i < len(w):
+                j = next((j for j in range(len(w), i, -1) if ("##" if i else "") + w[i:j] in at), 0)
+                if not j or len(w) > per_word:
+                    return [at["[UNK]"]]
+                out.append(at[("##" if i else "") + w[i:j]])
+                i = j
+            return out
+
+        def one(t):
+            ids = [i for w in word.findall(re.sub(f"({CJK})", r" \1 ", (t or "").lower())) for i in split(w)]
+            return [at["[CLS]"], *ids[: most - 2], at["[SEP]"]]
+
+        return texts.map(one)
+
+    return run(text)
+
+
 def synonyms(word: Column) -> Column:
     known = F.create_map(*(x for k, v in SYNONYMS.items() for x in (F.lit(k), strings(v))))
     return F.coalesce(F.try_element_at(known, word), F.array().cast("array<string>"))

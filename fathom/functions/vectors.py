@@ -87,3 +87,36 @@ def aggregate_weight(level: Column, tokens: Column, weight: Column) -> Column:
 
 def storage_bytes(count: Column, dimension: Column) -> Column:
     return (count * dimension * 4).cast("long")
+
+
+def checked_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one length, else an error of the query; 0 when a norm is 0."""
+    scale = norm(a) * norm(b)
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different lengths")).cast("double")).when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
+
+
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors whose mask is over 0, component by component; zeros if there is none."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda x: x["m"] > 0), lambda x: x["v"])
+    zeros = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    sums = F.aggregate(kept, zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    return F.transform(sums, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+
+
+def first_pool(tokens: Column) -> Column:
+    """The vector of the first token."""
+    return doubles(F.get(tokens, F.lit(0)))
+
+
+def to_json(v: Column) -> Column:
+    return F.to_json(v)
+
+
+def of_json(text: Column) -> Column:
+    """A vector of a JSON list; empty for null or what is no list."""
+    return F.coalesce(F.from_json(text, "array<float>"), F.array().cast("array<float>"))
+
+
+def megabytes(n: Column) -> Column:
+    """Bytes as MB with two decimals, halves to the even digit."""
+    return F.bround(n / (1024 * 1024), 2)

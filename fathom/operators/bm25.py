@@ -71,14 +71,47 @@ def search_many(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int =
     """(query_id, id, score, rank) for rows (query_id, text) over a stored index of postings: joins and one window per query."""
     from pyspark.sql import Window
 
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    hits = index.join(asked, "term").join(df, "term").join(F.broadcast(stats))
+    held = index.join(asked.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    hits = held.join(asked, "term").join(df, "term").join(F.broadcast(stats))
     part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     # rounded, so that copies tie whatever the order of the sum
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+#: Folders that the terms of a stored index are dealt to.
+BUCKETS = 64
+
+
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str, text_col: str, mode: str = "classic", buckets: int = BUCKETS) -> None:
+    """Stores postings by bucket of their terms, sorted, so that a search reads only the row groups of its terms; and the lengths of documents."""
+    made = postings(docs, id_col, text_col, mode).withColumn("bucket", bucket(F.col("term"), buckets))
+    made.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    terms = X.tokens(F.col(text_col)) if mode == "classic" else X.fts_tokens(F.col(text_col))
+    docs.select(F.col(id_col).alias("id"), F.size(terms).cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def search_index(spark, path: str, query: str, k: int = 10, k1: float = 1.5, b: float = 0.75, buckets: int = BUCKETS) -> DataFrame:
+    """(id, score, rank) like `search` in classic mode, from a stored index: of the postings only the buckets and terms of the query are read."""
+    from pyspark.sql import Window
+
+    wanted = query_terms(spark, query)
+    numbers = sorted({r["b"] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(bucket(F.col("t"), buckets).alias("b")).collect()}) if wanted else []
+    held = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*numbers) & F.col("term").isin(*wanted))
+    sizes = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rows = held.join(F.broadcast(df), "term").join(F.broadcast(sizes))  # a row a term of the query, and one row
+    part = idf(F.col("n"), F.col("df"), "classic") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scores = rows.groupBy("id").agg(F.round(F.sum(part), 9).alias("score"))
+    top = scores.orderBy(F.desc("score"), "id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
 
 def stats(docs: DataFrame, text_col: str, mode: str = "classic") -> DataFrame:

@@ -53,38 +53,40 @@ def paragraphs(start: int, lines: list[str]):
 
 
 def sentence_pieces(start: int, end: int, text: str, most: int):
-    """A long paragraph packed by sentences; all but the last piece carry the first line only."""
-    held = ""
+    """A long paragraph packed by sentences, whose tokens are counted each; all but the last piece carry the first line only."""
+    held, used = [], 0
     for s in SENTENCE.findall(text):
-        if held and count_tokens(held + s) > most:
-            yield start, start, held
-            held = ""
-        held += s
+        size = count_tokens(s)
+        if held and used + size > most:
+            yield start, start, "".join(held)
+            held, used = [], 0
+        held.append(s)
+        used += size
     if held:
-        yield start, end, held
+        yield start, end, "".join(held)
 
 
 def pack(parts: list[tuple[int, int, str]], most: int, overlap: int):
     """Paragraphs packed up to `most` tokens; a new chunk repeats the last ones up to `overlap` tokens, one at least."""
     held: list[tuple[int, int, str]] = []
+    sizes: list[int] = []  # of what is held
     for part in parts:
         size = count_tokens(part[2])
         if size > most:
             if held:
                 yield held, "Paragraph"
-                held = []
+                held, sizes = [], []
             for piece in sentence_pieces(*part, most):
                 yield [piece], "Forced"
             continue
-        if held and sum(count_tokens(p[2]) for p in held) + size > most:
+        if held and sum(sizes) + size > most:
             yield held, "Paragraph"
-            carried = [held[-1]]
-            for p in reversed(held[:-1]):
-                if sum(count_tokens(x[2]) for x in carried) + count_tokens(p[2]) > overlap:
-                    break
-                carried.insert(0, p)
-            held = carried
+            n, carried = 1, sizes[-1]
+            while n < len(held) and carried + sizes[-n - 1] <= overlap:
+                n, carried = n + 1, carried + sizes[-n - 1]
+            held, sizes = held[-n:], sizes[-n:]
         held.append(part)
+        sizes.append(size)
     if held:
         yield held, "Paragraph"
 

@@ -57,6 +57,21 @@ def sources_filter(df: DataFrame, enabled: list[str], requested: list[str] | Non
     return df.filter((blank & F.lit(keep_blank)) | (~blank & F.col("source").isin(*allowed)))
 
 
+def enabled_sources(configured: DataFrame, files: DataFrame) -> list[str]:
+    """Names of the enabled sources of a configuration (source, enabled); of all that the index has if nothing is configured. Sources are few."""
+    rows = configured.filter("enabled").select("source") if configured.limit(1).count() else files.select("source").filter("source <> ''").distinct()
+    return sorted(r["source"] for r in rows.collect())
+
+
+def optimize(df: DataFrame, k: int, group: str, folder: str | None = None, tags: list[str] = (), start=None, end=None, lam: float = 0.7) -> DataFrame:
+    """A result list (id, score, content, path, tags, modified) filtered, lowered by the counts of its groups, made diverse, and cut to k."""
+    rows = df if folder is None else df.filter(F.col("path").startswith(folder))
+    rows = rows.filter(tags_filter(F.col("tags"), list(tags))) if tags else rows
+    rows = rows.filter(date_filter(F.col("modified"), start, end)) if start is not None or end is not None else rows
+    listed = debias_by_mean(rows, group).select(F.lit(0).cast("long").alias("query_id"), "id", "score", "content")
+    return mmr(listed, k, lam).drop("query_id")
+
+
 def tags_filter(tags: Column, wanted: list[str]) -> Column:
     """Whether any wanted tag is among the tags, ignoring case; all rows pass if none is wanted."""
     if not wanted:

@@ -29,9 +29,9 @@ def knn(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", metri
 
 def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score, rank) for a bounded set of queries (query_id, query): each vector meets each query once, and tasks keep k a query before the shuffle."""
-    from pyspark.sql.functions import broadcast
+    from fathom.sources.tables import if_small
 
-    pairs = vectors.join(broadcast(queries)).select("query_id", F.col(id_col).alias("id"), V.from_distance(V.l2_distance(F.col("embedding"), F.col("query"))).alias("score"))
+    pairs = vectors.join(if_small(queries)).select("query_id", F.col(id_col).alias("id"), V.from_distance(V.l2_distance(F.col("embedding"), F.col("query"))).alias("score"))
     # the first cut is by parts of the id space, so that no task orders all vectors of a query
     part = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
     first = pairs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k)

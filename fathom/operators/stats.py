@@ -82,8 +82,3 @@ def check_alerts(metrics: DataFrame, rules=ALERT_RULES) -> DataFrame:
 def health(alerts: DataFrame) -> DataFrame:
     worst = alerts.agg(F.coalesce(F.max(F.when(F.col("level") == "critical", 2).when(F.col("level") == "warning", 1).otherwise(0)), F.lit(0)).alias("w"))
     return worst.select(F.when(F.col("w") == 2, "unhealthy").when(F.col("w") == 1, "degraded").otherwise("healthy").alias("status"))
-
-
-def test_statistics(records: DataFrame, group: str) -> DataFrame:
-    """Records per group, how many passed, and the mean score of those that have one."""
-    return records.groupBy(group).agg(F.count("*").alias("n"), F.count(F.when(F.col("passed"), 1)).alias("n_passed"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))

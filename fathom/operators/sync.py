@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathom.sources.tables import if_small
+
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """existing with the rows of new in place of those of equal keys; of new rows with equal keys the last by `order` stays."""
@@ -79,10 +81,10 @@ def detect_moves(stored: DataFrame, disk: DataFrame) -> DataFrame:
 
 def owner_source(files: DataFrame, sources: DataFrame) -> DataFrame:
     """files with the source of the longest path that begins theirs; sources (source, root) are a configuration, a few rows."""
-    met = files.join(F.broadcast(sources), files["path"].startswith(sources["root"]), "left")
+    met = files.join(if_small(sources), files["path"].startswith(sources["root"]), "left")
     return met.groupBy(*files.columns).agg(F.max_by("source", F.length("root")).alias("owner"))
 
 
 def orphans(files: DataFrame, sources: DataFrame) -> DataFrame:
     """Files under none of the configured roots."""
-    return files.join(F.broadcast(sources), files["path"].startswith(sources["root"]), "left_anti")
+    return files.join(if_small(sources), files["path"].startswith(sources["root"]), "left_anti")

@@ -118,3 +118,43 @@ def build_index(files: DataFrame, id_col: str = "file_id", text_col: str = "text
     chunks = cut.join(files.select(F.col(id_col).cast("string").alias("file_id"), "path", "source"), "file_id")
     nodes, edges = graph.build(files, "path", text_col)
     return Index(chunks, models.embed(cut, "content", model=model).select("chunk_id", "embedding"), nodes, edges)
+
+
+def hierarchical_search(index: Index, vector, k: int = 10, n_documents: int = 10, n_sections: int = 20, n_chunks: int = 50) -> DataFrame:
+    """(id, file_id, heading, score): documents by their mean vectors, sections of these documents alone, chunks, and all merged."""
+    chunks = index.chunks.select("chunk_id", "file_id", "heading").join(index.vectors, "chunk_id")
+    documents = knn.knn(knn.weighted_mean(chunks, "file_id", F.lit(1.0)), vector, n_documents, "file_id").withColumnRenamed("id", "file_id")
+    inside = chunks.join(F.broadcast(documents.select("file_id")), "file_id", "left_semi").withColumn("section", F.struct("file_id", "heading"))
+    sections = knn.knn(knn.weighted_mean(inside, "section", F.lit(1.0)), vector, n_sections, "section").select("id.file_id", "id.heading", "score")
+    near = knn.knn(chunks, vector, n_chunks, "chunk_id").join(chunks.select(F.col("chunk_id").alias("id"), "file_id", "heading"), "id")
+    return fusion.merge_tiers(near.select("id", "file_id", "heading", "score"), documents.select("file_id", "rank", "score"), sections, k)
+
+
+def changed_files(stored: DataFrame, files: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(file_id) that leave the index, and the files (file_id, path, source, text, hash) to index anew, against stored (file_id, path, hash)."""
+    from fathom.operators import sync
+
+    change = sync.classify_changes(stored, files)
+    kinds = ["New", "Modified", "Unchanged"] if force else ["New", "Modified"]
+    gone = stored.join(change.filter(F.col("change").isin("Deleted", *kinds)).select("path"), "path", "left_semi").select("file_id")
+    return gone, files.join(change.filter(F.col("change").isin(*kinds)).select("path"), "path", "left_semi")
+
+
+def update_index(index: Index, stored: DataFrame, files: DataFrame, enabled: list[str] | None = None, force: bool = False, model=None, most: int = 512, overlap: int = 50) -> tuple[Index, DataFrame]:
+    """The index and the stored files (file_id, path, source, hash) after files changed: only new and modified ones are cut and embedded.
+
+    With `enabled`, files of other sources are neither indexed nor taken for deleted. What is stored of sources that no
+    file has any more goes like every deleted file. force indexes all anew, as after a change of the model.
+    """
+    mine = (lambda df: df) if enabled is None else (lambda df: df.filter(F.col("source").isin(*enabled)))
+    gone, changed = changed_files(mine(stored), mine(files), force)
+    fresh = build_index(changed, model=model, most=most, overlap=overlap)
+    ids = gone.select(F.col("file_id").cast("string").alias("file_id"))
+    kept = index.chunks.join(ids, "file_id", "left_anti")
+    dropped = index.chunks.join(ids, "file_id", "left_semi").select("chunk_id")
+    chunks = kept.unionByName(fresh.chunks, allowMissingColumns=True)
+    vectors = index.vectors.join(dropped, "chunk_id", "left_anti").unionByName(fresh.vectors)
+    after = stored.join(gone, "file_id", "left_anti").unionByName(changed.select(*stored.columns))
+    # links may lead to any file: the graph is resolved anew from all texts, which is one pass without embedding
+    nodes, edges = graph.build(files, "path", "text")
+    return Index(chunks, vectors, nodes, edges), after

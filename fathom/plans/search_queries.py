@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fathom.functions import text as X, vectors as V
 from fathom.functions.fixed_values import CLASSIC_STOP_WORDS, FTS_STOP_WORDS
 from fathom.operators import bm25, fusion, knn
-from fathom.sources.tables import spread, table
+from fathom.plans import search
+from fathom.sources.tables import scratch_folder, spread, table
 
 QUERY = "the nation of ender thing"
 #: The vector that vector queries search with, by its vec_id.
@@ -180,17 +181,20 @@ def token_budget(spark, sf_dir):
 
 
 def hierarchical(spark, sf_dir):
-    """Chunks, documents and sections are vectors by id; file = label, section path = label and parity."""
-    v = table(spark, sf_dir, "embeddings").withColumns({"file_id": F.col("label"), "heading": F.concat(F.lit("h"), (F.col("vec_id") % 2).cast("string"), F.lit("/"), F.col("label").cast("string"))})
-    q = probe(spark, sf_dir)
-    info = v.select(F.col("vec_id").alias("id"), "file_id", "heading")
-    near = lambda part, k: knn.knn(v.filter(F.col("vec_id") % 3 == part), q, k).join(info, "id")
-    documents = near(1, 6).select("file_id", "rank", "score")
-    sections = near(2, 9).select("file_id", F.substring("heading", 1, 2).alias("heading"), "score")
-    return rounded(fusion.merge_tiers(near(0, 12).select("id", "file_id", "heading", "score"), documents, sections, K), "score")
+    """All vectors as chunks: their labels are the documents, and the labels' even and odd ids are the sections."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("file_id"), F.concat(F.lit("h"), (F.col("vec_id") % 2).cast("string")).alias("heading"), "embedding")
+    index = search.Index(v.select("chunk_id", "file_id", "heading"), v.select("chunk_id", "embedding"))
+    return rounded(search.hierarchical_search(index, probe(spark, sf_dir), K, 3, 4, 12), "score")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_fts_topk, bm25_scores, bm25_postings, bm25_stats, bm25_many, knn_topk, knn_cosine, knn_filtered, knn_postfiltered, knn_in_ids, knn_many, vector_stats, aggregate_vectors, similar_pairs, hybrid_weighted, hybrid_rrf, hybrid_filtered, standard_search, debias_by_mean, rerank, mmr, token_budget, hierarchical)}
+def bm25_stored(spark, sf_dir):
+    """The search of bm25_topk over postings that are stored first."""
+    path = scratch_folder(spark)
+    bm25.write_index(docs(spark, sf_dir), path, "doc_id", "text")
+    return rounded(bm25.search_index(spark, path, QUERY, K), "score").select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_fts_topk, bm25_scores, bm25_postings, bm25_stats, bm25_many, knn_topk, knn_cosine, knn_filtered, knn_postfiltered, knn_in_ids, knn_many, vector_stats, aggregate_vectors, similar_pairs, hybrid_weighted, hybrid_rrf, hybrid_filtered, standard_search, debias_by_mean, rerank, mmr, token_budget, hierarchical, bm25_stored)}
 
 NEAR = f"near AS (SELECT vec_id AS id, {L2_SQL} AS score FROM embeddings e, q)"
 VEC20 = "vec AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near ORDER BY score DESC, id LIMIT 20)"
@@ -244,10 +248,17 @@ SELECT query_id, id AS doc_id, round(s, 6) AS score, rank FROM ranked WHERE rank
     "token_budget": f"""WITH {classic_scores()}, k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores ORDER BY score DESC, id LIMIT 40),
 b AS (SELECT id, rank, floor((length(text) - length(regexp_replace(text, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g'))) / 1.5 + floor(length(regexp_replace(text, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g')) / 4))::BIGINT AS tokens FROM k JOIN documents ON doc_id = id),
 s AS (SELECT id, tokens, sum(tokens) OVER (ORDER BY rank)::BIGINT AS used FROM b) SELECT id, tokens, used FROM s WHERE used <= 4000""",
-    "hierarchical": f"""WITH {PROBE_SQL}, n AS (SELECT vec_id AS id, label AS file_id, 'h' || (vec_id % 2) || '/' || label AS heading, {L2_SQL} AS score FROM embeddings e, q),
-c AS (SELECT * FROM n WHERE id % 3 = 0 ORDER BY score DESC, id LIMIT 12), d AS (SELECT * FROM n WHERE id % 3 = 1 ORDER BY score DESC, id LIMIT 6), s AS (SELECT * FROM n WHERE id % 3 = 2 ORDER BY score DESC, id LIMIT 9),
-dd AS (SELECT file_id, list(score ORDER BY score DESC, id) AS l FROM d GROUP BY file_id),
-f AS (SELECT c.id AS id, c.file_id AS file_id, c.heading AS heading, coalesce(list_reduce(list_prepend(c.score, l), lambda a, x: 0.4 * a + 0.3 * x), c.score) AS score FROM c LEFT JOIN dd ON dd.file_id = c.file_id),
-t AS (SELECT f.id AS id, f.file_id AS file_id, f.heading AS heading, f.score + 0.3 * coalesce((SELECT sum(s.score) FROM s WHERE s.file_id = f.file_id AND starts_with(f.heading, left(s.heading, 2))), 0) AS sc FROM f)
+    "hierarchical": f"""WITH {PROBE_SQL}, n AS (SELECT vec_id AS id, label AS file_id, 'h' || (vec_id % 2) AS heading, {L2_SQL} AS score FROM embeddings e, q),
+c AS (SELECT * FROM n ORDER BY score DESC, id LIMIT 12),
+x AS (SELECT label AS file_id, 'h' || (vec_id % 2) AS heading, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+dm AS (SELECT file_id, list(x ORDER BY i) AS v FROM (SELECT file_id, i, avg(x) AS x FROM x GROUP BY 1, 2) GROUP BY 1),
+dn AS (SELECT file_id, list_transform(v, lambda y: y / sqrt(list_sum(list_transform(v, lambda z: z * z)))) AS embedding FROM dm),
+d AS (SELECT file_id, {L2_SQL} AS score FROM dn e, q ORDER BY 2 DESC, 1 LIMIT 3),
+sm AS (SELECT file_id, heading, list(x ORDER BY i) AS v FROM (SELECT file_id, heading, i, avg(x) AS x FROM x SEMI JOIN d USING (file_id) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sn AS (SELECT file_id, heading, list_transform(v, lambda y: y / sqrt(list_sum(list_transform(v, lambda z: z * z)))) AS embedding FROM sm),
+s AS (SELECT file_id, heading, {L2_SQL} AS score FROM sn e, q ORDER BY 3 DESC, 1, 2 LIMIT 4),
+f AS (SELECT c.id AS id, c.file_id AS file_id, c.heading AS heading, CASE WHEN d.score IS NULL THEN c.score ELSE 0.4 * c.score + 0.3 * d.score END AS score FROM c LEFT JOIN d ON d.file_id = c.file_id),
+t AS (SELECT f.id AS id, f.file_id AS file_id, f.heading AS heading, f.score + 0.3 * coalesce((SELECT sum(s.score) FROM s WHERE s.file_id = f.file_id AND s.heading = f.heading), 0) AS sc FROM f)
 SELECT id, file_id, heading, round(sc, 6) AS score FROM t ORDER BY sc DESC, id LIMIT {K}""",
 }
+ORACLES["bm25_stored"] = ORACLES["bm25_topk"]

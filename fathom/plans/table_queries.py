@@ -41,7 +41,7 @@ def find_duplicates(spark, sf_dir):
 def upsert_rows(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("new").alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
-    return sync.upsert(old, rows.filter("c_custkey % 3 = 0"), ["c_custkey"], "o_orderkey")
+    return sync.upsert(old, rows, ["c_custkey"], "o_orderkey")
 
 
 def changed_by_time(spark, sf_dir):
@@ -175,7 +175,7 @@ ORACLES = {
     "classify_changes": f"WITH {DISK_SQL} SELECT path, CASE WHEN s.hash IS NULL THEN 'New' WHEN k.hash IS NULL THEN 'Deleted' WHEN upper(s.hash) = upper(k.hash) THEN 'Unchanged' ELSE 'Modified' END AS change FROM stored s FULL JOIN disk k USING (path)",
     "detect_moves": f"WITH {DISK_SQL}, g AS (SELECT hash, min(path) AS old FROM stored WHERE path NOT IN (SELECT path FROM disk) GROUP BY hash), c AS (SELECT upper(hash) AS hash, min(path) AS new FROM disk WHERE path NOT IN (SELECT path FROM stored) GROUP BY 1) SELECT old, new FROM g JOIN c USING (hash)",
     "find_duplicates": f"WITH {DISK_SQL} SELECT path, first FROM stored JOIN (SELECT hash, min(path) AS first FROM stored GROUP BY hash) USING (hash) WHERE path > first",
-    "upsert_rows": "WITH n AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT o_custkey, 'new', p FROM n",
+    "upsert_rows": "WITH n AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT o_custkey, 'new', p FROM n",
     "changed_by_time": "WITH e AS (SELECT 'u' || user_id AS path, min(ts) AS a, max(ts) AS b, count(*) AS n FROM events GROUP BY 1), s AS (SELECT path, CASE WHEN n % 2 = 0 THEN b ELSE a END AS i FROM e WHERE n % 5 <> 0), k AS (SELECT path, b AS m FROM e WHERE n % 7 <> 0) SELECT path, CASE WHEN i IS NULL THEN 'New' WHEN m IS NULL THEN 'Deleted' WHEN m > i + INTERVAL 1 SECOND THEN 'Modified' ELSE 'Unchanged' END AS change FROM s FULL JOIN k USING (path)",
     "cascade_delete": "SELECT l_orderkey AS file_id, count(*)::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1",
     "owner_source": "SELECT CASE WHEN starts_with(lower(p_type), 'standard') THEN 'standard' WHEN starts_with(lower(p_type), 's') THEN 's' ELSE 'all' END AS owner, count(*)::BIGINT AS n FROM part GROUP BY 1",

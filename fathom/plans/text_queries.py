@@ -76,13 +76,7 @@ def link_functions(spark, sf_dir):
 
 
 def bigram_similarity(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", X.bigrams(F.substring("text", 1, 60)).alias("g"))
-    e = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
-    return d.join(e, "doc_id").select("doc_id", F.round(X.multiset_jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
-
-
-def bigram_similarity_whole(spark, sf_dir):
-    """Like bigram_similarity, over whole texts: pairs are counted once each, in time linear in the text."""
+    """Of neighbouring documents, over whole texts: pairs are counted once each, in time linear in the text."""
     import pandas as pd
 
     @F.pandas_udf("double")
@@ -177,32 +171,20 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_window(spark, sf_dir):
     chunks = line_chunks(spark, sf_dir)
-    return chunking.adjacent(chunks, chunks.filter("chunk_index % 5 = 2").select(F.col("chunk_id").alias("hit_id")), 1)
+    return chunking.adjacent(chunks, chunks.select(F.col("chunk_id").alias("hit_id")), 1)
 
 
 def context_by_position(spark, sf_dir):
-    chunks = line_chunks(spark, sf_dir).filter("chunk_index % 3 <> 1")
-    return chunking.adjacent_by_position(chunks, chunks.filter("chunk_index % 5 = 2").select(F.col("chunk_id").alias("hit_id")), 1)
+    chunks = line_chunks(spark, sf_dir)
+    return chunking.adjacent_by_position(chunks, chunks.select(F.col("chunk_id").alias("hit_id")), 1)
 
 
 def drill_down(spark, sf_dir):
     chunks = line_chunks(spark, sf_dir)
-    hits = chunks.filter("file_id % 10 = 3 and chunk_index = 1").select(F.col("chunk_id").alias("hit_id"))
+    hits = chunks.select(F.col("chunk_id").alias("hit_id"))
     return chunking.drill_down(chunks, hits, 2)
 
 
-def context_window_all(spark, sf_dir):
-    """Like context_window, around every chunk."""
-    chunks = line_chunks(spark, sf_dir)
-    return chunking.adjacent(chunks, chunks.select(F.col("chunk_id").alias("hit_id")), 1)
-
-
-def context_by_position_all(spark, sf_dir):
-    """Like context_by_position, over and around every chunk."""
-    chunks = line_chunks(spark, sf_dir)
-    return chunking.adjacent_by_position(chunks, chunks.select(F.col("chunk_id").alias("hit_id")), 1)
-
-
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hit_id, rank) of a search over the lines of all documents."""
     found = bm25.search(line_chunks(spark, sf_dir), "chunk_id", "content", "erenth ndor thing", 20)
@@ -234,7 +216,12 @@ def order_midpoints(spark, sf_dir):
 
 
 def build_context(spark, sf_dir):
-    rows = docs(spark, sf_dir).filter("doc_id < 60").select(F.col("doc_id").alias("rank"), F.lit(None).cast("string").alias("title"), "lang", F.col("lang").alias("heading"), F.concat(F.lit("a/"), "source", F.lit(".md")).alias("path"), F.substring("text", 1, 500).alias("content"))
+    """The context of the sixty shortest documents, as a result list."""
+    from pyspark.sql import Window
+
+    order = [F.length("text"), F.col("doc_id")]
+    listed = docs(spark, sf_dir).orderBy(*order).limit(60).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    rows = listed.select("rank", F.lit(None).cast("string").alias("title"), "lang", F.col("lang").alias("heading"), F.concat(F.lit("a/"), "source", F.lit(".md")).alias("path"), F.col("text").alias("content"))
     return context.build_context(rows, 3000)
 
 
@@ -245,7 +232,7 @@ def references(spark, sf_dir):
 
 def expand_context(spark, sf_dir):
     chunks = line_chunks(spark, sf_dir).withColumn("heading", F.concat(F.lit("part "), F.floor(F.col("chunk_index") / 3).cast("string")))
-    return context.expand_context(chunks.filter("chunk_index % 7 = 3").select(F.col("chunk_id").alias("hit_id")), chunks, 1)
+    return context.expand_context(chunks.select(F.col("chunk_id").alias("hit_id")), chunks, 1)
 
 
 def embed(spark, sf_dir):
@@ -261,7 +248,7 @@ def search_request(spark, sf_dir):
     return search.search(made, request)["results"].select("id", "path", F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, bigram_similarity_whole, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, context_window_all, context_by_position_all, drill_down_searched, expand_context_searched, build_context_searched, order_midpoints, build_context, references, expand_context, embed, search_request)}
+QUERIES = {f.__name__: f for f in (token_counts, fingerprints, sentence_stats, previews, query_functions, enhanced, path_functions, link_functions, bigram_similarity, vector_functions, links, headings, graph_nodes, graph_edges, graph_neighbors, graph_subgraph, graph_search, graph_stats, chunk_markdown, chunk_outline, context_window, context_by_position, drill_down, drill_down_searched, expand_context_searched, build_context_searched, order_midpoints, build_context, references, expand_context, embed, search_request)}
 
 LINES = "ln AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM notes), fen AS (SELECT *, sum(CASE WHEN starts_with(ltrim(t), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS f, starts_with(ltrim(t), '```') AS mark FROM ln), free AS (SELECT path, t, line FROM fen WHERE NOT mark AND f % 2 = 0)"
 FOUND = """raw AS (
@@ -281,16 +268,16 @@ PREVIEW = lambda n: f"CASE WHEN length(text) > {n} THEN left(text, {n}) || '...'
 
 BLOCK = "concat_ws(chr(10) || chr(10), '### ' || source, '**' || lang || '**', c, '[[a/' || source || '.md]]')"
 ORACLES = {
-    "build_context": f"WITH r AS (SELECT doc_id AS rank, lang, source, left(text, 500) AS c FROM documents WHERE doc_id < 60), t AS (SELECT *, floor((length(c) - length(regexp_replace(c, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g'))) / 1.5 + floor(length(regexp_replace(c, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g')) / 4))::BIGINT AS tk FROM r), u AS (SELECT *, sum(tk) OVER (ORDER BY rank) AS used FROM t) SELECT string_agg({BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*)::BIGINT AS n, sum(tk)::BIGINT AS tokens FROM u WHERE used <= 3000",
+    "build_context": f"WITH r AS (SELECT row_number() OVER (ORDER BY length(text), doc_id) AS rank, lang, source, text AS c FROM documents ORDER BY length(text), doc_id LIMIT 60), t AS (SELECT *, floor((length(c) - length(regexp_replace(c, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g'))) / 1.5 + floor(length(regexp_replace(c, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g')) / 4))::BIGINT AS tk FROM r), u AS (SELECT *, sum(tk) OVER (ORDER BY rank) AS used FROM t) SELECT string_agg({BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*)::BIGINT AS n, sum(tk)::BIGINT AS tokens FROM u WHERE used <= 3000",
     "references": "SELECT source AS path, count(*)::BIGINT AS n, min(doc_id) AS best, CASE WHEN length(arg_min(text, doc_id)) > 50 THEN left(arg_min(text, doc_id), 50) || '...' ELSE arg_min(text, doc_id) END AS preview FROM documents GROUP BY source",
-    "expand_context": f"WITH {LINE_CHUNKS}, n AS (SELECT h.file_id || '#' || h.i AS hit_id, c.i - h.i AS o, c.content AS content, 'part ' || (c.i // 3) AS heading FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN h.i - 1 AND h.i + 1 WHERE h.i % 7 = 3), p AS (SELECT *, CASE WHEN heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY hit_id ORDER BY o) THEN '### ' || heading || chr(10) ELSE '' END || CASE WHEN o = 0 THEN '**[HIT]** ' ELSE '' END || content AS piece FROM n) SELECT hit_id, string_agg(piece, chr(10) || chr(10) ORDER BY o) AS context, count(*) FILTER (o < 0)::BIGINT AS n_before, count(*) FILTER (o > 0)::BIGINT AS n_after FROM p GROUP BY hit_id",
+    "expand_context": f"WITH {LINE_CHUNKS}, n AS (SELECT h.file_id || '#' || h.i AS hit_id, c.i - h.i AS o, c.content AS content, 'part ' || (c.i // 3) AS heading FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN h.i - 1 AND h.i + 1), p AS (SELECT *, CASE WHEN heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY hit_id ORDER BY o) THEN '### ' || heading || chr(10) ELSE '' END || CASE WHEN o = 0 THEN '**[HIT]** ' ELSE '' END || content AS piece FROM n) SELECT hit_id, string_agg(piece, chr(10) || chr(10) ORDER BY o) AS context, count(*) FILTER (o < 0)::BIGINT AS n_before, count(*) FILTER (o > 0)::BIGINT AS n_after FROM p GROUP BY hit_id",
     "token_counts": f"WITH c AS (SELECT doc_id, length(text) AS n, {N('[\\x{4e00}-\\x{9fff}]')} AS cjk, {N('[A-Za-z]')} AS l, {N('[0-9]')} AS d, {N('[\\x{4e01}-\\x{9ffe}]')} AS c2 FROM documents) SELECT doc_id, (floor(cjk / 1.5) + floor(l / 4) + floor(d / 3) + floor((n - cjk - l - d) / 2))::BIGINT AS n_tokens, floor(c2 / 1.5 + floor((n - c2) / 4))::BIGINT AS n_estimated, ceil(n / 2)::BIGINT AS n_client FROM c",
     "fingerprints": "SELECT doc_id, upper(sha256(text)) AS full, CASE WHEN text = '' THEN '' ELSE left(sha256(text), 16) END AS short, upper(left(sha256(text), 16)) AS query FROM documents",
     "sentence_stats": "WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?][\"」]?|[^。！？.!?]+$'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(s[1], '') AS first FROM s",
     "previews": f"SELECT doc_id, {PREVIEW(20)}, {PREVIEW(50)}, {PREVIEW(200)} FROM documents",
     "path_functions": "WITH s AS (SELECT s_suppkey, 'C:\\vault\\' || s_name || '\\note' || s_suppkey || '.MD' AS p, s_name AS n FROM supplier) SELECT s_suppkey, 'note' || s_suppkey || '.MD' AS name, 'note' || s_suppkey AS stem, '.md' AS extension, 'C:\\vault\\' || n AS folder, '/mnt/c/vault/' || n || '/note' || s_suppkey || '.MD' AS wsl, p AS back, 'vec_' || regexp_replace(p, '[^A-Za-z0-9]', '_', 'g') AS model_table FROM s",
     "link_functions": "WITH r AS (SELECT p_partkey, p_name, p_size, p_size + (p_partkey % 3)::INT AS e FROM part) SELECT p_partkey, '[[a/' || p_name || '#L' || p_size || CASE WHEN e > p_size THEN '-L' || e ELSE '' END || '|shown]]' AS link, '[[a/' || p_name || '#A%20>%20B%20c]]' AS section, p_size AS start_line, e::INT AS end_line, 'shown' AS shown FROM r",
-    "bigram_similarity": "WITH b AS (SELECT doc_id, regexp_replace(left(text, 60), '\\s+', '', 'g') AS t FROM documents), g AS (SELECT doc_id, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t))) AS i FROM b) GROUP BY 1, 2), p AS (SELECT a.doc_id AS doc_id, a.t AS t, c.t AS u FROM b a JOIN b c ON c.doc_id = a.doc_id + 1), m AS (SELECT a.doc_id AS doc_id, sum(least(a.n, c.n)) AS common FROM g a JOIN g c ON c.doc_id = a.doc_id + 1 AND c.g = a.g GROUP BY 1) SELECT doc_id, round(CASE WHEN length(t) < 2 OR length(u) < 2 THEN 0.0 ELSE coalesce(common, 0) / (length(t) - 1 + length(u) - 1 - coalesce(common, 0)) END, 6)::DOUBLE AS similarity FROM p LEFT JOIN m USING (doc_id)",
+    "bigram_similarity": "WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS t FROM documents), g AS (SELECT doc_id, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t))) AS i FROM b) GROUP BY 1, 2), p AS (SELECT a.doc_id AS doc_id, a.t AS t, c.t AS u FROM b a JOIN b c ON c.doc_id = a.doc_id + 1), m AS (SELECT a.doc_id AS doc_id, sum(least(a.n, c.n)) AS common FROM g a JOIN g c ON c.doc_id = a.doc_id + 1 AND c.g = a.g GROUP BY 1) SELECT doc_id, round(CASE WHEN length(t) < 2 OR length(u) < 2 THEN 0.0 ELSE coalesce(common, 0) / (length(t) - 1 + length(u) - 1 - coalesce(common, 0)) END, 6)::DOUBLE AS similarity FROM p LEFT JOIN m USING (doc_id)",
     "vector_functions": "WITH p AS (SELECT a.vec_id AS vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), d AS (SELECT vec_id, list_dot_product(x, y) AS d, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) AS c, 1 / (1 + sqrt(list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q[1] - q[2]))))) AS n FROM p) SELECT vec_id, round(d, 6) AS dot, round(c, 6) AS cosine, round(n, 6) AS near, round(1 / (1 + exp(-d)), 6) AS sigmoid, CASE WHEN c > 0.9 THEN 'very high' WHEN c > 0.7 THEN 'high' WHEN c > 0.5 THEN 'medium' WHEN c > 0.3 THEN 'low' ELSE 'very low' END AS band FROM d",
     "links": f"WITH {MARKDOWN_SQL}, {LINES}, {FOUND} SELECT path, target, heading, type, line FROM lk",
     "headings": f"WITH {MARKDOWN_SQL}, {LINES}, {HEADS} SELECT path, level, title, line FROM hd",
@@ -300,8 +287,8 @@ ORACLES = {
     "graph_neighbors": f"WITH RECURSIVE {KEYS}, walk AS (SELECT unnest(['r1', 's2']) AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN adj ON a = id WHERE depth < 2) SELECT id, min(depth)::INT AS depth FROM walk WHERE id IN (SELECT id FROM nodes) GROUP BY id",
     "graph_subgraph": f"WITH RECURSIVE {KEYS}, walk AS (SELECT 'r1' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN adj ON a = id WHERE depth < 2), near AS (SELECT id FROM walk GROUP BY id HAVING min(depth) < 2) SELECT DISTINCT from_id, to_id, type FROM edges WHERE from_id IN (SELECT id FROM near) OR to_id IN (SELECT id FROM near)",
     "graph_search": f"WITH {KEYS} SELECT id, title, type FROM nodes WHERE contains(lower(title), 'a') ORDER BY id LIMIT 10",
-    "context_window": f"WITH {LINE_CHUNKS} SELECT h.file_id || '#' || h.i AS hit_id, c.file_id || '#' || c.i AS chunk_id, (c.i - h.i)::INT AS \"offset\" FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN h.i - 1 AND h.i + 1 WHERE h.i % 5 = 2",
-    "context_by_position": f"WITH {LINE_CHUNKS}, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY i) AS p FROM lc WHERE i % 3 <> 1) SELECT h.file_id || '#' || h.i AS hit_id, c.file_id || '#' || c.i AS chunk_id, (c.p - h.p)::INT AS \"offset\" FROM k h JOIN k c ON c.file_id = h.file_id AND c.p BETWEEN h.p - 1 AND h.p + 1 WHERE h.i % 5 = 2",
-    "drill_down": f"WITH {LINE_CHUNKS} SELECT h.file_id || '#1' AS hit_id, string_agg(c.content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c.i) AS context FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN 0 AND 3 WHERE h.i = 1 AND h.file_id % 10 = 3 GROUP BY h.file_id",
+    "context_window": f"WITH {LINE_CHUNKS} SELECT h.file_id || '#' || h.i AS hit_id, c.file_id || '#' || c.i AS chunk_id, (c.i - h.i)::INT AS \"offset\" FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN h.i - 1 AND h.i + 1",
+    "context_by_position": f"WITH {LINE_CHUNKS}, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY i) AS p FROM lc) SELECT h.file_id || '#' || h.i AS hit_id, c.file_id || '#' || c.i AS chunk_id, (c.p - h.p)::INT AS \"offset\" FROM k h JOIN k c ON c.file_id = h.file_id AND c.p BETWEEN h.p - 1 AND h.p + 1",
+    "drill_down": f"WITH {LINE_CHUNKS} SELECT h.file_id || '#' || h.i AS hit_id, string_agg(c.content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c.i) AS context FROM lc h JOIN lc c ON c.file_id = h.file_id AND c.i BETWEEN h.i - 2 AND h.i + 2 GROUP BY h.file_id, h.i",
     "order_midpoints": "SELECT l_orderkey, l_linenumber, CASE WHEN a IS NULL AND b IS NULL THEN 1.0 WHEN a IS NULL THEN b / 2 WHEN b IS NULL THEN a + 1 ELSE (a + b) / 2 END::DOUBLE AS middle FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber::DOUBLE) OVER w AS a, lead(l_linenumber::DOUBLE) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))",
 }

@@ -38,14 +38,58 @@ def bounded_histogram(samples: DataFrame, key: str = "metric", n: int = 1000) ->
     return samples.groupBy(key).applyInPandasWithState(step, "metric string, n long, p50 double, p95 double, p99 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def apply_changes(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Starts a query that keeps the newest row of each key in Parquet versions under `path`, a version a batch; it ends when the input is read."""
+def idle(events: DataFrame, now, quiet_ms: int = 500) -> DataFrame:
+    """(path, change, last, n) of paths that are quiet since quiet_ms at the time `now`, as a poll sees them: whatever happened, they count as Modified."""
+    seen = events.groupBy("path").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+    return seen.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) >= quiet_ms * 1000).select("path", F.lit("Modified").alias("change"), "last", "n")
+
+
+def renames(events: DataFrame) -> DataFrame:
+    """(path, old_path, ts): the last rename (ts, old_path, path) into each path that was not itself renamed since."""
+    came = events.groupBy("path").agg(F.max_by("old_path", "ts").alias("old_path"), F.max("ts").alias("ts"))
+    went = events.groupBy(F.col("old_path").alias("path")).agg(F.max("ts").alias("left_at"))
+    return came.join(went, "path", "left").filter("left_at is null or left_at < ts").select("path", "old_path", "ts")
+
+
+def without_renamed(changes: DataFrame, events: DataFrame) -> DataFrame:
+    """Changes (path, ts, ..) but for those of a path that was renamed away at that time or later: they are cancelled."""
+    went = events.groupBy(F.col("old_path").alias("path")).agg(F.max("ts").alias("left_at"))
+    return changes.join(went, "path", "left").filter("left_at is null or left_at < ts").drop("left_at")
+
+
+def apply_changes(stream: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 64):
+    """Starts a query that keeps the newest row of each key in Parquet under `path`; it ends when the input is read.
+
+    Rows are dealt to buckets by a hash of their key. A batch writes only the buckets that it touches, each as a version of
+    its own, and then a small table that names the version of every bucket; so a batch that is tried again changes nothing
+    that is read.
+    """
     from fathom.operators.sync import upsert
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v{epoch - 1}"
-        rows = batch.dropDuplicates(keys) if epoch == 0 else upsert(spark.read.parquet(before), batch, keys)
-        rows.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        rows = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+        before = versions(spark, path, epoch - 1)
+        held = [f"{path}/data/bucket={b}/v={before[b]}" for b in touched if b in before]
+        if held:
+            old = spark.read.parquet(*held)
+            rows = upsert(old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), rows, keys)
+        for_all = rows.withColumn("v", F.lit(epoch))
+        for_all.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(f"{path}/data")
+        after = [(b, v) for b, v in (before | dict.fromkeys(touched, epoch)).items()]
+        spark.createDataFrame(after, "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(spark, path: str, epoch: int) -> dict[int, int]:
+    """The version of each bucket after a batch; a row a bucket."""
+    if epoch < 0:
+        return {}
+    return {r["bucket"]: r["v"] for r in spark.read.parquet(f"{path}/versions/{epoch}").collect()}
+
+
+def current(spark, path: str, epoch: int) -> DataFrame:
+    """The rows that apply_changes holds after a batch."""
+    return spark.read.parquet(*(f"{path}/data/bucket={b}/v={v}" for b, v in sorted(versions(spark, path, epoch).items())))

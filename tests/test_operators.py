@@ -240,7 +240,7 @@ def test_stream_of_upserts(spark, tmp_path):
         spark.createDataFrame([("k1", v), (f"only-{v}", v)], "path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     changes.apply_changes(source, str(tmp_path / "out"), ["path"], str(tmp_path / "c2")).awaitTermination(120)
-    got = {r["path"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()}
+    got = {r["path"]: r["text"] for r in changes.current(spark, str(tmp_path / "out"), 1).collect()}
     assert set(got) == {"k1", "only-old", "only-new"} and got["only-new"] == "new"
 
 
@@ -263,7 +263,7 @@ def test_search_and_context_reach_all_documents(spark, tmp_path):
     assert run("search_request")[0]["path"] == "notes/227.md"
     lines = {i: t.split("\n") for i, t in texts.items()}
     around = {(f"{i}#{k}", f"{i}#{j}", j - k) for i, x in lines.items() for k in range(len(x)) for j in range(max(0, k - 1), min(len(x), k + 2))}
-    for name in ("context_window_all", "context_by_position_all"):
+    for name in ("context_window", "context_by_position"):
         assert sorted(map(tuple, run(name))) == sorted(around)
     assert [tuple(r) for r in run("drill_down_searched")] == [("227#1", "\n\n---\n\n".join(lines[227][:4]))]
     assert [r["context"] for r in run("expand_context_searched")] == ["### part 0\nstart of it\n\n**[HIT]** erenth ndor thing here\n\nafter it"]
@@ -286,7 +286,7 @@ def test_whole_texts_count(spark, tmp_path):
         common = sum(min(left.count(g), right.count(g)) for g in set(left))
         return round(common / (len(left) + len(right) - common), 6) if left and right else 0.0
 
-    assert {i: r["similarity"] for i, r in run("bigram_similarity_whole").items()} == {i: pytest.approx(jaccard(texts[i], texts[i + 1]), abs=1e-6) for i in range(1, 5)}
+    assert {i: r["similarity"] for i, r in run("bigram_similarity").items()} == {i: pytest.approx(jaccard(texts[i], texts[i + 1]), abs=1e-6) for i in range(1, 5)}
     made = run("enhanced")[3]["text"]
     assert made.endswith(long) and "[要点]" in made
     assert all(r["e0"] is not None for r in run("embed").values())
