@@ -85,10 +85,9 @@ def fts_query(text: Column) -> Column:
 def wordpieces(text: Column, vocabulary: list[str], most: int = 512, per_word: int = 64) -> Column:
     """WordPiece ids of a text between [CLS] and [SEP], at most `most`: lower case, each CJK character and mark alone, then the
     longest piece of the vocabulary again and again (the later ones begin with ##); [UNK] for a word without such a split, or longer than per_word."""
-    import pandas as pd
 
     @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts):
         import re
 
         at = {w: i for i, w in enumerate(vocabulary)}
