@@ -12,13 +12,19 @@ TAG = r"(?:^|\s)#([\p{L}\p{N}_/-]+)"
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, text, fenced): numbered from 1; fenced lines stand in a code block or open or close one."""
+    """(id, line, text, fenced): numbered from 1; fenced lines stand in a code block or open or close one. Fences are counted inside the row."""
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    opens = F.transform(split, lambda x: F.when(F.ltrim(x).startswith("```"), 1).otherwise(0))
-    # a running count of fences, kept as a string of marks so that each line finds its own by place
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(split.alias("text"), opens.alias("fence"))).alias("line", "x"))
-    so_far = F.sum("x.fence").over(Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("id", (F.col("line") + 1).alias("line"), F.col("x.text").alias("text"), ((F.col("x.fence") == 1) | (so_far % 2 == 1)).alias("fenced"))
+    fence = lambda x: F.ltrim(x).startswith("```")
+    fences = F.filter(F.transform(split, lambda x, i: F.when(fence(x), i)), lambda p: p.isNotNull())
+
+    def marked(at: Column) -> Column:
+        inside = lambda i: F.size(F.filter(at, lambda p: p <= i)) % 2 == 1
+        return F.transform(split, lambda x, i: F.struct(x.alias("text"), (fence(x) | inside(i)).alias("fenced")))
+
+    # an array of one makes a name for the places of the fences
+    found = F.get(F.transform(F.array(fences), marked), F.lit(0))
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("line", "x"))
+    return rows.select("id", (F.col("line") + 1).alias("line"), "x.text", "x.fenced")
 
 
 def with_md(target: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fathom.functions import text as X, vectors as V
-from fathom.operators import bm25, chunking, context, evaluation, fusion, knn, records, stats, sync
+from fathom.functions import hashing, text as X, vectors as V
+from fathom.operators import bm25, chunking, context, evaluation, fusion, knn, models, records, stats, sync
 from fathom.plans import search
 from fathom.plans.search_queries import K, L2_SQL, PROBE_SQL, QUERY, classic_scores, docs, probe, rounded, tokens_sql
-from fathom.plans.table_queries import JUDGED_SQL, judged, stored_and_disk
+from fathom.plans.table_queries import DISK_SQL, JUDGED_SQL, judged, stored_and_disk
 from fathom.functions.fixed_values import FTS_STOP_WORDS
 from fathom.sources.tables import table
 from fathom.streaming import changes
@@ -264,6 +264,23 @@ def incremental_index(spark, sf_dir):
     return chunks.join(after.select("path", "hash"), "path")
 
 
+def character_windows(spark, sf_dir):
+    made = docs(spark, sf_dir).select("doc_id", chunking.character_windows(F.col("text"), 1000, 100).alias("w"))
+    return made.select("doc_id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", "|"), 256).alias("digest"))
+
+
+def scored(spark, sf_dir):
+    """Scores of a plug-in reranker, here one that goes by the length of a text."""
+    made = models.scored(docs(spark, sf_dir), QUERY, "text", lambda query, texts: [len(t) % 7 - 3.0 for t in texts])
+    return rounded(made, "rerank_score").select("doc_id", "rerank_score")
+
+
+def same_hashes(spark, sf_dir):
+    stored, disk = stored_and_disk(spark, sf_dir)
+    both = stored.join(disk.withColumnRenamed("hash", "now"), "path")
+    return both.select("path", hashing.same_hash(F.col("hash"), F.col("now")).alias("same"))
+
+
 def idle_paths(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), "ts")
     return changes.idle(e, F.lit(NOW).cast("timestamp"), 3_600_000).select("path", "change", "n")
@@ -281,7 +298,7 @@ QUERIES = {
     for f in (
         record_page, newest_records, file_list, checked_requests, source_overview, dashboard, enabled_sources, model_overview, default_model, test_statistics, category_statistics, evaluation_report, keyword_recall, by_position,
         rerank_statistics, active_users, token_counters, throughput, health, model_health, fts_queries, folded_terms, intents, titles, truncated, chunk_weights, pooled, suggestions, chunk_links, reference_list, embed_block, prompts,
-        lines_in_range, rebalanced, needs_rebalance, orphans, vectors_for, kept_models, incremental_index, idle_paths, renames,
+        lines_in_range, rebalanced, needs_rebalance, orphans, vectors_for, kept_models, character_windows, scored, same_hashes, incremental_index, idle_paths, renames,
     )
 }
 
@@ -326,6 +343,9 @@ ORACLES = {
     "orphans": "SELECT p_partkey, '/v/' || lower(p_type) || '/' || p_partkey AS path FROM part WHERE NOT starts_with(lower(p_type), 's') AND NOT starts_with(lower(p_type), 'promo')",
     "vectors_for": "WITH o AS (SELECT label AS chunk_id, 'm' || (vec_id % 3) AS model, min(vec_id) AS vec_id FROM embeddings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY CASE model WHEN 'm2' THEN 1 ELSE 2 END) AS r FROM o WHERE model IN ('m2', 'm0')) SELECT chunk_id, model, vec_id FROM r WHERE r = 1 AND chunk_id >= 2",
     "kept_models": "SELECT 'm' || (label % 4) AS model, count(*)::BIGINT AS n FROM embeddings WHERE label % 4 IN (2, 3) GROUP BY 1",
+    "character_windows": "WITH w AS (SELECT doc_id, text, unnest(range(1, greatest(length(text), 1) + 1, 900)) AS i FROM documents) SELECT doc_id, count(*)::BIGINT AS n, sha256(string_agg(substr(text, i, 1000), '|' ORDER BY i)) AS digest FROM w WHERE length(text) > 0 GROUP BY 1",
+    "scored": "SELECT doc_id, round(1 / (1 + exp(-(length(text) % 7 - 3.0::DOUBLE))), 6) AS rerank_score FROM documents",
+    "same_hashes": f"WITH {DISK_SQL} SELECT path, upper(s.hash) = upper(k.hash) AS same FROM stored s JOIN disk k USING (path)",
     "idle_paths": f"SELECT 'u' || user_id AS path, 'Modified' AS change, count(*)::BIGINT AS n FROM events GROUP BY 1 HAVING TIMESTAMP '{NOW}' - max(ts) >= INTERVAL 1 HOUR",
     "renames": "WITH e AS (SELECT ts, 'u' || ((user_id * 7 + event_id) % 900) AS path, max('u' || user_id) AS old_path FROM events GROUP BY 1, 2), c AS (SELECT path, arg_max(old_path, ts) AS old_path, max(ts) AS ts FROM e GROUP BY 1), w AS (SELECT old_path AS path, max(ts) AS l FROM e GROUP BY 1) SELECT path, c.old_path AS old_path FROM c LEFT JOIN w USING (path) WHERE l IS NULL OR l < ts",
 }
