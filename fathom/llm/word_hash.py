@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a task remembers, at most so many.
-CACHE = 500_000
+CACHE = 250_000
 _ODD, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MASK = (1 << 64) - 1
 
