@@ -13,7 +13,8 @@ texts which toxic texts have at least RATIO times as often as ordinary ones, for
 class. The toxic dictionary goes on with the ordinary one's content, so that ordinary words compress alike under both. Both are
 used as content, without the trainer's entropy tables, which make short words cheap without a match. Matches are of
 parts of words too: words that no training text had count where they are made like toxic ones. For the calibration each
-half of the sample is measured with the dictionaries of the other half.
+half of the sample is measured with the dictionaries of the other half; the size of the toxic dictionary is the one of
+SIZES with which these lengths tell the labels best, since what a larger one holds besides is less and less characteristic.
 
 Null or empty texts have no windows and the score of that; without labels of both classes every score is the prior; where
 the trainer has too few windows, they are the dictionary as they are. Repeated rows get a score each; of repeated labels of a
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fathom.llm.batches import map_rows
 from fathom.llm.storage import save, scratch
 
-SAMPLE, TOXIC_BYTES, ORDINARY_BYTES = 20_000, 4_096, 131_072
+SAMPLE, SIZES, ORDINARY_BYTES = 20_000, (512, 1_024, 2_048, 4_096), 131_072
 #: Words, and windows with their repeats, that a dictionary is trained on, at most so many.
 TRAINED_WORDS, TRAINED_WINDOWS = 100_000, 400_000
 RATIO, SAVED = 50, 5
@@ -103,7 +104,7 @@ def features(counts, n):
 
 
 def logistic(x, y, ridge: float = 1.0, steps: int = 40):
-    """Weights of a ridge logistic regression by Newton steps."""
+    """Weights of a ridge logistic regression by Newton steps, and the log-likelihood."""
     w, keep = np.zeros(x.shape[1]), ridge * np.diag([1e-6] + [1.0] * (x.shape[1] - 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -112,7 +113,8 @@ def logistic(x, y, ridge: float = 1.0, steps: int = 40):
         w = w + move
         if np.abs(move).max() < 1e-8:
             break
-    return w
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return w, float(np.sum(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -133,12 +135,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not n_toxic or not n_ordinary:
         return model
     counts = save(word_counts(rows), "toxic-words")
-    model |= dictionaries(counts, sizes, (0, 1))
     # each half is measured with the dictionaries of the other, so that the calibration sees windows as new texts have them
-    measured = [r for h in (0, 1) for r in measure(rows.filter(F.col("half") == h).drop("half"), dictionaries(counts, sizes, (1 - h,))).collect()]
-    y = np.array([float(r["toxic"] == 1) for r in measured])
-    weights = logistic(features([r["counts"] for r in measured], [r["n"] for r in measured]), y)
-    return model | {"weights": [float(x) for x in weights]}
+    halves = {h: dictionaries(counts, sizes, (1 - h,)) for h in (0, 1)}
+    best = None
+    for size in SIZES:
+        measured = [r for h in (0, 1) for r in measure(rows.filter(F.col("half") == h).drop("half"), {"toxic": halves[h]["toxic"][size], "ordinary": halves[h]["ordinary"]}).collect()]
+        y = np.array([float(r["toxic"] == 1) for r in measured])
+        weights, likelihood = logistic(features([r["counts"] for r in measured], [r["n"] for r in measured]), y)
+        if best is None or likelihood > best[0]:
+            best = likelihood, size, [float(x) for x in weights]
+    both = dictionaries(counts, sizes, (0, 1))
+    return model | {"toxic": both["toxic"][best[1]], "ordinary": both["ordinary"], "weights": best[2]}
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -162,14 +169,15 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def dictionaries(counts: DataFrame, sizes: dict, halves: tuple[int, ...]) -> dict:
-    """Both dictionaries, trained on the windows of the texts of these halves."""
+    """The toxic dictionary by size, and the ordinary one, trained on the windows of the texts of these halves."""
     total = lambda kind: sum((F.col(f"{kind}{h}") for h in halves), F.lit(0))
     n_toxic, n_ordinary = (sum(sizes.get((h, kind), 0) for h in halves) for kind in (True, False))
     counts = counts.select("word", total("t").alias("toxic"), total("o").alias("ordinary"))
     # the sample is bounded, and so are these
     top = lambda kind, holds: [(r["word"], r[kind]) for r in counts.filter(holds & (F.col(kind) > 0)).orderBy(F.desc(kind), "word").select("word", kind).limit(TRAINED_WORDS).collect()]
     often = (F.col("toxic") + 0.5) / (n_toxic + 1) >= RATIO * (F.col("ordinary") + 0.5) / (n_ordinary + 1)
-    return {"toxic": trained(top("toxic", often), TOXIC_BYTES), "ordinary": trained(top("ordinary", F.lit(True)), ORDINARY_BYTES)}
+    windows = top("toxic", often)
+    return {"toxic": {size: trained(windows, size) for size in SIZES}, "ordinary": trained(top("ordinary", F.lit(True)), ORDINARY_BYTES)}
 
 
 _windows: dict[str, Windows] = {}
