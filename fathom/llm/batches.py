@@ -13,16 +13,16 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 ROWS = 512
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict | list]], schema: str) -> DataFrame:
-    """Each task calls make() once; what it returns maps columns {name: list} of up to ROWS rows to columns of `schema`."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict | list]], schema: str, rows: int = ROWS) -> DataFrame:
+    """Each task calls make() once; what it returns maps columns {name: list} of up to `rows` rows to columns of `schema`."""
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, arrow = make(), to_arrow_schema(kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 made = step({n: part.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
