@@ -6,11 +6,12 @@ backwards, with its first. Every common block of that many words is a union of l
 runs that reach ANCHOR_WORDS words in the same way: single lines of that length, or several shorter ones. The holders of
 an anchor are in the order of (doc_id, hash of text).
 
-Every document is paired with each of the first PARTNERS holders of each of its anchors that come before it: a rare anchor,
-with at most PARTNERS + 1 holders, pairs all of them, and a frequent one makes no more than PARTNERS pairs a holder.
-Frequent lines lose nothing that stands line after line: a least block goes from every holder but the first, whatever
-order or number of lines the two have. What needs the alignment of a pair are blocks whose lines the earlier document has in
-order but with others in between.
+A rare anchor, with at most RARE holders, pairs all of them. A frequent one pairs nobody by itself; what its holders share is found
+exactly in two ways. A least block that stands line after line in any earlier document goes by its hash. Any other aligned
+block is made of least blocks whose lines the earlier document has in order with others in between. Of the documents that hold
+such a least block line after line only the first can have kept it, and only if each of its lines stands in an earlier document:
+that one document is paired with every earlier one that holds the block's two least frequent lines in that order. So
+alignments of all pairs would delete the same lines, however many documents hold a line.
 
 Each pair is aligned: lines that are unique in both and common are matched along their longest increasing sequence, and
 the gaps between them in turn; equal lines next to a match extend it. A gap without such lines, as where a passage stands
@@ -35,11 +36,13 @@ from fathom.llm.batches import map_rows
 from fathom.llm.storage import by_ids, save, scratch, with_marks
 from fathom.llm.word_hash import signed_hash
 
-ANCHOR_WORDS, BLOCK_WORDS, PARTNERS = 4, 10, 4
+ANCHOR_WORDS, BLOCK_WORDS, RARE = 4, 10, 5
 #: Bits of a table of lcs(): a larger one is halved, or not kept.
 ROOM = 1 << 28
 #: doc_id for order and joins: null is the least.
 LEAST = -(1 << 63)
+#: (od, oth) comes before (d, th).
+LATER = "od < d OR (od = d AND oth < th)"
 
 
 def key(doc_id: str = "doc_id") -> Column:
@@ -69,11 +72,11 @@ def least_blocks(hashes: list[int], sizes: list[int], least: int) -> list[tuple[
 
 
 def lines(docs: DataFrame, anchor_words: int, block_words: int) -> DataFrame:
-    """(d, th, hashes, sizes, least, runs): one hash and the number of words for each line of a text, its least blocks, and its other anchors."""
+    """(d, th, hashes, sizes, least, runs, own): one hash and the number of words for each line of a text, its least blocks, its other anchors, and its distinct lines with words."""
 
     def make():
         def step(cols):
-            hashes, sizes, least, runs = [], [], [], []
+            hashes, sizes, least, runs, own = [], [], [], [], []
             for text in cols["text"]:
                 split = [x.split() for x in (text or "").encode().split(b"\n")]
                 hashes.append([signed_hash(b" ".join(x)) for x in split])
@@ -81,11 +84,13 @@ def lines(docs: DataFrame, anchor_words: int, block_words: int) -> DataFrame:
                 found = least_blocks(hashes[-1], sizes[-1], block_words)
                 least.append([dict(zip(("line", "first", "last"), x, strict=True)) for x in found])
                 runs.append(list({x[0] for x in least_blocks(hashes[-1], sizes[-1], anchor_words)}.difference(x[0] for x in found)))
-            return {"d": cols["d"], "th": cols["th"], "hashes": hashes, "sizes": sizes, "least": least, "runs": runs}
+                at = by_line(hashes[-1])
+                own.append([{"line": h, "first": i[0], "last": i[-1]} for h, i in at.items() if sizes[-1][i[0]]])
+            return {"d": cols["d"], "th": cols["th"], "hashes": hashes, "sizes": sizes, "least": least, "runs": runs, "own": own}
 
         return step
 
-    return map_rows(docs, make, "d long, th long, hashes array<long>, sizes array<int>, least array<struct<line: long, first: int, last: int>>, runs array<long>")
+    return map_rows(docs, make, "d long, th long, hashes array<long>, sizes array<int>, least array<struct<line: long, first: int, last: int>>, runs array<long>, own array<struct<line: long, first: int, last: int>>")
 
 
 def patience(a: list[int], b: list[int]) -> list[int]:
@@ -222,24 +227,54 @@ def blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> list[int
 
 
 def shared(table: DataFrame) -> DataFrame:
-    """(line, d, th, first, last): the anchors of `table` that have two holders or more, with their places if they are least blocks."""
+    """(line, d, th, first, last, od, oth, n): the anchors of `table` that have two holders or more, with their places if they are least blocks, the first holder, and the number of rows."""
     none = F.lit(None).cast("int")
     single = F.transform("runs", lambda x: F.struct(x.alias("line"), none.alias("first"), none.alias("last")))
     anchors = save(table.select("d", "th", F.explode(F.concat("least", single)).alias("x")).select("d", "th", "x.*"), "anchors")
     holder = F.struct("d", "th")
-    lines = save(anchors.groupBy("line").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).filter("a <> b").select("line"), "shared-lines")
+    lines = anchors.groupBy("line").agg(F.min(holder).alias("a"), F.max(holder).alias("b"), F.count("*").alias("n"))
+    lines = save(lines.filter("a <> b").select("line", F.col("a.d").alias("od"), F.col("a.th").alias("oth"), "n"), "shared-lines")
     # both sides are written tables: a line of very many documents is split by Spark
     return save(anchors.join(lines, "line"), "shared")
 
 
-def first_holders(met: DataFrame, partners: int) -> DataFrame:
-    """(line, place, od, oth): the first holders of each anchor, at most `partners`; Spark cuts each task's rows before it shuffles them."""
-    order = Window.partitionBy("line").orderBy("d", "th")
-    ranked = met.select("line", "d", "th", F.dense_rank().over(order).alias("place")).filter(F.col("place") <= partners)
-    return ranked.distinct().select("line", "place", F.col("d").alias("od"), F.col("th").alias("oth"))
+def broken_pairs(table: DataFrame, met: DataFrame) -> DataFrame:
+    """(d, th, od, oth): the first holder of a least block, and an earlier document that may have its lines in order with others in between."""
+    held = table.select("d", "th", F.explode("own").alias("x")).select("d", "th", "x.*")
+    stats = held.groupBy("line").agg(F.min(F.struct("d", "th")).alias("a"), F.count("*").alias("n")).filter("n > 1")
+    stats = save(stats.select("line", F.col("a.d").alias("od"), F.col("a.th").alias("oth"), "n"), "line-holders")
+    before = held.select("d", "th", "line").join(stats, "line").filter(LATER)
+    before = save(before.groupBy("d", "th").agg(F.collect_list(F.struct("line", "n")).alias("before")), "lines-before")
+
+    def make():
+        def step(cols):
+            out = {k: [] for k in ("d", "th", "block", "key", "other", "key_first")}
+            for d, th, hashes, sizes, least, before in zip(*(cols[k] for k in ("d", "th", "hashes", "sizes", "least", "before")), strict=True):
+                n = {x["line"]: x["n"] for x in before}
+                for x in least:
+                    lines = [hashes[i] for i in range(x["first"], x["last"] + 1) if sizes[i]]
+                    if len(lines) > 1 and all(h in n for h in lines):
+                        i, j = sorted(range(len(lines)), key=lambda i: (n[lines[i]], i))[:2]
+                        for k, v in zip(out, (d, th, x["line"], lines[i], lines[j], i < j), strict=True):
+                            out[k].append(v)
+            return out
+
+        return step
+
+    asked = map_rows(table.select("d", "th", "hashes", "sizes", "least").join(before, ["d", "th"]), make, "d long, th long, block long, key long, other long, key_first boolean")
+    first = met.filter("first is not null and d = od and th = oth").select(F.col("line").alias("block"), "od", "oth").distinct()
+    known = met.filter("first is not null").select(F.col("line").alias("block")).distinct()
+    asked = save(asked, "asked")
+    own = asked.join(known, "block", "left_anti").unionByName(asked.join(first.withColumnsRenamed({"od": "d", "oth": "th"}), ["block", "d", "th"]).select(*asked.columns))
+    own = save(own.select("d", "th", "key", "other", "key_first").distinct(), "asked-first")
+    one = held.select(F.col("line").alias("key"), F.col("d").alias("od"), F.col("th").alias("oth"), F.col("first").alias("key_from"), F.col("last").alias("key_to"))
+    two = held.select(F.col("line").alias("other"), F.col("d").alias("od"), F.col("th").alias("oth"), F.col("first").alias("other_from"), F.col("last").alias("other_to"))
+    some = own.join(one, "key").filter(LATER)
+    in_order = F.when(F.col("key_first"), F.col("key_from") < F.col("other_to")).otherwise(F.col("other_from") < F.col("key_to"))
+    return some.join(two, ["other", "od", "oth"]).filter(in_order).select("d", "th", "od", "oth").distinct()
 
 
-def removals(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, partners: int = PARTNERS) -> DataFrame:
+def removals(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """For rows (doc_id, text): (d, th, n_lines, gone) with the places of the lines that go, for all distinct (doc_id, text)."""
     rows = docs.select(key().alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     table = save(lines(rows, anchor_words, block_words).dropDuplicates(["d", "th"]), "lines")
@@ -249,10 +284,10 @@ def removals(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int
     whole = copies.filter(F.col("words") >= block_words).select("d", "th", F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
     ones = save(by_ids(table, copies, ["d", "th"], "left_anti"), "ones")
     met = shared(ones)
-    holders = save(first_holders(met, partners), "holders")
-    later = (F.col("od") < F.col("d")) | ((F.col("od") == F.col("d")) & (F.col("oth") < F.col("th")))
-    pairs = met.select("line", "d", "th").join(holders.drop("place"), "line").filter(later).select("d", "th", "od", "oth").distinct()
-    with_own = save(pairs, "pairs").join(ones.drop("least", "runs"), ["d", "th"])
+    few = met.filter(F.col("n") <= rare).select("line", "d", "th")
+    close = few.join(few.withColumnsRenamed({"d": "od", "th": "oth"}), "line").filter(LATER).select("d", "th", "od", "oth")
+    pairs = close.unionByName(broken_pairs(ones, met)).distinct()
+    with_own = save(pairs, "pairs").join(ones.drop("least", "runs", "own"), ["d", "th"])
     owner = ones.select(F.col("d").alias("od"), F.col("th").alias("oth"), F.col("hashes").alias("owned"))
 
     def make():
@@ -263,7 +298,7 @@ def removals(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int
         return step
 
     aligned = map_rows(with_own.join(owner, ["od", "oth"]).select("d", "th", "hashes", "sizes", "owned"), make, "d long, th long, gone array<int>").filter("size(gone) > 0")
-    direct = met.filter("first is not null").join(holders.filter("place = 1"), "line").filter(later).select("d", "th", F.explode(F.sequence("first", "last")).alias("place"))
+    direct = met.filter("first is not null").filter(LATER).select("d", "th", F.explode(F.sequence("first", "last")).alias("place"))
     each = aligned.select("d", "th", F.explode("gone").alias("place")).unionByName(direct).distinct()
     gone = each.groupBy("d", "th").agg(F.sort_array(F.collect_list("place")).alias("gone")).unionByName(whole)
     return table.select("d", "th", F.size("hashes").alias("n_lines")).join(save(gone, "gone"), ["d", "th"], "left")

@@ -293,25 +293,35 @@ def test_five_documents_whose_lines_have_other_owners(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_line_removals_equal_those_of_all_pairs(spark, seed):
-    # lines are rare, of four words or more; blocks stand with and without other lines between theirs
+    # blocks stand with and without other lines between theirs, in few documents and in many
     rng, serial = random.Random(seed), iter(range(10**6))
     fresh = lambda: " ".join(f"u{next(serial)}" for _ in range(rng.randint(4, 7)))
     pool = [[fresh() for _ in range(rng.randint(2, 5))] for _ in range(12)]
-    texts, used = [], [0] * len(pool)
-    for i in range(40):
+    short = [f"s{k} t{k} v{k}" for k in range(9)]
+    texts = []
+    for i in range(60):
         lines = [fresh() for _ in range(rng.randint(0, 3))]
         for _ in range(rng.randint(0, 3)):
             k = rng.randrange(len(pool))
-            if used[k] <= line_dedup.PARTNERS:
-                used[k] += 1
-                for x in pool[k]:
-                    lines += [x, *([fresh()] if rng.random() < 0.25 else []), *([""] if rng.random() < 0.2 else [])]
+            for x in pool[k]:
+                lines += [x, *([fresh()] if rng.random() < 0.25 else []), *([""] if rng.random() < 0.2 else [])]
+        if rng.random() < 0.5:
+            lines += [rng.choice(short) for _ in range(rng.randint(1, 9))]
         texts.append((i, "\n".join(lines)))
     sizes = {i: [len(x.split()) for x in t.split("\n")] for i, t in texts}
     got = {i: {p for p in gone if sizes[i][p]} for i, gone in places_gone(spark, texts).items()}
     assert got == brute.line_removals(texts, 10, line_dedup.blocks) and sum(map(len, got.values())) > 20
 
 
+@pytest.mark.parametrize("holders", [1, 3, 6, 40])
+def test_a_block_that_was_broken_before_goes_however_many_hold_its_lines(spark, holders):
+    a, b = "first line of six words here", "second line of five words"
+    texts = [(i, f"own{i} x\n{a}\nown{i} y") for i in range(holders)] + [(100 + i, f"own{i} z\n{b}") for i in range(holders)]
+    texts += [(200, f"{a}\nmid\n{b}"), (300, f"{a}\n{b}\ntail"), (301, f"{b}\n{a}\ntail")]
+    gone = places_gone(spark, texts)
+    assert gone[300] == {0, 1} and not any(gone[i] for i in gone if i != 300)
+
+
 def test_blocks_of_short_lines(spark):
     verse = [f"verse{k}" for k in range(60)]
     pairs = [f"one{k} two{k}" for k in range(5)]
