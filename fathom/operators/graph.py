@@ -67,13 +67,18 @@ def resolve(links: DataFrame, files: DataFrame, path_col: str = "path") -> DataF
     return found.withColumn("node", F.when(F.col("type") != "tag", F.coalesce("exact", "by_name"))).drop("_path", "_name", "exact", "name", "by_name")
 
 
-def build(files: DataFrame, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """nodes (id, title, type) and edges (from_id, to_id, type, line_number) of all files."""
+def parse(files: DataFrame, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the files' texts say, each by itself: titles (id, title), headings (id, title, line), links (id, target, type, line)."""
     docs = files.select(X.node_id(F.col(path_col)).alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
-    document = docs.select("id", X.extract_title(F.col("text"), F.col("path")).alias("title"), F.lit("document").alias("type"))
-    heads = headings(docs, "id", "text")
+    titles = docs.select("id", X.extract_title(F.col("text"), F.col("path")).alias("title"))
+    return titles, headings(docs, "id", "text").select("id", "title", "line"), extract_links(docs, "id", "text").select("id", "target", "type", "line")
+
+
+def assemble(titles: DataFrame, heads: DataFrame, links: DataFrame, files: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
+    """nodes (id, title, type) and edges (from_id, to_id, type, line_number) of what was parsed, with links resolved among files."""
+    document = titles.select("id", "title", F.lit("document").alias("type"))
     heading = heads.select(F.concat("id", F.lit("#"), "title").alias("id"), "title", F.lit("heading").alias("type"))
-    links = resolve(extract_links(docs, "id", "text"), files, path_col)
+    links = resolve(links, files, path_col)
     to = F.when(F.col("type") == "tag", F.concat(F.lit("#"), "target")).otherwise(F.coalesce("node", X.node_id(F.col("target"))))
     links = links.select("id", to.alias("to_id"), "type", "line", "target", F.col("node").isNotNull().alias("known"))
     tag = links.filter("type = 'tag'").select(F.col("to_id").alias("id"), F.col("target").alias("title"), F.lit("tag").alias("type"))
@@ -84,6 +89,11 @@ def build(files: DataFrame, path_col: str = "path", text_col: str = "text") -> t
     return nodes, edges.unionByName(contains)
 
 
+def build(files: DataFrame, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """nodes (id, title, type) and edges (from_id, to_id, type, line_number) of all files."""
+    return assemble(*parse(files, path_col, text_col), files, path_col)
+
+
 def adjacency(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
     """(node, other) in both directions; two equi-joinable halves instead of an OR."""
     kept = edges.filter(F.col("type").isin(*types)) if types else edges

@@ -7,13 +7,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fathom.sources.tables import if_small
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """existing with the rows of new in place of those of equal keys; of new rows with equal keys the last by `order` stays."""
+def newest(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row of each key: the last by `order`. Without an order, a key with two rows or more is an error."""
+    held = rows.select(F.struct("*").alias("row"), F.struct(*keys).alias("key"))
     if order is not None:
-        last = Window.partitionBy(*keys).orderBy(F.desc(order))
-        new = new.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
-    else:
-        new = new.dropDuplicates(keys)
+        last = Window.partitionBy("key").orderBy(F.desc(F.col("row")[order]))
+        return held.withColumn("place", F.row_number().over(last)).filter("place = 1").select("row.*")
+    counted = held.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    refused = F.raise_error(F.lit("a key has several new rows, and no order says which is the last"))
+    return counted.filter(F.when(F.col("n") > 1, refused.cast("boolean")).otherwise(True)).select("row.*")
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """existing with the rows of new in place of those of equal keys; of new rows with equal keys the last by `order` stays, without one they are refused."""
+    new = newest(new, keys, order)
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*existing.columns))
 
 

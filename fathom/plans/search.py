@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,12 +16,16 @@ MODES = {"Quick": (3, 0, 1000), "Standard": (10, 1, 3000), "Hybrid": (15, 1, 400
 
 @dataclass
 class Index:
-    """chunks (chunk_id, file_id, path, source, chunk_index, heading, content), vectors (chunk_id, embedding), and the link graph."""
+    """chunks (chunk_id, file_id, path, source, chunk_index, heading, content), vectors (chunk_id, embedding), and the link graph.
+
+    keywords: (query, k) to (id, score, rank), where a stored index answers; else the chunks are scanned.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
+    keywords: Callable[[str, int], DataFrame] | None = None
 
 
 @dataclass
@@ -69,7 +74,7 @@ def hybrid_search(index: Index, request: Request) -> DataFrame:
     """(id, score, bm25, emb, ..): both lists at twice the size, fused, cut, then filtered."""
     k = request.top_k * (request.recall_factor if request.rerank else 1)
     expanded = index.chunks.sparkSession.range(1).select(X.expand_query(F.lit(request.query))).first()[0]
-    left = bm25.search(index.chunks, "chunk_id", "content", expanded, 2 * k)
+    left = index.keywords(expanded, 2 * k) if index.keywords else bm25.search(index.chunks, "chunk_id", "content", expanded, 2 * k)
     right = knn.knn(index.vectors, query_vector(index, request), 2 * k, "chunk_id")
     fuse = fusion.rrf if request.fusion == "rrf" else fusion.weighted
     top = fusion.top(fuse(left, right), k, "id")
@@ -156,5 +161,5 @@ def update_index(index: Index, stored: DataFrame, files: DataFrame, enabled: lis
     vectors = index.vectors.join(dropped, "chunk_id", "left_anti").unionByName(fresh.vectors)
     after = stored.join(gone, "file_id", "left_anti").unionByName(changed.select(*stored.columns))
     # links may lead to any file: the graph is resolved anew from all texts, which is one pass without embedding
-    nodes, edges = graph.build(files, "path", "text")
+    nodes, edges = graph.build(mine(files), "path", "text")
     return Index(chunks, vectors, nodes, edges), after

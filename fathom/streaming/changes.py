@@ -57,26 +57,34 @@ def without_renamed(changes: DataFrame, events: DataFrame) -> DataFrame:
     return changes.join(went, "path", "left").filter("left_at is null or left_at < ts").drop("left_at")
 
 
-def apply_changes(stream: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 64):
+def apply_changes(stream: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 64, order: str | None = None):
     """Starts a query that keeps the newest row of each key in Parquet under `path`; it ends when the input is read.
 
+    Newest is the row with the greatest `order`, among those of a batch as against what is held, whatever order they come in; a
+    row that ties with the one held takes its place. Without an order the last batch counts, and a batch with two rows of
+    a key is an error. Columns may have any names.
+
     Rows are dealt to buckets by a hash of their key. A batch writes only the buckets that it touches, each as a version of
     its own, and then a small table that names the version of every bucket; so a batch that is tried again changes nothing
     that is read.
     """
-    from fathom.operators.sync import upsert
+    from pyspark.sql import Window
+
+    from fathom.operators.sync import newest
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        place = lambda rows: F.pmod(F.xxhash64(*(rows[k] for k in keys)), F.lit(buckets)).cast("int")
+        held = lambda rows, age: rows.select(F.struct("*").alias("row"), F.struct(*keys).alias("key"), place(rows).alias("bucket"), F.lit(age).alias("age"))
+        rows = held(newest(batch, keys, order), 1)
         touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
         before = versions(spark, path, epoch - 1)
-        held = [f"{path}/data/bucket={b}/v={before[b]}" for b in touched if b in before]
-        if held:
-            old = spark.read.parquet(*held)
-            rows = upsert(old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), rows, keys)
-        for_all = rows.withColumn("v", F.lit(epoch))
-        for_all.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(f"{path}/data")
+        old = [f"{path}/data/bucket={b}/v={before[b]}" for b in touched if b in before]
+        if old:
+            rows = rows.unionByName(held(spark.read.parquet(*old).select("row.*"), 0))
+        last = Window.partitionBy("key").orderBy(*([F.desc(F.col("row")[order])] if order else []), F.desc("age"))
+        rows = rows.withColumn("place", F.row_number().over(last)).filter("place = 1").select("row", "bucket", F.lit(epoch).alias("v"))
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(f"{path}/data")
         after = [(b, v) for b, v in (before | dict.fromkeys(touched, epoch)).items()]
         spark.createDataFrame(after, "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{epoch}")
 
@@ -92,4 +100,4 @@ def versions(spark, path: str, epoch: int) -> dict[int, int]:
 
 def current(spark, path: str, epoch: int) -> DataFrame:
     """The rows that apply_changes holds after a batch."""
-    return spark.read.parquet(*(f"{path}/data/bucket={b}/v={v}" for b, v in sorted(versions(spark, path, epoch).items())))
+    return spark.read.parquet(*(f"{path}/data/bucket={b}/v={v}" for b, v in sorted(versions(spark, path, epoch).items()))).select("row.*")
