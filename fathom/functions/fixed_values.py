@@ -86,3 +86,7 @@ SUGGESTIONS = {
     "none": "未找到相关内容，请尝试不同的关键词或检查索引是否完整。",
     "few": "结果较少，可以尝试扩展查询词或使用 Deep 模式。",
 }
+
+# fixed values: what stands around the context and the question of a prompt, word for word; for plain and for hierarchical search
+PROMPT = "基于以下知识库内容回答问题：\n\n{context}\n\n问题：{query}\n\n请根据上述内容提供准确、详细的回答，并在回答中引用来源。"
+HIERARCHICAL_PROMPT = "基于以下上下文回答问题：\n\n{context}\n\n问题：{query}\n\n请基于上下文内容回答，如果上下文中没有相关信息，请明确说明。"

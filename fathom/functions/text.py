@@ -243,11 +243,20 @@ def parse_link(link: Column) -> Column:
     )
 
 
+def characters(text: Column) -> Column:
+    """The characters of a text, split once; places in the array are found at once, those in the text by counting from its start."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
 def bigrams(text: Column) -> Column:
     """Sorted character pairs, with repeats, of the text without white space."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))
-    return F.when(F.length(bare) < 2, F.array().cast("array<string>")).otherwise(F.sort_array(pairs))
+
+    def pairs(c: Column) -> Column:
+        return F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: F.concat(x, y))
+
+    # an array of one makes a name for the characters
+    return F.when(F.length(bare) < 2, F.array().cast("array<string>")).otherwise(F.sort_array(F.get(F.transform(F.array(characters(bare)), pairs), F.lit(0))))
 
 
 def multiset_jaccard(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fathom.functions import vectors as V
+from fathom.functions import text as X, vectors as V
 
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 SENTENCE = re.compile(r'[^。！？.!?]*[。！？.!?]["」]?|[^。！？.!?]+$')
@@ -129,7 +129,9 @@ def chunk_markdown(docs: DataFrame, id_col: str, text_col: str, most: int = 512,
 def character_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` characters, each `overlap` into the one before."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size - overlap))
-    return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    cut = lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, F.lit(size)), ""))
+    # an array of one makes a name for the characters
+    return F.when(F.length(text) > 0, F.get(F.transform(F.array(X.characters(text)), cut), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def adjacent(chunks: DataFrame, hits: DataFrame, window: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathom.functions import text as X
-from fathom.functions.fixed_values import SUGGESTIONS
+from fathom.functions.fixed_values import PROMPT, SUGGESTIONS
 from fathom.operators import fusion
 
 
@@ -20,8 +20,21 @@ def build_context(results: DataFrame, budget: int = 3000) -> DataFrame:
     return kept.agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n---\n\n").alias("context"), F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
 
 
-def prompt(context: DataFrame, query: str) -> DataFrame:
-    return context.select(F.concat(F.lit("Answer the question from the context below.\n\n"), "context", F.lit("\n\nQuestion: "), F.lit(query)).alias("prompt"))
+def prompt(context: DataFrame, query: str, template: str = PROMPT) -> DataFrame:
+    """One row (prompt): the fixed text around the context and the question."""
+    before, after = template.split("{context}")
+    return context.select(F.concat(F.lit(before), "context", F.lit(after.replace("{query}", query))).alias("prompt"))
+
+
+def projected(results: DataFrame) -> DataFrame:
+    """A result list as it is handed out: scores of a leg that are not over 0 are null, and each hit has the link to its lines.
+
+    results: path, start_line, end_line, and any of bm25, emb and further columns, which stay.
+    """
+    over = {c: F.when(F.col(c) > 0, F.col(c)) for c in ("bm25", "emb") if c in results.columns}
+    # the link names both lines, also where they are one
+    link = F.concat(F.lit("[["), X.file_stem(F.col("path")), F.lit("#L"), F.col("start_line").cast("string"), F.lit("-L"), F.col("end_line").cast("string"), F.lit("]]"))
+    return results.withColumns(over | {"link": link})
 
 
 def references(results: DataFrame, chars: int = 50) -> DataFrame:

@@ -11,19 +11,32 @@ EMBED = r"!" + WIKI
 TAG = r"(?:^|\s)#([\p{L}\p{N}_/-]+)"
 
 
+#: A line that opens or closes a code block, with what ends the line before it.
+FENCE = r"(?:^|\n)( *```[^\n]*)"
+
+
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, text, fenced): numbered from 1; fenced lines stand in a code block or open or close one. Fences are counted inside the row."""
-    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    fence = lambda x: F.ltrim(x).startswith("```")
-    fences = F.filter(F.transform(split, lambda x, i: F.when(fence(x), i)), lambda p: p.isNotNull())
-
-    def marked(at: Column) -> Column:
-        inside = lambda i: F.size(F.filter(at, lambda p: p <= i)) % 2 == 1
-        return F.transform(split, lambda x, i: F.struct(x.alias("text"), (fence(x) | inside(i)).alias("fenced")))
-
-    # an array of one makes a name for the places of the fences
-    found = F.get(F.transform(F.array(fences), marked), F.lit(0))
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("line", "x"))
+    """(id, line, text, fenced): numbered from 1; fenced lines stand in a code block or open or close one.
+
+    A text is cut at its fences, so that every second part is code; the work is linear in the text, and nothing is shuffled.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def numbered(x: Column) -> Column:
+        parts, fences = x["parts"], x["fences"]
+
+        def of_part(p: Column, k: Column) -> Column:
+            # the first part begins with a line unless the text begins with a fence; the others with the end of their fence's line
+            here = F.when(k == 0, F.when(x["opens"], F.array().cast("array<string>")).otherwise(F.split(p, "\n", -1)))
+            here = here.otherwise(F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(p, r"^\n", ""), "\n", -1)))
+            own = F.transform(here, lambda t: F.struct(t.alias("text"), (k % 2 == 1).alias("fenced")))
+            return F.concat(own, F.when(k < F.size(fences), F.array(F.struct(F.get(fences, k).alias("text"), F.lit(True).alias("fenced")))).otherwise(F.array().cast("array<struct<text: string, fenced: boolean>>")))
+
+        return F.flatten(F.transform(parts, of_part))
+
+    # an array of one makes a name for the parts
+    named = F.array(F.struct(F.split(text, FENCE, -1).alias("parts"), F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)).alias("fences"), text.rlike(r"^ *```").alias("opens")))
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.get(F.transform(named, numbered), F.lit(0))).alias("line", "x"))
     return rows.select("id", (F.col("line") + 1).alias("line"), "x.text", "x.fenced")
 
 

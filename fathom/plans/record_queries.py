@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions import hashing, text as X, vectors as V
+from fathom.functions.fixed_values import FTS_STOP_WORDS, PROMPT
 from fathom.operators import bm25, chunking, context, evaluation, fusion, knn, models, records, stats, sync
 from fathom.plans import search
 from fathom.plans.search_queries import K, L2_SQL, PROBE_SQL, QUERY, classic_scores, docs, probe, rounded, tokens_sql
 from fathom.plans.table_queries import DISK_SQL, JUDGED_SQL, judged, stored_and_disk
-from fathom.functions.fixed_values import FTS_STOP_WORDS
 from fathom.sources.tables import table
 from fathom.streaming import changes
 
@@ -307,6 +307,10 @@ POSITION_SQL = f"WITH {PROBE_SQL}, r AS (SELECT vec_id AS id, row_number() OVER
 LIST_SQL = f"WITH {classic_scores()}, k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores ORDER BY score DESC, id LIMIT 12), rl AS (SELECT rank, 'a/' || source || '.md' AS path, source, lang AS heading, text AS content, len(string_split(text, chr(10))) AS e FROM k JOIN documents ON doc_id = id), ln AS (SELECT *, '[[a/' || source || '#L1' || CASE WHEN e > 1 THEN '-L' || e ELSE '' END || ']]' AS link, CASE WHEN length(content) > 50 THEN left(content, 50) || '...' ELSE content END AS preview FROM rl)"
 
 ORACLES = {
+    "prompts": f"""{LIST_SQL}, tk AS (SELECT *, floor((length(content) - length(regexp_replace(content, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g'))) / 1.5 + floor(length(regexp_replace(content, '[\\x{{4e01}}-\\x{{9ffe}}]', '', 'g')) / 4))::BIGINT AS tokens FROM rl),
+cm AS (SELECT rank, concat_ws(chr(10) || chr(10), '### t', CASE WHEN coalesce(heading, '') <> '' THEN '**' || heading || '**' END, content, '[[' || path || ']]') AS block, sum(tokens) OVER (ORDER BY rank) AS used FROM tk),
+cx AS (SELECT coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') AS c FROM cm WHERE used <= 3000)
+SELECT sha256('{PROMPT.split("{context}")[0]}' || c || '{PROMPT.split("{context}")[1].replace("{query}", QUERY)}') AS digest FROM cx""",
     "record_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50",
     "newest_records": "SELECT event_id, event_type FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id LIMIT 15",
     "file_list": "SELECT doc_id, source, lang FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 30",

@@ -89,27 +89,29 @@ def standard_search(index: Index, request: Request) -> DataFrame:
 
 
 def search(index: Index, request: Request) -> dict[str, DataFrame]:
-    """The results and the context of a request: recall, title hits first, graph neighbours, reranking or cutting."""
+    """The results, context, references and prompt of a request: recall, title hits first, graph neighbours, reranking or cutting."""
     from pyspark.sql import Window
 
     request = request.settled()
     found = standard_search(index, request) if request.mode in ("Quick", "Standard") else hybrid_search(index, request)
-    columns = ["id", "score", "file_id", "path", "chunk_index", "heading", "content"]
-    found = found.select(*columns).withColumn("place", F.lit(1))
+    columns = ["id", "score", "file_id", "path", "source", "chunk_index", "start_line", "end_line", "heading", "content", "bm25", "emb"]
+    # scores of a leg that the way here has not are null
+    whole = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns))
+    found = whole(found).withColumn("place", F.lit(1))
     if index.nodes is not None and request.prefers_titles():
         hits = graph.title_search(index.nodes, index.chunks, request.query, request.top_k).select(F.col("chunk_id").alias("id"), "score")
-        titled = hits.join(index.chunks.withColumnRenamed("chunk_id", "id"), "id").select(*columns).withColumn("place", F.lit(0))
+        titled = whole(hits.join(index.chunks.withColumnRenamed("chunk_id", "id"), "id")).withColumn("place", F.lit(0))
         found = titled.unionByName(found.join(titled.select("id"), "id", "left_anti"))
     if index.edges is not None and request.graph_depth > 0:
         more = graph.expand_results(found.select("path", "score"), index.edges, index.chunks, index.vectors, query_vector(index, request), request.graph_depth)
-        more = more.select(F.col("chunk_id").alias("id"), "score").join(index.chunks.withColumnRenamed("chunk_id", "id"), "id").select(*columns).withColumn("place", F.lit(2))
+        more = whole(more.select(F.col("chunk_id").alias("id"), "score").join(index.chunks.withColumnRenamed("chunk_id", "id"), "id")).withColumn("place", F.lit(2))
         found = found.unionByName(more.join(found.select("id"), "id", "left_anti"))
     if request.rerank:
         found = fusion.rerank(found, models.overlap_score(request.query, F.col("content")), request.top_k, request.recall_factor, request.rerank_threshold).withColumn("place", F.lit(0))
     order = [F.col("place"), F.desc("score"), F.col("id")]
     found = found.orderBy(*order).limit(request.top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("place", "recall_score")
-    titled = found.withColumn("title", X.file_stem(F.col("path")))
-    return {"results": found, "context": context.build_context(titled, request.max_tokens), "references": context.references(found)}
+    built = context.build_context(found.withColumn("title", X.file_stem(F.col("path"))), request.max_tokens)
+    return {"results": context.projected(found), "context": built, "references": context.references(found), "prompt": context.prompt(built, request.query)}
 
 
 def drill_down(index: Index, ids: DataFrame, window: int = 2) -> DataFrame:
