@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fathom.sources.tables import if_small
+
 
 def query_summary(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """One row over the last days of (ts, duration_ms, results); 0 where there is none."""
@@ -42,19 +46,52 @@ def percentile(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
+def percentiles(rows: DataFrame, group: list[str], value: str, wanted: dict[str, float], accuracy: int = 1000) -> DataFrame:
+    """(group, names of wanted): exact percentiles by nearest rank, without all values of a group in one task.
+
+    A mergeable sketch of each group bounds where a percentile lies, to 2 / accuracy of the ranks on both sides. A second pass counts
+    the values below, and the values inside one by one. If a sketch should have missed, which is seen from the counts, all of
+    the group's values are counted. Null values are left out; a group without others has nulls. Groups may be null.
+    """
+    names, ps = list(wanted), [wanted[x] for x in wanted]
+    edge = lambda d: F.array(*(F.lit(float(min(1, max(0, p + d)))) for p in ps))
+    held = rows.select(F.struct(*group).alias("g"), F.col(value).alias("v"))
+    sketch = lambda d: F.percentile_approx("v", edge(d), accuracy)
+    bounds = held.groupBy("g").agg(F.count("v").alias("n"), sketch(-2 / accuracy).alias("low"), sketch(2 / accuracy).alias("high"))
+    each = bounds.select("g", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(F.col("n") * p)).alias("rank"), F.get("low", F.lit(i)).alias("low"), F.get("high", F.lit(i)).alias("high")) for i, p in enumerate(ps)))).alias("x")).select("g", "n", "x.*")
+
+    def picked(asked: DataFrame) -> DataFrame:
+        met = held.filter("v is not null").join(if_small(asked), "g").filter("v <= high or high is null")
+        counted = met.groupBy("g", "i", "rank", F.when((F.col("v") >= F.col("low")) | F.col("low").isNull(), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+        through = counted.withColumn("through", F.sum("n").over(Window.partitionBy("g", "i").orderBy(F.asc_nulls_first("v"))))
+        return through.filter("through >= rank").groupBy("g", "i").agg(F.min(F.struct("through", "v"))["v"].alias("v"))
+
+    found = picked(each).filter("v is not null")
+    missed = each.filter("n > 0").join(found, ["g", "i"], "left_anti").withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    whole = found.unionByName(picked(missed))
+    made = bounds.select("g").join(whole, "g", "left").groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("v"))).alias(x) for i, x in enumerate(names)))
+    return made.select("g.*", *names)
+
+
 def latency_summary(runs: DataFrame, group: list[str]) -> DataFrame:
     """Counts of success and failure, and latencies of the successes, per group of (ok, ms)."""
     ms = "CASE WHEN ok THEN ms END"
-    return runs.groupBy(*group).agg(
+    counted = runs.groupBy(*group).agg(
         F.sum(F.col("ok").cast("long")).alias("n_ok"),
         F.sum((~F.col("ok")).cast("long")).alias("n_failed"),
         F.avg(F.expr(ms)).alias("avg_ms"),
         F.min(F.expr(ms)).alias("min_ms"),
         F.max(F.expr(ms)).alias("max_ms"),
-        percentile(ms, 0.5).alias("p50"),
-        percentile(ms, 0.95).alias("p95"),
-        percentile(ms, 0.99).alias("p99"),
     )
+    ranked = percentiles(runs.withColumn("_ms", F.expr(ms)), group, "_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    ranked = ranked.withColumnsRenamed({g: f"{g}_" for g in group})
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"{g}_")) for g in group))
+    return counted.join(ranked, same).drop(*(f"{g}_" for g in group))
+
+
+def first_errors(runs: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first n failed runs (ok, error, ..), as a summary names them."""
+    return runs.filter(~F.col("ok")).orderBy(*order).limit(n)
 
 
 def bounded_stats(samples: DataFrame, key: str, order: list[str], value: str, n: int = 1000) -> DataFrame:

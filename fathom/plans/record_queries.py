@@ -10,7 +10,7 @@ from fathom.operators import bm25, chunking, context, evaluation, fusion, knn, m
 from fathom.plans import search
 from fathom.plans.search_queries import K, L2_SQL, PROBE_SQL, QUERY, classic_scores, docs, probe, rounded, tokens_sql
 from fathom.plans.table_queries import DISK_SQL, JUDGED_SQL, judged, stored_and_disk
-from fathom.sources.tables import table
+from fathom.sources.tables import scratch_folder, table
 from fathom.streaming import changes
 
 NOW = "2024-01-31 00:00:00"
@@ -21,6 +21,16 @@ def record_page(spark, sf_dir):
     return records.page(rows, 3, 25, F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
+def keyset_page(spark, sf_dir):
+    """The page after the one of record_page, from where that ended, over stored rows."""
+    rows, path = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), scratch_folder(spark)
+    records.write_ordered(rows, path, ["o_orderdate", "o_orderkey"])
+    cursor = None
+    for _, cursor in zip(range(2), (c for _, c in records.scan(lambda: spark.read.parquet(path), ["o_orderdate", "o_orderkey"], 25)), strict=False):
+        pass
+    return records.keyset_page(spark.read.parquet(path), ["o_orderdate", "o_orderkey"], 25, cursor).select("o_orderkey", "o_totalprice")
+
+
 def newest_records(spark, sf_dir):
     rows = records.matching(table(spark, sf_dir, "events"), event_type=None, user_id=3)
     return records.newest(rows, "ts", 15, "event_id").select("event_id", "event_type")
@@ -296,7 +306,7 @@ def renames(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        record_page, newest_records, file_list, checked_requests, source_overview, dashboard, enabled_sources, model_overview, default_model, test_statistics, category_statistics, evaluation_report, keyword_recall, by_position,
+        record_page, keyset_page, newest_records, file_list, checked_requests, source_overview, dashboard, enabled_sources, model_overview, default_model, test_statistics, category_statistics, evaluation_report, keyword_recall, by_position,
         rerank_statistics, active_users, token_counters, throughput, health, model_health, fts_queries, folded_terms, intents, titles, truncated, chunk_weights, pooled, suggestions, chunk_links, reference_list, embed_block, prompts,
         lines_in_range, rebalanced, needs_rebalance, orphans, vectors_for, kept_models, character_windows, scored, same_hashes, incremental_index, idle_paths, renames,
     )
@@ -311,6 +321,7 @@ ORACLES = {
 cm AS (SELECT rank, concat_ws(chr(10) || chr(10), '### t', CASE WHEN coalesce(heading, '') <> '' THEN '**' || heading || '**' END, content, '[[' || path || ']]') AS block, sum(tokens) OVER (ORDER BY rank) AS used FROM tk),
 cx AS (SELECT coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') AS c FROM cm WHERE used <= 3000)
 SELECT sha256('{PROMPT.split("{context}")[0]}' || c || '{PROMPT.split("{context}")[1].replace("{query}", QUERY)}') AS digest FROM cx""",
+    "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25 OFFSET 50",
     "record_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50",
     "newest_records": "SELECT event_id, event_type FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id LIMIT 15",
     "file_list": "SELECT doc_id, source, lang FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 30",

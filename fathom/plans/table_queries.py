@@ -163,12 +163,19 @@ def debounce(spark, sf_dir):
     return changes.debounce(e, "1 hour").drop("change")
 
 
+def settled_changes(spark, sf_dir):
+    """Events of users as changes; each purchase is a rename from the user whose number is half as great."""
+    path = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    e = table(spark, sf_dir, "events").select(path(F.col("user_id")).alias("path"), "ts", F.col("event_type").alias("change"), F.when(F.col("event_type") == "purchase", path(F.floor(F.col("user_id") / 2))).alias("old_path"))
+    return changes.settle(e, 3_600_000)
+
+
 def window_counts(spark, sf_dir):
     made = changes.counts(table(spark, sf_dir, "events"), "1 hour", "1 hour")
     return made.withColumn("total", F.round("total", 4))
 
 
-QUERIES = {f.__name__: f for f in (classify_changes, detect_moves, find_duplicates, upsert_rows, changed_by_time, cascade_delete, owner_source, query_summary, recent_queries, latency_summary, bounded_stats, counters, alerts, index_metrics, source_rollup, file_summary, folders, extension_histogram, measure, precision_recall, debounce, window_counts)}
+QUERIES = {f.__name__: f for f in (classify_changes, detect_moves, find_duplicates, upsert_rows, changed_by_time, cascade_delete, owner_source, query_summary, recent_queries, latency_summary, bounded_stats, counters, alerts, index_metrics, source_rollup, file_summary, folders, extension_histogram, measure, precision_recall, debounce, settled_changes, window_counts)}
 
 P = lambda p: f"quantile_disc(ms, {p})"
 ORACLES = {
@@ -202,6 +209,14 @@ round(avg((rank = ideal)::INT), 6) AS accuracy, round(avg((abs(rank - ideal) <=
 round(CASE WHEN count(*) > 1 THEN 1 - 6 * sum(pow(rank - ideal, 2)) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*)::DOUBLE - 1)) ELSE 0 END, 6) AS rho
 FROM r GROUP BY query_id""",
     "precision_recall": f"WITH {JUDGED_SQL}, s AS (SELECT query_id, avg((expected >= 0.5)::INT) FILTER (rank <= 5) AS p, sum((expected >= 0.5)::INT) FILTER (rank <= 5)::DOUBLE / nullif(sum((expected >= 0.5)::INT), 0) AS r FROM j GROUP BY query_id) SELECT query_id, round(p, 6) AS precision, round(coalesce(r, 0), 6) AS recall, round(CASE WHEN p + coalesce(r, 0) > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s",
+    "settled_changes": """
+WITH e AS (SELECT 'u' || user_id AS path, ts, event_type AS change, CASE WHEN event_type = 'purchase' THEN 'u' || (user_id // 2) END AS old_path FROM events),
+b AS (SELECT * FROM e UNION ALL SELECT old_path, ts, NULL, NULL FROM e WHERE old_path IS NOT NULL),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY path ORDER BY ts) AS before FROM b),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts) AS burst FROM l),
+a AS (SELECT *, max(ts) FILTER (change IS NULL) OVER (PARTITION BY path, burst) AS away FROM s)
+SELECT path, arg_max(change, (ts, change)) AS change, arg_max(old_path, (ts, old_path)) FILTER (old_path IS NOT NULL) AS old_path, min(ts) AS first, max(ts) AS last, count(*)::BIGINT AS n
+FROM a WHERE change IS NOT NULL AND (away IS NULL OR ts > away) GROUP BY path, burst""",
     "debounce": "WITH o AS (SELECT 'u' || user_id AS path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT path, ts, sum(b) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT path, min(ts) AS first, max(ts) AS last, count(*)::BIGINT AS n FROM g GROUP BY path, g",
     "window_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
