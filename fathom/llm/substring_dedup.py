@@ -5,9 +5,11 @@ starts in a document with a smaller doc_id. All is judged on the input.
 
 1. Documents with equal word sequences are one class: its later documents go whole, the first stands for it below.
 2. Of the grams of PREFIXES[0] words inside a window the one with the least hash is the window's prefix: equal windows choose
-   alike, so few suffixes of a document start with a chosen prefix. Prefixes of one document are dropped. Where more than GROUP
-   suffixes share a prefix, their windows take a longer one, of PREFIXES[1] words; so the length of prefixes varies, and groups
-   fit in a task's memory. A group that is still too large takes whole windows as prefixes.
+   alike, so few suffixes of a document start with a chosen prefix. Windows that follow each other with the same prefix are one
+   suffix, in pieces of PIECE windows, so that a text of one word repeated takes as much room as any other. Prefixes of one
+   document are dropped. Where more than GROUP documents or GROUP * DENSE windows share a prefix, their windows take a longer one,
+   of PREFIXES[1] words; so the length of prefixes varies, and groups fit in a task's memory. A group that is still too large
+   takes whole windows as prefixes.
 3. The suffixes left, with the words that their windows reach, are partitioned by prefix. A group is a subtree in one task: its
    suffixes are sorted by prefix doubling, and the common prefixes of neighbours give its internal nodes. Nodes of depth WINDOW
    are the repeats, and the least doc_id below a node decides. A group with whole windows as its prefix is such a node
@@ -32,8 +34,10 @@ from fathom.llm.storage import by_ids, save, small_join
 from fathom.llm.word_hash import Grams, WordHashes
 
 WINDOW, PREFIXES, GROUP = 50, (25, 40), 1000
-#: Suffix rows that are sorted at once, but for larger groups.
-SORTED = 1500
+#: Windows of a group for each of its GROUP documents, and windows of a suffix row.
+DENSE, PIECE = 64, 4096
+#: Words of suffix rows that are sorted at once, but for larger groups.
+SORTED = 120_000
 SIGN = 1 << 63
 
 
@@ -53,30 +57,33 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 def census(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Each row's key (doc_id, th), n_words, digest of its words, and the hashes of its chosen prefixes."""
+    """Each row's key (doc_id, th), n_words, digest of its words, and the hashes of its chosen prefixes with the number of windows that chose each."""
 
     def make():
         hashes, grams = WordHashes(), Grams()
 
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "th": cols["th"], "n_words": [], "sha": [], "prefixes": []}
+            out = {"doc_id": cols["doc_id"], "th": cols["th"], "n_words": [], "sha": [], "prefixes": [], "counts": []}
             for text in cols["text"]:
                 words = (text or "").encode().split()
                 out["n_words"].append(len(words))
                 out["sha"].append(hashlib.sha256(b" ".join(words)).hexdigest())
                 g = grams.of(hashes.of(words), prefix) if len(words) >= window else np.empty(0, dtype=np.uint64)
-                out["prefixes"].append(np.unique(g[anchors(g, window - prefix + 1)]).view(np.int64))
+                found, counts = np.unique(g[anchors(g, window - prefix + 1)], return_counts=True)
+                out["prefixes"].append(found.view(np.int64))
+                out["counts"].append(counts.astype(np.int32))
             return out
 
         return step
 
-    return map_rows(docs, make, "doc_id long, th long, n_words long, sha string, prefixes array<long>")
+    return map_rows(docs, make, "doc_id long, th long, n_words long, sha string, prefixes array<long>, counts array<int>")
 
 
-def runs(at: np.ndarray) -> list[tuple[int, int]]:
-    """(first, end) of the runs of windows that follow each other with the same chosen gram."""
-    firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-    return list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=True)) if len(at) else []
+def runs(chosen: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of windows that follow each other with equal chosen grams, in pieces of PIECE windows."""
+    firsts = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])) if len(chosen) else chosen
+    whole = zip(firsts.tolist(), [*firsts[1:].tolist(), len(chosen)], strict=True) if len(chosen) else ()
+    return [(a, min(a + PIECE, end)) for first, end in whole for a in range(first, end, PIECE)]
 
 
 def suffixes(docs: DataFrame, window: int, prefixes: tuple[int, int]) -> DataFrame:
@@ -97,7 +104,7 @@ def suffixes(docs: DataFrame, window: int, prefixes: tuple[int, int]) -> DataFra
                 g, g2 = grams.of(h, prefixes[0]), None
                 at = anchors(g, window - prefixes[0] + 1)
                 shared = dict(zip(wanted, hot, strict=True))
-                for first, end in runs(at):
+                for first, end in runs(g[at]):
                     key = signed(int(g[at[first]]))
                     if key not in shared:
                         continue
@@ -107,7 +114,7 @@ def suffixes(docs: DataFrame, window: int, prefixes: tuple[int, int]) -> DataFra
                     if g2 is None:
                         g2 = grams.of(h, prefixes[1])
                         at2 = anchors(g2, window - prefixes[1] + 1)
-                    for a, b in runs(at2[first:end]):
+                    for a, b in runs(g2[at2[first:end]]):
                         add(signed(int(g2[at2[first + a]])), True, doc, th, first + a, h[first + a : first + b - 1 + window].view(np.int64))
             return out
 
@@ -197,7 +204,7 @@ def by_subtrees(rows: DataFrame, window: int) -> DataFrame:
             covered, first = [], 0
             # as many whole groups at once as keep the tree small; equal windows never differ in prefix
             while first < len(bounds) - 1:
-                last = min(max(first + 1, int(np.searchsorted(bounds, bounds[first] + SORTED))), len(bounds) - 1)
+                last = min(max(first + 1, int(np.searchsorted(begin[bounds], begin[bounds[first]] + SORTED))), len(bounds) - 1)
                 a, b = bounds[first], bounds[last]
                 covered.append(subtree(doc[a:b], sizes[a:b], flat[begin[a] : begin[b]], window))
                 first = last
@@ -269,14 +276,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, int] = P
     first = save(able.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first"), "classes")
     copies = save(able.join(first, "sha").filter("doc_id > first").select("doc_id", "th", "n_words"), "copies")
     whole = copies.select("doc_id", "th", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
-    ones = by_ids(able, copies, ["doc_id", "th"], "left_anti").select("doc_id", "th", F.explode("prefixes").alias("prefix"))
-    sized = lambda df: df.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("prefix", (F.col("n") > group).alias("hot"))
+    ones = by_ids(able, copies, ["doc_id", "th"], "left_anti").select("doc_id", "th", F.explode(F.arrays_zip("prefixes", "counts")).alias("x"))
+    ones = ones.select("doc_id", "th", F.col("x.prefixes").alias("prefix"), F.col("x.counts").alias("windows"))
+    hot = (F.col("n") > group) | (F.col("windows") > group * DENSE)
+    sized = lambda df: df.groupBy("prefix").agg(F.count("*").alias("n"), F.sum("windows").alias("windows"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("prefix", hot.alias("hot"))
     shared = small_join(ones, save(sized(ones), "prefixes"), "prefix").groupBy("doc_id", "th").agg(F.collect_list(F.struct("prefix", "hot")).alias("p"))
     shared = save(shared.select("doc_id", "th", F.col("p.prefix").alias("prefixes"), F.col("p.hot").alias("hot")), "holders")
     held = by_ids(rows, shared, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).join(shared, ["doc_id", "th"])
     tails = save(suffixes(held.select("doc_id", "th", "text", "prefixes", "hot"), window, prefixes), "suffixes")
     longer = tails.filter("longer")
-    longer = save(small_join(longer, save(sized(longer), "longer-prefixes"), "prefix"), "longer")
+    longer = save(small_join(longer, save(sized(longer.withColumn("windows", F.size("words") - window + 1)), "longer-prefixes"), "prefix"), "longer")
     columns = ("prefix", "doc_id", "th", "first", "words")
     fit = tails.filter("not longer").select(*columns).unionByName(longer.filter("not hot").select(*columns))
     found = by_subtrees(fit, window).unionByName(by_whole_windows(longer.filter("hot"), window)).unionByName(whole)
