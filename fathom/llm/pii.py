@@ -31,22 +31,53 @@ KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: Elements that `scanned` puts together at once.
+CHUNK = 256
+
+
+def scanned(items: Column, start: Column, kind: str, step) -> Column:
+    """The elements, of type `kind`, that step(state, item) gives from first to last with a next state; null elements are left out.
+
+    Arrays grow by copying, so elements are put together in chunks, and the chunks in the end: the work is nearly linear.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(a: Column, x: Column) -> Column:
+        at, element = step(a["at"], x)
+        return F.struct(at.alias("at"), F.when(element.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(element))).alias("out"))
+
+    def chunk(a: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("out")), one)
+        # an array of one makes a name for what is used more than once
+        return F.get(F.transform(F.array(made), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+    parts = F.get(F.transform(F.array(items), lambda x: F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))), F.lit(0))
+    return F.aggregate(parts, F.struct(start.alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), chunk, lambda a: F.flatten(a["out"]))
+
+
+SPAN = "struct<kind:string,start:int,end:int,value:string>"
+
+
 def spans_of(matches: Column, gaps: Column, kind: str) -> Column:
-    """Spans of matches, from them and the text between them."""
+    """Spans of matches with their text, from them and the text between them."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
+        end = start + F.length(x["m"])
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
+        return F.when(x["m"].isNull(), at).otherwise(end), F.when(x["m"].isNotNull(), span)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["g"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"))
-        return F.when(x["m"].isNull(), a).otherwise(F.struct((start + F.length(x["m"])).alias("at"), F.concat(a["spans"], F.array(span)).alias("spans")))
+    return scanned(F.arrays_zip(matches.alias("m"), gaps.alias("g")), F.lit(0), SPAN, step)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans"))
-    return F.aggregate(F.arrays_zip(matches.alias("m"), gaps.alias("g")), start, step, lambda a: a["spans"])
 
+def bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-def found(text: Column, masked: Column, pattern: str, kind: str, holds) -> Column:
-    """Spans of `pattern` in `masked`, which is as long as `text`, whose text passes `holds`."""
+
+def found(masked: Column, pattern: str, kind: str, holds) -> Column:
+    """Spans of `pattern` in `masked` whose text passes `holds`; of what `holds` looks at nothing is masked."""
     matches = F.regexp_extract_all(masked, F.lit(pattern), F.lit(0))
-    passed = F.filter(spans_of(matches, F.split(masked, pattern, -1), kind), lambda s: holds(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+    passed = bare(F.filter(spans_of(matches, F.split(masked, pattern, -1), kind), lambda s: holds(s["value"])))
     return F.when(masked.rlike(pattern), passed).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
@@ -70,10 +101,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """docs with text t, plus arrays of spans by kind."""
     masked_mail = F.regexp_replace(F.translate("t", MASK, OTHER), r"\.(?![A-Za-z0-9-])", MASK)
     masked_card = F.regexp_replace("t", r"[ -](?![0-9])", MASK)
-    email = found(F.col("t"), F.col("mail"), r"(?:(?<![A-Za-z0-9._%+\x{E000}-])|\G)[A-Za-z0-9._%+\x{E000}-]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "email", lambda v: F.lit(True))
-    ip = found(F.col("t"), F.col("t"), r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+", "ip", lambda v: ~F.exists(F.split(v, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) > 3) | (F.ltrim(p, F.lit("0")).try_cast("int") > 255)))
-    card = found(F.col("t"), F.col("dashed"), r"[0-9][0-9 -]+", "card", luhn)
-    phone = found(F.col("t"), F.col("t"), r"\+[0-9][\x20().0-9-]+[0-9]", "phone", lambda v: F.length(digits(v)).between(9, 15))
+    email = found(F.col("mail"), r"(?:(?<![A-Za-z0-9._%+\x{E000}-])|\G)[A-Za-z0-9._%+\x{E000}-]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "email", lambda v: F.lit(True))
+    ip = found(F.col("t"), r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+", "ip", lambda v: ~F.exists(F.split(v, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) > 3) | (F.ltrim(p, F.lit("0")).try_cast("int") > 255)))
+    card = found(F.col("dashed"), r"[0-9][0-9 -]+", "card", luhn)
+    phone = found(F.col("t"), r"\+[0-9][\x20().0-9-]+[0-9]", "phone", lambda v: F.length(digits(v)).between(9, 15))
     none = F.expr(f"cast(array() as {SPANS})")
     kept = docs.columns
     one = docs.select(*kept, F.when(F.instr("t", "@") > 0, masked_mail).alias("mail"), F.when(F.col("t").rlike("[0-9]{2}|[0-9][ -][0-9]"), masked_card).alias("dashed"))
@@ -125,7 +156,18 @@ def term_spans(terms: Column, text: Column) -> Column:
     """Spans of whole words of `text` that are among `terms`."""
     quoted = F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1")), "|")
     pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), quoted, F.lit(r")(?![^\x20\x09-\x0D])"))
-    return spans_of(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), "term")
+    return bare(spans_of(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), "term"))
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text, split once: places in the array are found at once, those in the text by counting from its start."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def part(chars: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, cut to what there is."""
+    start = F.greatest(start, F.lit(0))
+    return F.array_join(F.slice(chars, start + 1, F.greatest(end - start, F.lit(0))), "")
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -135,11 +177,14 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     spans = F.flatten(F.array(*KINDS))
-    value = lambda s: F.struct(
-        F.xxhash64(s["kind"], F.substring("t", s["start"] + 1, s["end"] - s["start"])).alias("e"),
-        F.xxhash64(F.substring("t", F.greatest(F.lit(1), s["start"] + 1 - AROUND), F.least(s["start"], F.lit(AROUND))), F.substring("t", s["end"] + 1, F.lit(AROUND))).alias("ctx"),
+    value = lambda c: lambda s: F.struct(
+        F.xxhash64(s["kind"], part(c, s["start"], s["end"])).alias("e"),
+        F.xxhash64(part(c, s["start"] - AROUND, s["start"]), part(c, s["end"], s["end"] + AROUND)).alias("ctx"),
     )
-    base = save(base_spans(rows).select("doc_id", "th", *KINDS, F.transform(spans, value).alias("values")), "pii-base")
+    # an array of one makes a name for the characters
+    values = F.get(F.transform(F.array(characters(F.col("t"))), lambda c: F.transform("every", value(c))), F.lit(0))
+    base = base_spans(rows).withColumn("every", spans)
+    base = save(base.select("doc_id", "th", *KINDS, F.when(F.size("every") > 0, values).alias("values")), "pii-base")
     repeated = save(base.groupBy("th").count().filter("count > 1").select("th"), "pii-repeated")
     once = save(by_ids(rows, repeated, "th").select("th", "t").dropDuplicates(["th"]), "pii-once")
     texts = by_ids(rows, repeated, "th", "left_anti").select("th", "t").unionByName(once)
@@ -155,14 +200,13 @@ def detect(docs: DataFrame) -> DataFrame:
 def sanitize(docs: DataFrame, detected: DataFrame) -> DataFrame:
     """docs with text sanitised: base spans become [KIND], terms are removed; where base spans overlap, the first stays."""
     spans = F.sort_array(F.transform(F.concat("base", "term"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
-        F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.substring("t", a["at"] + 1, s["start"] - a["at"]), F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
-        )
-    )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring("t", a["at"] + 1, F.length("t"))))
+    piece = lambda at, s: F.struct(at.alias("from"), s["start"].alias("to"), F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("label"))
+    step = lambda at, s: (F.when(s["start"] < at, at).otherwise(s["end"]), F.when(s["start"] >= at, piece(at, s)))
+    pieces = scanned(F.col("spans"), F.lit(0), "struct<from:int,to:int,label:string>", step)
+    last = F.struct(F.aggregate("spans", F.lit(0), lambda at, s: F.when(s["start"] < at, at).otherwise(s["end"])).alias("from"), F.length("t").alias("to"), F.lit("").alias("label"))
+    write = lambda c: F.array_join(F.transform(F.concat(pieces, F.array(last)), lambda p: F.concat(part(c, p["from"], p["to"]), p["label"])), "")
+    # an array of one makes a name for the characters
+    text = F.get(F.transform(F.array(characters(F.col("t"))), write), F.lit(0))
     by_text = detected.select("th", spans.alias("spans")).dropDuplicates(["th"]).filter("size(spans) > 0")
     # the caller's columns are held in one, so that their names don't matter
     t = F.coalesce("text", F.lit(""))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -123,6 +124,35 @@ def test_pii_terms_equal_those_of_distinct_texts(spark, case):
     assert any(expected.values())
 
 
+def test_pii_of_a_long_text_with_very_many_spans(spark):
+    """Spans, contexts and the sanitised text of 40,000 addresses in one text, in nearly linear time."""
+    import time
+
+    took = {}
+    for n in (4000, 40_000):
+        text = " ".join(f"é{i} a{i}@b.c{'x' * (i % 3)}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        found = pii.detect(df)
+        r = found.first()
+        assert [(s["kind"], s["start"], s["end"]) for s in r["base"]] == brute.personal(text)
+        clean = pii.sanitize(df, found).first()["text"]
+        assert clean == re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", text)
+        took[n] = time.perf_counter() - began
+    assert took[40_000] < 15 * took[4000] + 15
+
+
+def test_substring_dedup_of_one_word_repeated(spark):
+    """Texts of very many equal words, alone and with others: one suffix for all their windows, and few words kept."""
+    texts = [(1, "w " * 60_000), (2, "w " * 200_000), (3, "own " * 30 + "w " * 70), (4, "v " * 49), (5, "ab cd " * 40_000), (6, "cd ab " * 100)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for group in (1000, 1):
+        got = rows(substring_dedup.digest(substring_dedup.dedup(df, group=group)), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == brute.windows_removed(texts, 50)
+    held = substring_dedup.runs(np.zeros(200_000 - 49, dtype=np.uint64))
+    assert len(held) == -(-(200_000 - 49) // substring_dedup.PIECE) and sum(b - a for a, b in held) == 200_000 - 49
+
+
 def test_quality_base(spark, docs):
     df = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source")
     got = rows(quality_rules.judge(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
