@@ -7,6 +7,12 @@ from fathom.sources.tables import table
 
 NAME = "op9_url_filter"
 
+LAST = "array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+KNOWN = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
+TWO = LAST.format(n=2)
+DOMAIN = f"CASE WHEN {TWO} IN ({KNOWN}) THEN {LAST.format(n=3)} ELSE {TWO} END"
+SUFFIX = f"CASE WHEN {TWO} IN ({KNOWN}) THEN {TWO} ELSE list_extract(string_split(host, '.'), -1) END"
+
 ORACLE = r"""
 WITH p AS (
   SELECT page_id,
@@ -24,7 +30,7 @@ WITH p AS (
 ), o AS (
   SELECT host, (rule IN ('example.org/en/1', 'example.org/es/', 'com/de/'))::INT AS blocked FROM r WHERE rule IS NOT NULL
 ), h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
+  SELECT host, {DOMAIN} AS domain, {SUFFIX} AS suffix,
     sum(blocked)::DOUBLE AS k, count(*)::DOUBLE AS n
   FROM o GROUP BY host
 ), d AS (
@@ -43,7 +49,7 @@ WITH p AS (
 ), h1 AS (
   SELECT host, (k + m2 * s2) / (n + s2) AS m3, n + s2 AS s3 FROM h JOIN d1 USING (domain)
 ), every AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+  SELECT host, {DOMAIN} AS domain, {SUFFIX} AS suffix
   FROM (SELECT DISTINCT host FROM r)
 ), known AS (
   SELECT host, coalesce(m3, m2, m1, m0) AS block_rate, coalesce(s3, s2, s1, s0) AS strength, coalesce(m3, m2, m1) IS NOT NULL AS has_outcomes
@@ -53,8 +59,8 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IS NULL THEN CASE WHEN has_outcomes AND block_rate - 1.645 * sqrt(block_rate * (1 - block_rate) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END
     WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM r JOIN known USING (host)
-"""
+""".replace("{DOMAIN}", DOMAIN).replace("{SUFFIX}", SUFFIX)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(table(spark, sf_dir, "pages"), two_label_suffixes=url_filter.TWO_LABEL_SUFFIXES).select("page_id", "host", "path", "rule", "verdict")

@@ -22,6 +22,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Public suffixes of two labels that query op9 knows; a caller with the whole list of such suffixes passes that.
+TWO_LABEL_SUFFIXES = (
+    "ac.jp", "ac.kr", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my",
+    "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.nz", "or.jp", "org.au", "org.br", "org.nz", "org.uk", "org.za",
+)
 LIMIT, Z, WEIGHT = 0.5, 1.645, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"

@@ -516,6 +516,28 @@ def test_toxicity_without_labels(spark, docs):
     assert len(got) == len(corpus()) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_url_domains_under_suffixes_of_two_labels(spark):
+    """Hosts of one company under co.uk share its reputation, those of others don't; hosts that are such a suffix, or less, don't fail. The SQL says the same."""
+    import duckdb
+
+    from fathom.llm import query_url
+
+    hosts = [f"h{i}.bad.co.uk" for i in range(6)] + [f"h{i}.good.co.uk" for i in range(6)] + ["co.uk", "uk", "a.com.au", "b.a.com.au", ""]
+    outcomes = spark.createDataFrame([(h, 1) for h in hosts[:5] for _ in range(9)] + [(h, 0) for h in hosts[6:11] for _ in range(9)], "host string, blocked int")
+    pages = spark.createDataFrame([(i, f"https://{h}/x") for i, h in enumerate(hosts)] + [(90, None)], "page_id long, url string")
+    kept = {r["host"]: r for r in url_filter.judge(pages, outcomes, (), two_label_suffixes=url_filter.TWO_LABEL_SUFFIXES).collect()}
+    assert kept["h5.bad.co.uk"]["verdict"] == "block" and kept["h5.good.co.uk"]["verdict"] == "allow" and kept["co.uk"]["verdict"] == "allow"
+    mixed = {r["host"]: r for r in url_filter.judge(pages, outcomes, ()).collect()}
+    assert kept["h5.bad.co.uk"]["block_rate"] > mixed["h5.bad.co.uk"]["block_rate"]
+    listed = [(i, f"https://{h}/{p}") for i, (h, p) in enumerate((h, p) for h in [*hosts, "x.org", "y.org", "z.com"] for p in ("de/1", "fr/2", "es/"))] + [(900, None), (901, "x"), (902, "HTTP://www.shop.com.br/de/")]
+    got = url_filter.judge(spark.createDataFrame(listed, "page_id long, url string"), two_label_suffixes=url_filter.TWO_LABEL_SUFFIXES)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", listed)
+    names = ("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({query_url.ORACLE})").fetchall())
+
+
 OPERATORS = {
     "ngram_join": lambda d: ngram_join.join(d),
     "line_dedup": lambda d: line_dedup.dedup(d),
@@ -524,6 +546,9 @@ OPERATORS = {
     "quality_rules": lambda d: quality_rules.judge(d),
     "decontaminate": lambda d: decontaminate.digest(decontaminate.hits(d, d.selectExpr("doc_id AS item_id", "text"))),
     "toxicity": lambda d: toxicity.score(d, d.selectExpr("doc_id", "1 AS toxic")),
+    "chat_format": lambda d: chat_format.format_chats(d.selectExpr("monotonically_increasing_id() AS conv_id", "1L AS turn", "lang AS role", "*")),
+    "packing": lambda d: packing.pack_documents(d).filter("piece = 0"),
+    "url_filter": lambda d: url_filter.judge(d.selectExpr("doc_id AS page_id", "text AS url", "*")),
 }
 
 
