@@ -7,7 +7,8 @@ taken with PRIOR_WORDS words of PRIOR_LENGTH and shares of PRIOR_SHARE, so that
 Per (lang, source) a minimum-covariance-determinant estimate is made. From three deterministic starts (median and MAD; the
 same with the correlations of the hyperbolic tangents of the scores; and with the covariance of their directions)
 concentration steps take the half of the vectors nearest to the last estimate and compute their mean and covariance, until
-no start lowers its determinant, at most STEPS times. The start with the least determinant stays (the first of equal
+no start of any group lowers its determinant; each step that lowers one lowers it for good, so this ends (after STEPS of them it
+is an error). The start with the least determinant stays (the first of equal
 ones); its covariance is scaled for consistency. A document is rejected when its squared Mahalanobis distance is over CUTOFF.
 FLOOR is the same in all dimensions and is added to the standard deviations: it keeps the determinant positive where half of the
 vectors agree, which discrete statistics do, and says what difference matters then.
@@ -33,7 +34,8 @@ from fathom.llm.storage import save
 PRIOR_WORDS, PRIOR_LENGTH, PRIOR_LINES, PRIOR_SHARE = 50.0, 5.0, 20.0, 0.01
 DIMENSIONS = ("x0", "x1", "x2", "x3")
 FLOOR = 0.05
-STARTS, STEPS = 3, 10
+#: Starts of a group, and steps after which an estimate that still falls is an error.
+STARTS, STEPS = 3, 100
 #: The 0.999 quantile of chi-square with four degrees of freedom; and the consistency factor of the half: a half by the
 #: share of chi-square with six degrees that lies below the median of that with four.
 CUTOFF, CONSISTENCY = 18.47, 0.5 / 0.2370
@@ -192,6 +194,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         best = save(union.groupBy("g", "start").agg(F.min_by(F.struct(*named), "det").alias("e")).select("g", "start", "e.*"), "mcd")
         if not lower:
             break
+    else:
+        raise RuntimeError(f"an estimate has not converged in {steps} steps")
     first = best.groupBy("g").agg(F.min_by(F.struct(*(c for c in best.columns if c not in ("g", "start"))), F.struct(F.round("det", 9), "start")).alias("e"))
     return save(first.select("g", "e.*"), "mcd")
 

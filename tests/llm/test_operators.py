@@ -159,6 +159,16 @@ def test_quality_base(spark, docs):
     assert got == {i: brute.quality(t) for i, t in corpus()}
 
 
+def test_quality_estimates_converge_or_fail(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(VOCABULARY) + "#" * rng.randint(0, 3) for _ in range(rng.randint(20, 300))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    stats = quality_rules.vectors(quality_rules.statistics(df)).selectExpr("*", "1L AS g")
+    with pytest.raises(RuntimeError, match="not converged"):
+        quality_rules.estimates(stats, 1)
+    assert quality_rules.estimates(stats).count() == 1
+
+
 def test_quality_outliers(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(VOCABULARY) + str(rng.randint(0, 999)) for _ in range(rng.randint(40, 90))) for _ in range(120)]
