@@ -36,7 +36,7 @@ BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 3, 2, 4, 3
 INJECTED = 0.1
 LOOSE, REPACKS = 0.98, 8
 #: Pieces of text whose ids a Python worker remembers, at most so many.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Texts for which Python's own classes of letters, digits and white space are the tokenizer's.
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
 #: The tokenizer's split of a text into pieces that are encoded each by itself, in Python's syntax.

@@ -37,7 +37,7 @@ SAMPLE, SIZES, ORDINARY_BYTES = 20_000, (512, 1_024, 2_048, 4_096), 131_072
 #: Words, and windows with their repeats, that a dictionary is trained on, at most so many.
 TRAINED_WORDS, TRAINED_WINDOWS = 100_000, 400_000
 RATIO, SAVED = 50, 5
-CUTOFF, LEVEL, CACHE = 0.7, 12, 400_000
+CUTOFF, LEVEL, CACHE = 0.7, 12, 200_000
 HEAD, TAIL = bytes(range(1, 25)), bytes(range(128, 152))
 _WORD = re.compile(r"\w+")
 
