@@ -42,18 +42,26 @@ def references(results: DataFrame, chars: int = 50) -> DataFrame:
     return results.groupBy("path").agg(F.count("*").alias("n"), F.min("rank").alias("best"), X.preview(F.min_by("content", "rank"), chars).alias("preview"))
 
 
-def expand_context(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
-    """(hit_id, context, n_before, n_after): a hit with its neighbours; a heading line where the section changes, the hit marked."""
+def expand_context(hits: DataFrame, chunks: DataFrame, window: int = 1, merge: str = "smart", separator: str = "\n\n---\n\n") -> DataFrame:
+    """(hit_id, context, n_before, n_after): a hit with its neighbours.
+
+    merge: smart, with a heading line where the section changes and the hit marked; concatenate, contents with an empty line between;
+    or separator, contents with `separator` between.
+    """
     from fathom.operators.chunking import adjacent
 
+    if merge not in ("smart", "concatenate", "separator"):
+        raise ValueError(f"merge has to be smart, concatenate or separator, not {merge}")
+
     rows = adjacent(chunks, hits, window).join(chunks.select("chunk_id", "heading", "content"), "chunk_id")
     before = F.lag("heading").over(Window.partitionBy("hit_id").orderBy("offset"))
     changed = F.col("heading").isNotNull() & (F.col("heading") != "") & ~F.col("heading").eqNullSafe(before)
     marked = F.concat(F.when(F.col("offset") == 0, "**[HIT]** ").otherwise(""), "content")
-    rows = rows.withColumn("piece", F.concat_ws("\n", F.when(changed, F.concat(F.lit("### "), "heading")), marked))
+    piece = F.concat_ws("\n", F.when(changed, F.concat(F.lit("### "), "heading")), marked) if merge == "smart" else F.coalesce("content", F.lit(""))
+    rows = rows.withColumn("piece", piece)
     ordered = F.sort_array(F.collect_list(F.struct("offset", "piece")))
     return rows.groupBy("hit_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["piece"]), "\n\n").alias("context"),
+        F.array_join(F.transform(ordered, lambda x: x["piece"]), separator if merge == "separator" else "\n\n").alias("context"),
         F.count(F.when(F.col("offset") < 0, 1)).alias("n_before"),
         F.count(F.when(F.col("offset") > 0, 1)).alias("n_after"),
     )

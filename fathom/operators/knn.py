@@ -39,9 +39,11 @@ def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     return first.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def vector_stats(vectors: DataFrame, group: str = "model") -> DataFrame:
+def vector_stats(vectors: DataFrame, group: str = "model", updated: str | None = None) -> DataFrame:
+    """(group, n_vectors, dimension, bytes) and, with the name of a time column, last_update."""
     n, d = F.count("*"), F.max(F.size("embedding"))
-    return vectors.groupBy(group).agg(n.alias("n_vectors"), d.cast("long").alias("dimension"), V.storage_bytes(n, d).alias("bytes"))
+    last = [F.max(updated).alias("last_update")] if updated else []
+    return vectors.groupBy(group).agg(n.alias("n_vectors"), d.cast("long").alias("dimension"), V.storage_bytes(n, d).alias("bytes"), *last)
 
 
 def weighted_mean(vectors: DataFrame, group: str, weight: Column, normalize: bool = True) -> DataFrame:

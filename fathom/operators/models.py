@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathom.functions import text as X
 
@@ -66,3 +66,56 @@ def scored(df: DataFrame, query: str, text_col: str, scorer=None, out: str = "re
         return pd.Series(scorer(query, texts.fillna("").tolist()), dtype="float64")
 
     return df.withColumn(out, 1 / (1 + F.exp(-run(F.col(text_col)))))
+
+
+#: Limits of a request.
+MOST_TEXTS, MOST_CHARS = 256, 32_000
+
+
+def request_error(texts: Column, name: str, most: int = MOST_TEXTS, most_chars: int = MOST_CHARS) -> Column:
+    """What is wrong with the texts of a request, the first thing that is; null if nothing is."""
+    long = F.filter(F.transform(texts, lambda t, i: F.when(F.length(t) > most_chars, i)), lambda i: i.isNotNull())
+    return (
+        F.when(texts.isNull(), f"{name} is required")
+        .when(F.size(texts) == 0, f"{name} array cannot be empty")
+        .when(F.size(texts) > most, f"{name} array cannot exceed {most} items")
+        .when(F.exists(texts, lambda t: t.isNull()), f"{name} must be an array of strings")
+        .when(F.size(long) > 0, F.concat(F.lit(f"{name}["), F.get(long, F.lit(0)).cast("string"), F.lit(f"] exceeds maximum length of {most_chars} characters")))
+    )
+
+
+def embed_requests(requests: DataFrame, mode: str = "query", model=None) -> DataFrame:
+    """Rows (request_id, input: array of texts) to (request_id, index, embedding, error): a row per text, or one with the error of a request that is refused."""
+    judged = requests.select("request_id", "input", request_error(F.col("input"), "input").alias("error"))
+    each = judged.filter("error is null").select("request_id", F.posexplode("input").alias("index", "text"))
+    made = embed(each, "text", mode, model).select("request_id", "index", "embedding", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None)
+    return made.unionByName(judged.filter("error is not null").select("request_id", none.cast("int").alias("index"), none.cast("array<float>").alias("embedding"), "error"))
+
+
+def rerank_requests(requests: DataFrame, scorer=None) -> DataFrame:
+    """Rows (request_id, query, documents: array of texts, top_n) to (request_id, rank, index, relevance_score, error).
+
+    The best top_n documents of each request, all where it is null, ties by place; a request that is refused has one row with its error.
+    scorer: any callable (queries, texts) -> logits, which a sigmoid takes to [0, 1]; by default the share of the query's terms.
+    """
+    error = F.when(F.col("query").isNull(), "query is required and must be a string").otherwise(request_error(F.col("documents"), "documents"))
+    judged = requests.withColumn("error", error)
+    if scorer is None:
+        wanted = F.array_distinct(X.tokens(F.col("query")))
+        each = judged.filter("error is null").select("request_id", "top_n", wanted.alias("wanted"), F.posexplode("documents").alias("index", "text"))
+        share = F.size(F.array_intersect(X.tokens(F.col("text")), "wanted")) / F.size("wanted")
+        each = each.withColumn("relevance_score", F.when(F.size("wanted") == 0, 0.0).otherwise(share))
+    else:
+
+        @F.pandas_udf("double")
+        def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+            return pd.Series(scorer(queries.tolist(), texts.tolist()), dtype="float64")
+
+        each = judged.filter("error is null").select("request_id", "top_n", "query", F.posexplode("documents").alias("index", "text"))
+        each = each.withColumn("relevance_score", 1 / (1 + F.exp(-run("query", "text"))))
+    # a request has MOST_TEXTS documents at most
+    best = Window.partitionBy("request_id").orderBy(F.desc("relevance_score"), "index")
+    ranked = each.withColumn("rank", F.row_number().over(best)).filter("top_n is null or rank <= top_n")
+    refused = judged.filter("error is not null").select("request_id", "error")
+    return ranked.select("request_id", "rank", "index", "relevance_score").unionByName(refused, allowMissingColumns=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions import hashing, text as X, vectors as V
-from fathom.functions.fixed_values import FTS_STOP_WORDS, PROMPT
+from fathom.functions.fixed_values import CLASSIC_STOP_WORDS, FTS_STOP_WORDS, PROMPT
 from fathom.operators import bm25, chunking, context, evaluation, fusion, knn, models, records, stats, sync
 from fathom.plans import search
 from fathom.plans.search_queries import K, L2_SQL, PROBE_SQL, QUERY, classic_scores, docs, probe, rounded, tokens_sql
@@ -285,6 +285,13 @@ def scored(spark, sf_dir):
     return rounded(made, "rerank_score").select("doc_id", "rerank_score")
 
 
+def rerank_requests(spark, sf_dir):
+    """Each conversation as a request: its turns by their share of the first turn's terms, the best three."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    asked = turns.select(F.col("conv_id").alias("request_id"), F.get("x", F.lit(0))["text"].alias("query"), F.transform("x", lambda t: t["text"]).alias("documents"), F.lit(3).alias("top_n"))
+    return rounded(models.rerank_requests(asked), "relevance_score").select("request_id", "rank", "index", "relevance_score", "error")
+
+
 def same_hashes(spark, sf_dir):
     stored, disk = stored_and_disk(spark, sf_dir)
     both = stored.join(disk.withColumnRenamed("hash", "now"), "path")
@@ -308,7 +315,7 @@ QUERIES = {
     for f in (
         record_page, keyset_page, newest_records, file_list, checked_requests, source_overview, dashboard, enabled_sources, model_overview, default_model, test_statistics, category_statistics, evaluation_report, keyword_recall, by_position,
         rerank_statistics, active_users, token_counters, throughput, health, model_health, fts_queries, folded_terms, intents, titles, truncated, chunk_weights, pooled, suggestions, chunk_links, reference_list, embed_block, prompts,
-        lines_in_range, rebalanced, needs_rebalance, orphans, vectors_for, kept_models, character_windows, scored, same_hashes, incremental_index, idle_paths, renames,
+        lines_in_range, rebalanced, needs_rebalance, orphans, vectors_for, kept_models, character_windows, scored, rerank_requests, same_hashes, incremental_index, idle_paths, renames,
     )
 }
 
@@ -321,6 +328,14 @@ ORACLES = {
 cm AS (SELECT rank, concat_ws(chr(10) || chr(10), '### t', CASE WHEN coalesce(heading, '') <> '' THEN '**' || heading || '**' END, content, '[[' || path || ']]') AS block, sum(tokens) OVER (ORDER BY rank) AS used FROM tk),
 cx AS (SELECT coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') AS c FROM cm WHERE used <= 3000)
 SELECT sha256('{PROMPT.split("{context}")[0]}' || c || '{PROMPT.split("{context}")[1].replace("{query}", QUERY)}') AS digest FROM cx""",
+    "rerank_requests": f"""
+WITH t AS (SELECT conv_id, coalesce(text, '') AS text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1)::INTEGER AS i FROM conversations),
+n AS (SELECT conv_id, count(*) AS n, max(length(text)) AS longest FROM t GROUP BY conv_id),
+w AS (SELECT conv_id, list_distinct({tokens_sql("text", CLASSIC_STOP_WORDS)}) AS w FROM t WHERE i = 0),
+s AS (SELECT conv_id, i, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(list_distinct({tokens_sql("text", CLASSIC_STOP_WORDS)}), w))::DOUBLE / len(w) END AS s FROM t JOIN w USING (conv_id) JOIN n USING (conv_id) WHERE n <= 256 AND longest <= 32000),
+r AS (SELECT conv_id, i, s, (row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, i))::INTEGER AS rank FROM s)
+SELECT conv_id AS request_id, rank, i AS index, round(s, 6) AS relevance_score, NULL::VARCHAR AS error FROM r WHERE rank <= 3
+UNION ALL SELECT conv_id, NULL, NULL, NULL, CASE WHEN n > 256 THEN 'documents array cannot exceed 256 items' ELSE 'documents[' || (SELECT min(i) FROM t WHERE t.conv_id = n.conv_id AND length(text) > 32000) || '] exceeds maximum length of 32000 characters' END FROM n WHERE n > 256 OR longest > 32000""",
     "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25 OFFSET 50",
     "record_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50",
     "newest_records": "SELECT event_id, event_type FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id LIMIT 15",
