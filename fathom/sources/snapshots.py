@@ -2,12 +2,13 @@
 
 A store is a folder with data and commits. A batch writes its rows as Parquet into folders of their own, under data/<table>/segment=<version>;
 nobody reads them before a commit names them. A commit is one small JSON file, commits/<version>.json: the folders of every
-table as of that version, totals that the writers keep, and the last batch of each writer. It is made by a create that fails
-if the file is there, so of two writers that start from the same version one gets a Conflict, and nothing of it is seen.
+table as of that version, totals that the writers keep, and the last batch of each writer. It is written beside its place and moved there,
+which fails if the name is taken, so of two writers that start from the same version one gets a Conflict, and nothing of it is seen.
 A batch that is tried again after its commit is recognised by its writer and number. A reader holds a snapshot, the
 content of one commit, and sees the same rows until `vacuum` drops what no kept commit names.
 
-The folder has to be one that driver and executors share, with a create that is exclusive, as HDFS and shared disks have.
+The folder has to be one that driver and executors share. HDFS refuses to move a file onto another; where a file system does not,
+as plain disks, the look before the move leaves a moment in which two writers could both succeed, so there one writer at a time.
 """
 
 from __future__ import annotations
