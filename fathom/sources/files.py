@@ -46,6 +46,11 @@ def report(files: DataFrame) -> DataFrame:
     return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
+def listing(files: DataFrame, n: int = 100) -> DataFrame:
+    """The first n files of a scan by path, as a source's page shows them."""
+    return files.orderBy("path").limit(n)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

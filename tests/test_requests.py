@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from fathom.operators import context, knn, models
+from fathom.sources import files
 
 
 def test_embedding_requests(spark):
@@ -50,3 +51,8 @@ def test_vector_statistics_with_times(spark):
     t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
     df = spark.createDataFrame([("a", [1.0, 2.0], t[0]), ("a", [1.0, 2.0], t[2]), ("b", [1.0], t[1])], "model string, embedding array<float>, at timestamp")
     assert sorted(map(tuple, knn.vector_stats(df, updated="at").collect())) == [("a", 2, 2, 16, t[2]), ("b", 1, 1, 4, t[1])]
+
+
+def test_first_files_of_a_scan(spark):
+    df = spark.createDataFrame([(f"p{i:03d}.md", i) for i in range(150)], "path string, length long").repartition(5)
+    assert [r["path"] for r in files.listing(df).collect()] == [f"p{i:03d}.md" for i in range(100)]
