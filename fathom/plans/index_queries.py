@@ -1,12 +1,12 @@
-"""Queries of the stored index: early-ending search, upserts and deletes, older versions, and a synchronised store."""
+"""Queries of the stored index: early-ending search, cells of vectors, upserts and deletes, older versions, and a synchronised store."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import keyword_index
+from fathom.operators import keyword_index, vector_index
 from fathom.plans import search, stored_index
-from fathom.plans.search_queries import K, ORACLES as SEARCH_ORACLES, QUERY, classic_scores, rounded
+from fathom.plans.search_queries import K, L2_SQL, ORACLES as SEARCH_ORACLES, PROBE, PROBE_SQL, QUERY, classic_scores, rounded
 from fathom.sources.snapshots import Store
 from fathom.sources.tables import scratch_folder, spread, table
 
@@ -100,15 +100,69 @@ def index_search(spark, sf_dir):
     return rounded(found, "score").select("path", "chunk_index", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (index_top, index_changed, index_before, index_merged, index_frequencies, index_synchronised, index_search)}
+def embedded(spark, sf_dir):
+    """Embeddings as rows of the index; the owner of a vector is itself."""
+    rows, name = spread(table(spark, sf_dir, "embeddings")), F.format_string("%015d", "vec_id")
+    return rows.select(name.alias("id"), name.alias("owner"), F.lit("m").alias("model"), "embedding", "label")
+
+
+def vector_store(spark, sf_dir):
+    """Two versions: all vectors; then those of label 3 are gone, and those of label 5 point the other way."""
+    rows, store = embedded(spark, sf_dir), Store(spark, scratch_folder(spark))
+    turned = rows.filter("label = 5").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    for new, gone in ((rows, None), (turned, rows.filter("label = 3").select("owner"))):
+        base = store.snapshot()
+        parts, totals = vector_index.add_segment(store, base, new, gone)
+        store.commit(base, parts, totals=totals)
+    return store
+
+
+def vector_hits(spark, sf_dir, store, version):
+    probe = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == PROBE).first()["embedding"]
+    found = vector_index.search(store, store.snapshot(version), probe, K, "m")
+    return rounded(found, "score").select(F.col("id").cast("long").alias("vec_id"), "score", "rank")
+
+
+def vector_index_before(spark, sf_dir):
+    """knn_topk from cells: the first version, after the second was committed."""
+    return vector_hits(spark, sf_dir, vector_store(spark, sf_dir), 1)
+
+
+def vector_index_changed(spark, sf_dir):
+    return vector_hits(spark, sf_dir, vector_store(spark, sf_dir), 2)
+
+
+def vector_index_merged(spark, sf_dir):
+    store = vector_store(spark, sf_dir)
+    base = store.snapshot()
+    replace, _ = vector_index.merge(store, base)
+    store.commit(base, {}, replace)
+    return vector_hits(spark, sf_dir, store, 3)
+
+
+def vector_index_many(spark, sf_dir):
+    """The five nearest of every hundredth vector, in the changed index."""
+    store = vector_store(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = vector_index.search_many(store, store.snapshot(), asked, 5, "m")
+    return rounded(found, "score").select("query_id", F.col("id").cast("long").alias("vec_id"), "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (index_top, index_changed, index_before, index_merged, index_frequencies, index_synchronised, index_search, vector_index_before, vector_index_changed, vector_index_merged, vector_index_many)}
 
 STATE = f"documents AS (SELECT doc_id, CASE WHEN lang = 'de' THEN coalesce(text, '') || '{ADDED}' ELSE text END AS text FROM main.documents WHERE source IS DISTINCT FROM 'src3')"
 TOP = f"SELECT id AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores ORDER BY scores.score DESC, id LIMIT {K}"
+VECTORS = "e AS (SELECT vec_id, CASE WHEN label = 5 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS embedding FROM embeddings WHERE label <> 3)"
+NEAREST = f"WITH {PROBE_SQL}, {VECTORS} SELECT vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT vec_id, {L2_SQL} AS s FROM e, q) ORDER BY s DESC, vec_id LIMIT {K}"
 ORACLES = {
     "index_top": SEARCH_ORACLES["bm25_topk"],
     "index_before": SEARCH_ORACLES["bm25_topk"],
     "index_changed": f"WITH {STATE}, {classic_scores()} {TOP}",
     "index_merged": f"WITH {STATE}, {classic_scores()} {TOP}",
     "index_frequencies": f"WITH {STATE}, {classic_scores().split('corpus AS')[0]} w AS (SELECT DISTINCT id, unnest(t) AS term FROM tok) SELECT term, count(*)::BIGINT AS df FROM w GROUP BY term",
+    "vector_index_before": SEARCH_ORACLES["knn_topk"],
+    "vector_index_changed": NEAREST,
+    "vector_index_merged": NEAREST,
+    "vector_index_many": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), {VECTORS}, r AS (SELECT query_id, vec_id, {L2_SQL} AS s FROM e, q), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM r) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM t WHERE rank <= 5",
     "index_synchronised": "WITH s AS (SELECT 'notes/' || doc_id || '.md' AS path, coalesce(source, '') = 'src5' AS added, coalesce(text, '') || CASE WHEN source = 'src5' THEN chr(10) || '# Added' || chr(10) || chr(10) || 'see [[1]]' ELSE '' END AS text FROM documents WHERE source <> 'src3') SELECT path, sha256(text) AS hash, added::INTEGER AS added FROM s",
 }
