@@ -10,7 +10,8 @@ and the rings in them, are read that may hold something nearer or as near: the r
 spares depends on the vectors: it is most of them where they lie in clusters, nothing where they are spread evenly over many dimensions.
 A caller may stop early with `probes`; `recall` tells what that costs.
 
-Every batch adds a segment under the centres that are there; `merge` writes the living vectors under new ones. Replaced and deleted
+Every batch adds a segment under the centres that are there, which fit badly when far more or other vectors came since; `merge` writes the living
+vectors under new ones. Replaced and deleted
 vectors are named in a table and left out on reading. ids and owners are strings, an id is unique among the living vectors of a
 model. Rows without an embedding are left out; one of another length than the centres of its model is an error. Models are few
 and named by the caller. Without vectors a search finds nothing.
@@ -68,6 +69,11 @@ def centres(store: Store, snapshot: Snapshot) -> dict[str, np.ndarray]:
     return {m: np.array([c[i] for i in range(len(c))]) for m, c in held.items()}
 
 
+def models(store: Store, snapshot: Snapshot) -> list[str]:
+    """The models that vectors were ever added of, since the last merge."""
+    return [r["model"] for r in store.table(snapshot, "centres", CENTRES).select("model").distinct().orderBy("model").collect()]
+
+
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of the rows of x from those of c."""
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)

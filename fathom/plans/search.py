@@ -18,7 +18,8 @@ MODES = {"Quick": (3, 0, 1000), "Standard": (10, 1, 3000), "Hybrid": (15, 1, 400
 class Index:
     """chunks (chunk_id, file_id, path, source, chunk_index, heading, content), vectors (chunk_id, embedding), and the link graph.
 
-    keywords: (query, k) to (id, score, rank), where a stored index answers; else the chunks are scanned.
+    keywords: (query, k) to (id, score, rank), where a stored index answers; else the chunks are scanned. nearest: (vector, k)
+    likewise, else the vectors are.
     """
 
     chunks: DataFrame
@@ -26,6 +27,7 @@ class Index:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     keywords: Callable[[str, int], DataFrame] | None = None
+    nearest: Callable[[list[float], int], DataFrame] | None = None
 
 
 @dataclass
@@ -54,8 +56,14 @@ class Request:
         return len(q) <= 32 or len(q.split()) <= 4
 
 
-def query_vector(index: Index, request: Request):
-    return V.literal(request.vector or models.HashingEmbedder()([request.query], "query")[0])
+def query_vector(request: Request) -> list[float]:
+    return request.vector or models.HashingEmbedder()([request.query], "query")[0]
+
+
+def nearest(index: Index, request: Request, k: int) -> DataFrame:
+    """(id, score, rank) of the k chunks whose vectors are nearest to the request's."""
+    vector = query_vector(request)
+    return index.nearest(vector, k) if index.nearest else knn.knn(index.vectors, V.literal(vector), k, "chunk_id")
 
 
 def allowed(rows: DataFrame, request: Request) -> DataFrame:
@@ -75,7 +83,7 @@ def hybrid_search(index: Index, request: Request) -> DataFrame:
     k = request.top_k * (request.recall_factor if request.rerank else 1)
     expanded = index.chunks.sparkSession.range(1).select(X.expand_query(F.lit(request.query))).first()[0]
     left = index.keywords(expanded, 2 * k) if index.keywords else bm25.search(index.chunks, "chunk_id", "content", expanded, 2 * k)
-    right = knn.knn(index.vectors, query_vector(index, request), 2 * k, "chunk_id")
+    right = nearest(index, request, 2 * k)
     fuse = fusion.rrf if request.fusion == "rrf" else fusion.weighted
     top = fusion.top(fuse(left, right), k, "id")
     return allowed(top.join(index.chunks.withColumnRenamed("chunk_id", "id"), "id", "left"), request)
@@ -83,7 +91,7 @@ def hybrid_search(index: Index, request: Request) -> DataFrame:
 
 def standard_search(index: Index, request: Request) -> DataFrame:
     """Nearest vectors at twice the size, filtered, debiased by file, cut."""
-    near = knn.knn(index.vectors, query_vector(index, request), 2 * request.top_k, "chunk_id").drop("rank")
+    near = nearest(index, request, 2 * request.top_k).drop("rank")
     rows = allowed(near.join(index.chunks.withColumnRenamed("chunk_id", "id"), "id"), request)
     return fusion.top(fusion.debias(rows, "file_id"), request.top_k, "id")
 
@@ -103,7 +111,7 @@ def search(index: Index, request: Request) -> dict[str, DataFrame]:
         titled = whole(hits.join(index.chunks.withColumnRenamed("chunk_id", "id"), "id")).withColumn("place", F.lit(0))
         found = titled.unionByName(found.join(titled.select("id"), "id", "left_anti"))
     if index.edges is not None and request.graph_depth > 0:
-        more = graph.expand_results(found.select("path", "score"), index.edges, index.chunks, index.vectors, query_vector(index, request), request.graph_depth)
+        more = graph.expand_results(found.select("path", "score"), index.edges, index.chunks, index.vectors, V.literal(query_vector(request)), request.graph_depth)
         more = whole(more.select(F.col("chunk_id").alias("id"), "score").join(index.chunks.withColumnRenamed("chunk_id", "id"), "id")).withColumn("place", F.lit(2))
         found = found.unionByName(more.join(found.select("id"), "id", "left_anti"))
     if request.rerank:

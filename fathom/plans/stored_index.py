@@ -5,8 +5,8 @@ names them, with the files that are gone, in one commit. Until then readers see
 tables leaves nothing that is read, and one that is tried again after its commit changes nothing. Rows of replaced and deleted files stay
 where they are and are left out by their file and version, until `compact` writes the living ones anew.
 
-`open_index` gives the tables of a version as an Index for `search.search`: the keyword leg reads posting blocks, the others
-read chunks and vectors by join. What links say is kept per file as it was parsed; where they lead is resolved when the
+`open_index` gives the tables of a version as an Index for `search.search`: the keyword leg reads posting blocks, the vector leg
+cells, and chunks are read by join. Vectors of a file that changed are replaced whatever model they are of; `drop_model` deletes a model's. What links say is kept per file as it was parsed; where they lead is resolved when the
 graph is asked for, as any new or deleted file may change it.
 """
 
@@ -15,14 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.functions import text as X
-from fathom.operators import chunking, graph, keyword_index, models, sync
+from fathom.operators import chunking, graph, keyword_index, models, sync, vector_index
 from fathom.plans.search import Index
 from fathom.sources.snapshots import Snapshot, Store
 from fathom.sources.tables import if_small
 
 FILES = "file_id string, path string, source string, hash string, text string, node string"
 CHUNKS = f"{chunking.SCHEMA}, chunk_id string, path string, source string"
-VECTORS = "chunk_id string, file_id string, model string, embedding array<float>"
 TITLES = "id string, title string"
 HEADINGS = "id string, title string, line int"
 LINKS = "id string, target string, type string, line int"
@@ -68,20 +67,31 @@ def ingest(store: Store, changed: DataFrame | None, deleted: DataFrame | None =
     if leaving is not None and base.parts.get("files"):
         before = files(store, base).select("file_id", "node").join(leaving.distinct(), "file_id", "left_semi")
         add["gone"] = [store.write(before, "gone", version)]
-    chunks = None
+    chunks = vectors = None
     if rows is not None:
         cut = chunking.chunk_markdown(rows, "file_id", "text", most, overlap).join(rows.select("file_id", "path", "source"), "file_id")
         add["chunks"] = [store.write(cut, "chunks", version)]
         chunks = store.part(add["chunks"][0], "chunks", CHUNKS)
         made = models.embed(chunks.select("chunk_id", "file_id", "content"), "content", model=model)
-        name = F.lit(getattr(model or models.HashingEmbedder(), "name", "model"))
-        add["vectors"] = [store.write(made.select("chunk_id", "file_id", name.alias("model"), "embedding"), "vectors", version)]
+        vectors = made.select(F.col("chunk_id").alias("id"), F.col("file_id").alias("owner"), F.lit(model_name(model)).alias("model"), "embedding")
         for table, parsed in zip(("titles", "headings", "links"), graph.parse(rows), strict=True):
             add[table] = [store.write(parsed, table, version)]
         chunks = chunks.select(F.col("chunk_id").alias("id"), F.col("file_id").alias("owner"), F.col("content").alias("text"))
     gone = store.part(add["gone"][0], "gone", GONE).select(F.col("file_id").alias("owner")) if "gone" in add else None
     more, totals = keyword_index.add_segment(store, base, chunks, gone)
-    return store.commit(base, add | more, totals=totals, writer=writer, batch=batch)
+    near, counted = vector_index.add_segment(store, base, vectors, gone)
+    return store.commit(base, add | more | near, totals=totals | counted, writer=writer, batch=batch)
+
+
+def model_name(model=None) -> str:
+    return getattr(model or models.HashingEmbedder(), "name", "model")
+
+
+def drop_model(store: Store, name: str) -> tuple[Snapshot, int]:
+    """The version without the vectors of a model, and how many these were. Files and chunks stay; `synchronise` with force embeds them anew."""
+    base = store.snapshot()
+    parts, totals = vector_index.add_segment(store, base, models=[name])
+    return store.commit(base, parts, totals=totals), -int(totals["vectors"])
 
 
 def synchronise(store: Store, disk: DataFrame, enabled: list[str] | None = None, force: bool = False, **options) -> Snapshot:
@@ -102,15 +112,20 @@ def synchronise(store: Store, disk: DataFrame, enabled: list[str] | None = None,
     return ingest(store, changed, deleted, **options)
 
 
-def open_index(store: Store, snapshot: Snapshot | None = None, graph_too: bool = True) -> Index:
-    """The tables of a version, by default the last, for search.search."""
+def open_index(store: Store, snapshot: Snapshot | None = None, graph_too: bool = True, model=None) -> Index:
+    """The tables of a version, by default the last, for search.search; model: the one that embeds requests, by default the only one that the store has."""
     at = snapshot or store.snapshot()
     nodes = edges = None
     if graph_too:
         parsed = (alive(store, at, table, schema, "id") for table, schema in (("titles", TITLES), ("headings", HEADINGS), ("links", LINKS)))
         nodes, edges = graph.assemble(*parsed, files(store, at))
-    chunks, vectors = alive(store, at, "chunks", CHUNKS, "file_id"), alive(store, at, "vectors", VECTORS, "file_id")
-    return Index(chunks, vectors, nodes, edges, lambda query, k: keyword_index.search(store, at, query, k))
+    chunks, name = alive(store, at, "chunks", CHUNKS, "file_id"), model_name(model)
+    known = vector_index.models(store, at)
+    if model is None and len(known) == 1:
+        name = known[0]
+    vectors = vector_index.living(store, at).filter(F.col("model") == name)
+    vectors = vectors.select(F.col("id").alias("chunk_id"), F.col("owner").alias("file_id"), "model", "embedding")
+    return Index(chunks, vectors, nodes, edges, lambda query, k: keyword_index.search(store, at, query, k), lambda vector, k: vector_index.search(store, at, vector, k, name))
 
 
 def wants_compacting(snapshot: Snapshot) -> bool:
@@ -120,8 +135,8 @@ def wants_compacting(snapshot: Snapshot) -> bool:
 def compact(store: Store) -> Snapshot:
     """A version with the same rows in one part a table, without those of replaced and deleted files."""
     base = store.snapshot()
-    replace, _ = keyword_index.merge(store, base)
-    for table, schema, key in (("files", FILES, "file_id"), ("chunks", CHUNKS, "file_id"), ("vectors", VECTORS, "file_id"), ("titles", TITLES, "id"), ("headings", HEADINGS, "id"), ("links", LINKS, "id")):
+    replace = keyword_index.merge(store, base)[0] | vector_index.merge(store, base)[0]
+    for table, schema, key in (("files", FILES, "file_id"), ("chunks", CHUNKS, "file_id"), ("titles", TITLES, "id"), ("headings", HEADINGS, "id"), ("links", LINKS, "id")):
         replace[table] = [store.write(alive(store, base, table, schema, key), table, base.version + 1)]
     return store.commit(base, {}, replace | {"gone": []})
 

@@ -177,6 +177,20 @@ def test_a_synchronised_store_equals_a_new_index(spark, tmp_path):
     assert state(stored_index.open_index(store)) == before and all(len(x) <= 1 for x in store.snapshot().parts.values())
 
 
+def test_vectors_of_a_model_go_and_come_back(spark, tmp_path):
+    store, files = Store(spark, str(tmp_path)), note_rows(spark, notes(6))
+    stored_index.synchronise(store, files, model=SMALL)
+    before = state(stored_index.open_index(store))[0]
+    after, went = stored_index.drop_model(store, SMALL.name)
+    assert went == len(before) and after.totals["vectors"] == 0
+    index = stored_index.open_index(store)
+    assert index.vectors.count() == 0 and index.chunks.count() == len(before) and index.nearest([0.1] * 16, 3).count() == 0
+    assert stored_index.open_index(store, store.snapshot(1)).vectors.count() == len(before)
+    assert stored_index.drop_model(store, "unknown")[1] == 0
+    stored_index.synchronise(store, files, force=True, model=SMALL)
+    assert state(stored_index.open_index(store))[0] == before and store.snapshot().totals["vectors"] == len(before)
+
+
 def test_a_batch_that_fails_between_two_tables_is_not_seen(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     stored_index.ingest(store, note_rows(spark, notes(5)), writer="w", batch=0, model=SMALL)
