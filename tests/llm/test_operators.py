@@ -1,6 +1,7 @@
 """Operators against plain versions and exact round trips, on texts that are hard on them."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fathom.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
+from fathom.llm import batches, chat_format, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
 from tests.llm import brute
 
 VOCABULARY = [f"word{i}" for i in range(60)]
@@ -460,6 +461,42 @@ def test_encoder_agrees_with_the_tokenizer(letters):
         assert encode(t) == np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_latin_bytes_split_as_texts_do():
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(256) if not packing._OTHER.search(chr(c))]
+    for _ in range(3000):
+        t = "".join(rng.choice(letters if rng.random() < 0.5 else " \n'stREvelld1.") for _ in range(rng.randint(0, 60)))
+        assert [p.decode("latin-1") for p in packing._PIECE_BYTES.findall(t.encode("latin-1"))] == packing._PIECE.findall(t)
+    assert len(letters) + len(packing._OTHER_BYTES) == 256
+
+
+def test_pieces_are_encoded_once():
+    encode = packing.Encoder(packing.tokenizer_path())
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 250_000)]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    first = [encode(t) for t in texts]
+    assert len(encode.known) >= len(words)
+    encode.known.model = None  # a second encoding would fail
+    assert [encode(t) for t in texts] == first
+
+
+def test_other_tasks_find_nothing_of_packing(spark, docs):
+    # one worker takes both tasks, one after the other
+    assert packing.pieces(docs.coalesce(1)).count() > 0
+
+    def make():
+        return lambda cols: {"n": [sum(len(held) for module, held in batches._kept.items() if module == packing.__name__) for _ in cols["doc_id"]]}
+
+    assert {r["n"] for r in batches.map_rows(docs.coalesce(1), make, "n long").collect()} == {0}
+    batches.kept("a", "x", dict)["held"] = 1
+    assert batches.kept("a", "x", dict) == {"held": 1}
+    batches.release("a")
+    assert batches.kept("a", "x", dict) == {"held": 1}
+    batches.release("b")
+    assert batches.kept("a", "x", dict) == {}
+    batches.release("b")
+
+
 def test_url_filter(spark):
     urls = ["http://Example.ORG/es/x", "http://a.example.org/en/12", "http://a.example.org/en/2", "http://example.org", "https://x.com/de/1?a=/fr/", "https://com/fr/", None, "no host", "ftp://net", "http://b.net/x#y://z/", "HTTP://x.com/fr/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
