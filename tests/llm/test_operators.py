@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fathom.llm import batches, chat_format, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
+from fathom.llm import batches, chat_format, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, storage, substring_dedup, toxicity, url_filter
 from tests.llm import brute
 
 VOCABULARY = [f"word{i}" for i in range(60)]
@@ -69,6 +69,23 @@ def test_substring_dedup(spark, docs, group):
     assert got == brute.windows_removed(corpus() + more, 50)
 
 
+def test_saved_tables_hand_small_batches_to_python(spark):
+    """An executor holds the batch of a task several times outside its heap: 40 MB of texts come in batches of about 4 MB."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+    got = storage.save(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
+    assert sum(r["rows"] for r in got) == 4000 and max(r["bytes"] for r in got) < 5e6
+    assert spark.conf.get(name) == before
+
+
 def test_suffix_tree():
     rng = random.Random(4)
     for _ in range(40):
