@@ -574,6 +574,15 @@ def test_toxicity_counts_compressed_lengths(spark):
     assert got[1000][1][0] >= 1 and not any("blockheads" in t or "stinkerly" in t for _, t in texts)
 
 
+def test_toxicity_is_calibrated_on_small_batches(spark, docs, monkeypatch):
+    name, seen, measure = "spark.sql.execution.arrow.maxBytesPerBatch", [], toxicity.measure
+    before = spark.conf.get(name)
+    monkeypatch.setattr(toxicity, "measure", lambda *args: seen.append(spark.conf.get(name)) or measure(*args))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    toxicity.fit(docs, labels)
+    assert len(seen) == 2 * len(toxicity.SIZES) and set(seen) == {str(4 << 20)} and spark.conf.get(name) == before
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(docs, none).collect()
