@@ -70,7 +70,7 @@ def test_substring_dedup(spark, docs, group):
 
 
 def test_saved_tables_hand_small_batches_to_python(spark):
-    """An executor holds the batch of a task several times outside its heap: 40 MB of texts come in batches of about 4 MB."""
+    """40 MB of texts of one task come in batches of about 4 MB."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
