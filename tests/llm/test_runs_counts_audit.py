@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from fathom.llm import filter_audit, periodic_runs, query_filter_audit, query_periodic_runs, query_token_counts, token_counts
+from fathom.llm.storage import settings
 from tests.llm.brute import words
 from tests.llm.test_operators import HARD, rows
 
@@ -169,6 +170,24 @@ def test_only_distinct_misses_are_encoded_and_appended(spark, monkeypatch, most)
     assert cache.stored("another") is None
 
 
+def test_files_go_by_the_number_of_counts(spark, monkeypatch):
+    """Executors start processes for each file that they write; many shuffle partitions must not make many files."""
+    texts = [f"text {i % 90} {'x' * (i % 90)}" for i in range(120)]
+    cache, path, n = token_counts.own_cache(spark), token_counts.tokenizer_path(), dict(enumerate(plain_counts(texts, token_counts.tokenizer_path())))
+    of = token_counts.version(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    with settings(spark, held):
+        few = token_counts.count(df, cache)
+        assert rows(few, "doc_id", "n_tokens") == {i: (x,) for i, x in n.items()}
+        assert len(cache.stored(of).inputFiles()) == 1 and few.rdd.getNumPartitions() < 60
+        monkeypatch.setattr(token_counts, "FILE_ROWS", 40)
+        monkeypatch.setattr(token_counts, "BROADCAST_DIGESTS", 80)
+        other = token_counts.own_cache(spark)
+        assert rows(token_counts.count(df, other), "doc_id", "n_tokens") == {i: (x,) for i, x in n.items()}
+        assert len(other.stored(of).inputFiles()) == 4
+
+
 def test_token_counts_with_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string").selectExpr("*", *EXTRA.split(", "))
     assert token_counts.count(df, token_counts.own_cache(spark)).count() == 3
