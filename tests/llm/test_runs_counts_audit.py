@@ -9,7 +9,8 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from fathom.llm import filter_audit, periodic_runs, query_filter_audit, query_periodic_runs, query_token_counts, token_counts
+from fathom.llm import filter_audit, periodic_runs, query_filter_audit, query_periodic_runs, query_token_counts, token_counts, toxicity
+from fathom.llm.batches import map_rows
 from fathom.llm.storage import settings
 from tests.llm.brute import words
 from tests.llm.test_operators import HARD, rows
@@ -170,6 +171,28 @@ def test_only_distinct_misses_are_encoded_and_appended(spark, monkeypatch, most)
     assert cache.stored("another") is None
 
 
+@pytest.mark.parametrize("kind", ["toxicity", "token_counts"])
+def test_python_workers_drop_what_another_module_remembered(spark, kind):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+
+    def probe():
+        def step(cols):
+            import gc
+
+            from fathom.llm.token_counts import Counter
+            from fathom.llm.toxicity import Windows
+
+            return {"n": [sum(isinstance(x, Counter | Windows) for x in gc.get_objects())] * len(cols["doc_id"])}
+
+        return step
+
+    if kind == "toxicity":
+        assert toxicity.measure(docs, {"toxic": b" toxic ", "ordinary": b" ordinary "}).count() == 8
+    else:
+        assert token_counts.encoded(docs.selectExpr("cast(text as binary) AS digest", "text"), token_counts.tokenizer_path()).count() == 8
+    assert {r["n"] for r in map_rows(docs, probe, "n long").collect()} == {0}
+
+
 def test_files_go_by_the_number_of_counts(spark, monkeypatch):
     """Executors start processes for each file that they write; many shuffle partitions must not make many files."""
     texts = [f"text {i % 90} {'x' * (i % 90)}" for i in range(120)]
