@@ -282,6 +282,22 @@ def test_decontaminate_cuts_only_hits(spark):
     assert got == {1: ("before the start. , and after  it", 33), 3: ("clean\ttext ", 11)}
 
 
+def test_lines_are_removed_without_python(spark):
+    """Each chained Python step holds a worker of its own; a filter on the text of the result had doubled them."""
+    rng, held = random.Random(8), []
+    for i in range(300):
+        lines = ["".join(rng.choice("ab é\t\r€|.\x00\x85\U0001f600") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 9))]
+        held.append((i, "\n".join(lines), sorted(rng.sample(range(len(lines)), rng.randint(0, len(lines))))))
+    df = spark.createDataFrame(held, "doc_id long, text string, gone array<int>")
+    got = {r["doc_id"]: r["t"] for r in df.select("doc_id", line_dedup.without(df["text"], df["gone"]).alias("t")).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) for i, t, gone in held}
+    block = "one two three four five six\nseven eight nine ten eleven"
+    made = line_dedup.dedup(spark.createDataFrame([(1, block), (2, f"x\n{block}"), (3, None)], "doc_id long, text string"), "n").filter("n = 0 or text rlike '[^ ]'")
+    assert sorted(map(tuple, made.collect())) == [(1, block, 0), (2, "x", 2), (3, None, 0)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapInArrow" not in plan
+
+
 def test_line_dedup(spark):
     line = lambda k: " ".join(f"l{k}w{j}" for j in range(8))
     texts = [
