@@ -503,6 +503,32 @@ def test_latin_bytes_split_as_texts_do():
     assert len(letters) + len(packing._OTHER_BYTES) == 256
 
 
+@pytest.mark.parametrize("letters", [ENCODED, ENCODED + "\x1c½\u3000中", " \na'sé1.", "'stREvelld1 \n", " \n"])
+def test_texts_that_are_encoded_together_get_the_ids_of_each(letters):
+    rng = random.Random(4)
+    encode = packing.Encoder(packing.tokenizer_path())
+    for _ in range(400):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 2, 5, 40)))) for _ in range(rng.randint(0, 9))]
+        assert encode.many(texts) == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_pieces_of_many_texts_are_looked_up_once(monkeypatch):
+    encode, asked = packing.Encoder(packing.tokenizer_path()), []
+    monkeypatch.setattr(packing._Known, "__missing__", lambda self, piece: asked.append(piece) or b"\x01\0\0\0")
+    assert encode.many(["it's one.\ntwo, two", "two one"] * 50) == [b"\x01\0\0\0" * 8, b"\x01\0\0\0" * 2] * 50
+    assert sorted(asked) == sorted([b"it", b"'s", b" one", b".", b"\n", b"two", b",", b" two"])
+
+
+def test_pieces_asked_for_again_outlive_others(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 8)
+    encode, asked = packing.Encoder(packing.tokenizer_path()), []
+    tokenize = encode.known.model.tokenize
+    encode.known.model = type("Model", (), {"tokenize": lambda self, x: asked.append(x) or tokenize(x)})()
+    for k in range(30):
+        assert encode(f"often a{k}") == encode.whole(f"often a{k}") and len(encode.known) + len(encode.known.before) <= 8
+    assert asked.count("often") == 1
+
+
 def test_pieces_are_encoded_once():
     encode = packing.Encoder(packing.tokenizer_path())
     words = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 250_000)]
